@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing
+from quillgraph.llm import mixing, topk, urlfilter
 
 QUERIES = {
+    "op2_url_redirects": urlfilter.op2_url_redirects,
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
+    "op7_topk_pivot": topk.op7_topk_pivot,
 }
 
 ORACLES = {
+    "op2_url_redirects": urlfilter.ORACLE,
     "op4_mixing_pareto": mixing.ORACLE,
+    "op7_topk_pivot": topk.ORACLE,
 }
