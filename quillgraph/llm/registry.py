@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, topk, urlfilter
+from quillgraph.llm import mixing, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_url_redirects": urlfilter.op2_url_redirects,
+    "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
     "op7_topk_pivot": topk.op7_topk_pivot,
 }
