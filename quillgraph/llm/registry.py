@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, simhash, topk, urlfilter
+from quillgraph.llm import mixing, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_url_redirects": urlfilter.op2_url_redirects,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
+    "op5_quality_resampling": quality.op5_quality_resampling,
     "op7_topk_pivot": topk.op7_topk_pivot,
 }
 
