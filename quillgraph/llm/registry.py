@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, quality, simhash, topk, urlfilter
+from quillgraph.llm import editprints, mixing, pieces, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_url_redirects": urlfilter.op2_url_redirects,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
     "op5_quality_resampling": quality.op5_quality_resampling,
     "op7_topk_pivot": topk.op7_topk_pivot,
+    "op8_sentencepiece_viterbi": pieces.op8_sentencepiece_viterbi,
+    "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
 }
 
 ORACLES = {
