@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import editprints, mixing, pieces, quality, simhash, topk, urlfilter
+from quillgraph.llm import editprints, mixing, pieces, private, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_url_redirects": urlfilter.op2_url_redirects,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_topk_pivot": topk.op7_topk_pivot,
     "op8_sentencepiece_viterbi": pieces.op8_sentencepiece_viterbi,
     "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
+    "op10_private_boosting": private.op10_private_boosting,
 }
 
 ORACLES = {
