@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import editprints, mixing, pieces, private, quality, simhash, topk, urlfilter
+from quillgraph.llm import editprints, linededup, mixing, pieces, private, quality, simhash, topk, urlfilter
 
 QUERIES = {
     "op2_url_redirects": urlfilter.op2_url_redirects,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
     "op5_quality_resampling": quality.op5_quality_resampling,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_topk_pivot": topk.op7_topk_pivot,
     "op8_sentencepiece_viterbi": pieces.op8_sentencepiece_viterbi,
     "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
