@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillgraph.llm import editprints, linededup, mixing, pieces, private, quality, simhash, topk, urlfilter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece_viterbi": pieces.op8_sentencepiece_viterbi,
     "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
     "op10_private_boosting": private.op10_private_boosting,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
