@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgraph.llm import editprints, linededup, mixing, pieces, private, quality, simhash, topk, urlfilter
+from quillgraph.llm import editprints, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op2_url_redirects": urlfilter.op2_url_redirects,
     "op3_simhash_bktree": simhash.op3_simhash_bktree,
     "op4_mixing_pareto": mixing.op4_mixing_pareto,
