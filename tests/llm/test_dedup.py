@@ -41,7 +41,8 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch):
 
 
 def test_repeated_rows_and_null_ids_keep_one_copy(spark):
-    text = "".join(random.Random(4).choice("abcdef") for _ in range(300))
+    draw = random.Random(4)
+    text = "".join(draw.choice("abcdef") for _ in range(300))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     assert sorted((r.id or 9, r.n_removed) for r in suffixes.repeated_bytes(docs).collect()) == [(1, 0), (1, 300), (9, 300)]
     assert suffixes.repeated_bytes(docs.limit(0)).count() == 0

@@ -60,9 +60,12 @@ def test_few_edits_stay_near_and_banding_finds_them(spark):
     draw = random.Random(3)
     base = ["".join(draw.choice("abcdefghij ") for _ in range(600)) for _ in range(8)]
     walker = editprints.Walker()
-    copies = [b[:100] + "zz" + b[104:300] + b[303:] for b in base]
+    copies = [b[:100] + "zz" + b[102:300] + "z" + b[301:] for b in base]
+    shifted = [b[:300] + b[301:] for b in base]
     for a, b in zip(base, copies):
         assert walker.likeness(walker.fingerprint(a), walker.fingerprint(b)) > 0.6
+    # after a shift the walks fall into step again sooner or later, so only the mean is bounded
+    assert np.mean([walker.likeness(walker.fingerprint(a), walker.fingerprint(b)) for a, b in zip(base, shifted)]) > 0.6
     assert walker.likeness(walker.fingerprint(base[0]), walker.fingerprint(base[1])) < 0.4
     assert walker.likeness(walker.fingerprint(""), walker.fingerprint("")) == 1.0
     rows = [(n, walker.fingerprint(x)) for n, x in enumerate(base + copies)]
