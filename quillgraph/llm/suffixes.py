@@ -39,8 +39,8 @@ GRAM = 32
 HEAD = WINDOW - GRAM
 SHALLOW = 4
 HOT = 512
-BLOCK_BYTES = 4 << 20
-_CHUNK = 1 << 20
+BLOCK_BYTES = 2 << 20
+_CHUNK = 1 << 19
 _NO_ID = 2**63 - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -242,12 +242,18 @@ def _contexts(many: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             np.add.at(mark, high[fits] + 1, -1)
             starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
             if len(starts):
-                grams = gram_hashes(block.data)
                 prints = np.zeros((len(starts), 2), np.uint64)
-                for n, shift in enumerate((0, GRAM, 2 * GRAM, HEAD)):
-                    g = grams[starts + shift]
-                    prints[:, 0] = (prints[:, 0] ^ (prints[:, 0] >> np.uint64(31))) * _A + g
-                    prints[:, 1] = (prints[:, 1] ^ (prints[:, 1] >> np.uint64(27))) * _B + (g ^ (g >> np.uint64(33))) * _C
+                for begin in range(0, len(block.data), _CHUNK):
+                    a, b = np.searchsorted(starts, (begin, begin + _CHUNK))
+                    if a == b:
+                        continue
+                    grams = gram_hashes(block.data[begin : begin + _CHUNK + WINDOW])
+                    first, second = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                    for shift in (0, GRAM, 2 * GRAM, HEAD):
+                        g = grams[starts[a:b] - begin + shift]
+                        first = (first ^ (first >> np.uint64(31))) * _A + g
+                        second = (second ^ (second >> np.uint64(27))) * _B + (g ^ (g >> np.uint64(33))) * _C
+                    prints[a:b, 0], prints[a:b, 1] = first, second
                 first, later = _first_by(prints)
                 places, buckets = block.places(starts), (prints[:, 0] % np.uint64(many)).astype(np.int64)
                 is_first = np.zeros(len(starts), bool)
@@ -417,7 +423,7 @@ def _sorted(sent: pa.Table) -> pa.Table:
 def _marked(rows: pa.Table, marks: pa.Table) -> pa.Table:
     block = Block(rows)
     size = len(block.data)
-    covered = np.zeros(size + 1, np.int64)
+    covered = np.zeros(size + 1, np.int32)
 
     def mark(starts: np.ndarray, doc_at: np.ndarray) -> None:
         doc = block.doc_of(doc_at)
@@ -439,7 +445,7 @@ def _marked(rows: pa.Table, marks: pa.Table) -> pa.Table:
     starts = np.flatnonzero(repeat)
     np.add.at(covered, starts, 1)
     np.add.at(covered, starts + WINDOW, -1)
-    gone = np.cumsum(covered[:-1]) > 0
+    gone = np.cumsum(covered[:-1], dtype=np.int32) > 0
     out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
     for n, id_ in enumerate(block.ids.tolist()):
         a, b = int(block.starts[n]), int(block.starts[n + 1])
