@@ -239,9 +239,19 @@ class Decoder:
         return b"".join([pieces[n] for n in ids.tolist()]).decode("utf-8", "replace").removeprefix(" ")
 
 
+#: The encoder of this Python worker, which runs many tasks: words that one task met are known to the next.
+_ENCODER: list[Encoder] = []
+
+
+def worker_encoder(vocabulary: Vocabulary) -> Encoder:
+    if not _ENCODER or _ENCODER[0].v.pieces != vocabulary.pieces or _ENCODER[0].v.scores != vocabulary.scores:
+        _ENCODER[:] = [Encoder(vocabulary)]
+    return _ENCODER[0]
+
+
 def _encoded(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = worker_encoder(vocabulary), Decoder(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
