@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.tables import table
+from quillgraph.session import cut
 
 EDITS = 2
 MIN_CHARS = 24
-LETTERS = ("aeiou", "nrst", "dlhc", "mpgb")
+MAX_BROADCAST_LINES = 400_000
+#: Counted in each line; the choice only decides how many pairs are left to verify.
+LETTERS = ("e", "a", "n", "t")
 _LAST = 2**63 - 1
 
 
@@ -113,18 +116,22 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def _counts(line: Column) -> Column:
-    """Four letter counts, 16 bits each."""
-    out = F.lit(0).cast("long")
-    for n, letters in enumerate(LETTERS):
-        many = F.least(F.length(line) - F.length(F.translate(line, letters, "")), F.lit(0x7FFF)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(many, 16 * n))
+    """Four letter counts of 12 bits each (capped, which only lets more pairs pass) and 14 bits of the length above."""
+    out = F.shiftleft((F.length(line) % 0x4000).cast("long"), 12 * len(LETTERS))
+    for n, letter in enumerate(LETTERS):
+        many = F.least(F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(0xFFF)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(many, 12 * n))
     return out
 
 
+def _size(counts: Column) -> Column:
+    return F.shiftright(counts, 12 * len(LETTERS))
+
+
 def _difference(a: Column, b: Column) -> Column:
     out = F.lit(0).cast("long")
     for n in range(len(LETTERS)):
-        out = out + F.abs(F.shiftright(a, 16 * n).bitwiseAND(F.lit(0x7FFF)) - F.shiftright(b, 16 * n).bitwiseAND(F.lit(0x7FFF)))
+        out = out + F.abs(F.shiftright(a, 12 * n).bitwiseAND(F.lit(0xFFF)) - F.shiftright(b, 12 * n).bitwiseAND(F.lit(0xFFF)))
     return out
 
 
@@ -133,31 +140,32 @@ def _lines_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     met = rows.join(wanted, "key").withColumn("parts", F.split("text", "\n", -1))
     here = F.filter("ats", lambda x: F.shiftright(x, 32) == F.col("copy"))
     found = F.transform(here, lambda x: F.struct(x.alias("at"), F.get(F.col("parts"), x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("line")))
-    return met.select("key", F.explode(found).alias("x")).select("key", "x.at", "x.line").dropDuplicates(["key", "at"])
+    return met.select("key", F.explode(found).alias("x")).select("key", "x.at", "x.line")
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Distinct candidate pairs (a, b) of structs (key, at) of lines(key, at, line), b not the shorter line."""
-    rows = lines.select(F.struct("key", "at").alias("p"), F.length("line").alias("size"), _counts(F.col("line")).alias("counts"), "line")
-    index = rows.select(F.col("p").alias("a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"), F.explode(segment_keys(F.col("line"), F.col("size"), edits)).alias("k"))
-    probe = rows.select(F.col("p").alias("b"), F.col("size").alias("size_b"), F.col("counts").alias("counts_b"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("k"))
-    near = (F.col("size_b") - F.col("size_a")).between(0, edits) & ((F.col("size_b") > F.col("size_a")) | (F.col("a") < F.col("b"))) & (_difference(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
-    return index.join(probe, (index["k"] == probe["k"]) & near).select("a", "b").distinct()
+    rows = lines.select("key", "at", F.length("line").alias("size"), _counts(F.col("line")).alias("counts"), "line")
+    index = rows.select(F.col("key").alias("key_a"), F.col("at").alias("at_a"), F.col("counts").alias("counts_a"), F.explode(segment_keys(F.col("line"), F.col("size"), edits)).alias("k"))
+    probe = rows.select(F.col("key").alias("key_b"), F.col("at").alias("at_b"), F.col("counts").alias("counts_b"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("k"))
+    # keys hold the shorter line's length; between lines of one length both ways are found, and one is kept by place
+    more = (_size(F.col("counts_b")) - _size(F.col("counts_a"))) % 0x4000
+    a, b = F.struct(F.col("key_a").alias("key"), F.col("at_a").alias("at")), F.struct(F.col("key_b").alias("key"), F.col("at_b").alias("at"))
+    near = ((more != 0) | (a < b)) & (_difference(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+    return index.join(probe, (index["k"] == probe["k"]) & near).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, ats): the lines that stay, of rows(key, text, copy).
-
-    All of this and the caller's join are one plan on purpose: texts are dealt out by key once, and each join of texts
-    with lists of lines reuses that exchange.
-    """
+    """(key, ats): the lines that stay, of rows(key, text, copy)."""
     lines = rows.select("key", "copy", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where(F.trim("line") != "")
     at = F.shiftleft(F.col("copy").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     first = lines.select(F.md5(F.col("line").cast("binary")).alias("h"), F.struct("key", at.alias("at")).alias("p"), F.length("line").alias("size"))
-    first = first.groupBy("h").agg(F.min("p").alias("p"), F.max("size").alias("size")).select("p.key", "p.at", "size")
+    first = cut(first.groupBy("h").agg(F.min("p").alias("p"), F.max("size").alias("size")).select("p.key", "p.at", "size"))
     wanted = first.where(F.col("size") >= min_chars).groupBy("key").agg(F.collect_list("at").alias("ats"))
-    pairs = near_lines(_lines_at(rows, wanted), edits)
+    pairs = cut(near_lines(_lines_at(rows, wanted), edits))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct().select("p.key", "p.at").groupBy("key").agg(F.collect_list("at").alias("ats"))
+    if 2 * pairs.count() <= MAX_BROADCAST_LINES:
+        ends = F.broadcast(ends)
     text = _lines_at(rows, ends).select(F.struct("key", "at").alias("p"), F.split("line", "").alias("chars"))
     met = pairs.join(text.select(F.col("p").alias("a"), F.col("chars").alias("chars_a")), "a").join(text.select(F.col("p").alias("b"), F.col("chars").alias("chars_b")), "b")
     later = met.where(within_edits(F.col("chars_a"), F.col("chars_b"), edits)).select(F.greatest("a", "b").alias("p")).distinct().select("p.key", "p.at")
