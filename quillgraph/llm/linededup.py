@@ -28,7 +28,8 @@ EDITS = 2
 MIN_CHARS = 24
 MAX_BROADCAST_LINES = 400_000
 #: Counted in each line; the choice only decides how many pairs are left to verify.
-LETTERS = ("e", "a", "n", "t")
+LETTERS = ("e", "a", "n", "t", "o", "i", "r", "s")
+_BITS = 6
 _LAST = 2**63 - 1
 
 
@@ -116,22 +117,24 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def _counts(line: Column) -> Column:
-    """Four letter counts of 12 bits each (capped, which only lets more pairs pass) and 14 bits of the length above."""
-    out = F.shiftleft((F.length(line) % 0x4000).cast("long"), 12 * len(LETTERS))
+    """Eight letter counts modulo 2 ** _BITS, and 14 bits of the length above."""
+    out = F.shiftleft((F.length(line) % 0x4000).cast("long"), _BITS * len(LETTERS))
     for n, letter in enumerate(LETTERS):
-        many = F.least(F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(0xFFF)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(many, 12 * n))
+        many = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % (1 << _BITS)
+        out = out.bitwiseOR(F.shiftleft(many.cast("long"), _BITS * n))
     return out
 
 
 def _size(counts: Column) -> Column:
-    return F.shiftright(counts, 12 * len(LETTERS))
+    return F.shiftright(counts, _BITS * len(LETTERS))
 
 
 def _difference(a: Column, b: Column) -> Column:
+    """The least sum of count differences; what the modulus hides only lets more pairs pass."""
     out = F.lit(0).cast("long")
     for n in range(len(LETTERS)):
-        out = out + F.abs(F.shiftright(a, 12 * n).bitwiseAND(F.lit(0xFFF)) - F.shiftright(b, 12 * n).bitwiseAND(F.lit(0xFFF)))
+        x, y = (F.shiftright(c, _BITS * n).bitwiseAND(F.lit((1 << _BITS) - 1)) for c in (a, b))
+        out = out + F.least(F.pmod(x - y, F.lit(1 << _BITS)), F.pmod(y - x, F.lit(1 << _BITS)))
     return out
 
 
