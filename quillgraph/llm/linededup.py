@@ -169,8 +169,9 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct().select("p.key", "p.at").groupBy("key").agg(F.collect_list("at").alias("ats"))
     if 2 * pairs.count() <= MAX_BROADCAST_LINES:
         ends = F.broadcast(ends)
-    text = _lines_at(rows, ends).select(F.struct("key", "at").alias("p"), F.split("line", "").alias("chars"))
-    met = pairs.join(text.select(F.col("p").alias("a"), F.col("chars").alias("chars_a")), "a").join(text.select(F.col("p").alias("b"), F.col("chars").alias("chars_b")), "b")
+    text = _lines_at(rows, ends).select(F.struct("key", "at").alias("p"), "line")
+    met = pairs.join(text.select(F.col("p").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("p").alias("b"), F.col("line").alias("line_b")), "b")
+    met = met.select("a", "b", F.split("line_a", "").alias("chars_a"), F.split("line_b", "").alias("chars_b"))
     later = met.where(within_edits(F.col("chars_a"), F.col("chars_b"), edits)).select(F.greatest("a", "b").alias("p")).distinct().select("p.key", "p.at")
     return first.select("key", "at").join(later, ["key", "at"], "left_anti").groupBy("key").agg(F.collect_list("at").alias("ats"))
 
