@@ -9,9 +9,12 @@ task holds a whole shard. A meeting returns a spanning forest of its links, at m
 distributed components join the forests; no link between different fingerprints is lost. Copies are grouped by
 fingerprint before anything is dealt out.
 
-`near_copies` is the form for near copies at a Jaccard similarity of 5-word shingles: longer fingerprints (WIDE words
-of 64 bits) are dealt by BANDS samples of BAND_BITS bits, the same trees search them with a wide radius, and the links
-found (in each meeting the nearest ones that connect it) are verified by exact shingle sets.
+`near_copies` is the form for near copies at a Jaccard similarity of 5-word shingles; every pair at the similarity or
+over it is joined. Texts of equal shingle sets are one node. Longer fingerprints (WIDE words of 64 bits) are dealt by
+BANDS samples of BAND_BITS bits, the same trees search them with a wide radius, and the links found (in each meeting
+the nearest ones that connect it) are verified by exact shingle sets: that joins large groups by few edges. All pairs
+that this leaves apart come from an exact prefix filter: sets at the similarity share one of their first shingles in
+any common order (by hash, the hottest ones last), and each pair of different groups that does is verified too.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other; fewer words than a
 shingle: all words are the shingle; null ids are one id that comes last and is returned as null; repeated rows are
@@ -20,6 +23,7 @@ returned as often as they come; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -67,15 +71,18 @@ def mixed(h: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def fingerprint(text: str | None, size: int = 3, words: int = 1) -> bytes:
+def majority(found: np.ndarray, words: int = 1) -> bytes:
     """`words` little-endian 64-bit words; a bit is set if over half the hashes have it set."""
-    grams = shingles(text, size)
     counts = np.zeros((words, 64), np.int64)
-    for start in range(0, len(grams), _SLICE):
-        h = hashes(grams[start : start + _SLICE])
+    for start in range(0, len(found), _SLICE):
+        h = found[start : start + _SLICE]
         for n in range(words):
             counts[n] += np.unpackbits(mixed(h, n).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(grams), axis=1).tobytes()
+    return np.packbits(counts * 2 > len(found), axis=1).tobytes()
+
+
+def fingerprint(text: str | None, size: int = 3, words: int = 1) -> bytes:
+    return majority(hashes(shingles(text, size)), words)
 
 
 class BKTree:
@@ -179,8 +186,8 @@ def _links(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def shard_links(keyed: DataFrame, total: int, radius: int) -> DataFrame:
-    """(src, dst) ids linked within shards of keyed(shard, key, id, print), a table of `total` rows."""
+def shard_links(keyed: DataFrame, total: int, links: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(src, dst) ids that `links` finds within shards of keyed(shard, key, id, print), a table of `total` rows."""
     counts = keyed.groupBy("shard", "key").agg(F.count("*").alias("n")).where("n > 1")
     limit = max(CHUNK, total // MAX_HOT + 1)  # at most MAX_HOT shards are over it, so the broadcast is bounded
     hot = F.broadcast(cut(counts.where(F.col("n") > limit)).select("shard", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("pieces")))
@@ -193,7 +200,7 @@ def shard_links(keyed: DataFrame, total: int, radius: int) -> DataFrame:
     other = pieces.select("shard", "key", F.col("chunk").alias("other"), F.col("piece").alias("right"))
     met = pieces.join(other, ["shard", "key"]).where("chunk <= other")
     met = met.select(F.col("piece").alias("left"), F.when(F.col("chunk") != F.col("other"), F.col("right")).alias("right"))
-    return cold.unionByName(met).mapInArrow(_links(radius), "src long, dst long")
+    return cold.unionByName(met).mapInArrow(links, "src long, dst long")
 
 
 def block_keys(print_col: Column, radius: int = RADIUS) -> Column:
@@ -213,7 +220,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     nodes = distinct.select(F.col("print").alias("id"), "print")
     keyed = nodes.select("id", "print", F.explode(block_keys(F.col("print"), radius)).alias("k")).select("k.shard", "k.key", "id", "print")
     total = distinct.count() * (radius + 2) * (radius + 1) // 2
-    component = connected_components(shard_links(keyed, total, radius))
+    component = connected_components(shard_links(keyed, total, _links(radius)))
     found = component.join(distinct, component["node"] == distinct["print"]).select("node", "component", "least")
     least = found.groupBy("component").agg(F.min("least").alias("first"))
     known = cut(found.join(least, "component").select(F.col("node").alias("print"), "first"))
@@ -278,24 +285,119 @@ def _verified(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _described(size: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sets = [], []
+            for text in batch["text"]:
+                grams = np.unique(hashes(shingles(text.as_py(), size)))
+                prints.append(majority(grams, words))
+                sets.append(xxhash.xxh128_digest(grams.tobytes()))
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], "print": pa.array(prints, pa.binary()), "set": pa.array(sets, pa.binary())})
+
+    return run
+
+
+_PLACE = np.dtype([("component", "<i8"), ("size", "<i4"), ("at", "<i4")])
+
+
+def _prefixes(similarity: float, size: int, last: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first shingles of each text, of which sets at the similarity share one; those in `last` come last."""
+    late = np.array(sorted(last), np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                grams = np.unique(hashes(shingles(batch["text"][n].as_py(), size)))
+                if len(late):
+                    hot = np.isin(grams, late)
+                    grams = np.concatenate([grams[~hot], grams[hot]])
+                first = grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
+                places = np.empty(len(first), _PLACE)
+                places["component"], places["size"], places["at"] = batch["component"][n].as_py(), len(grams), np.arange(len(first))
+                width = pa.py_buffer(np.arange(0, 16 * len(first) + 1, 16, dtype="<i4"))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array(np.zeros(len(first), np.int32)),
+                        "key": pa.array(first.view(np.int64)),
+                        "id": pa.array(np.full(len(first), batch["id"][n].as_py(), np.int64)),
+                        "print": pa.Array.from_buffers(pa.binary(), len(first), [None, width, pa.py_buffer(places.tobytes())]),
+                    }
+                )
+
+    return run
+
+
+def _candidates(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of different components that may be at the similarity by their sizes and the shared shingle's places."""
+
+    def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("print").to_pylist()), _PLACE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                right = batch["right"].slice(n, 1)
+                self_meeting = right.null_count == 1
+                ids, here = read(batch["left"].slice(n, 1))
+                others, there = (ids, here) if self_meeting else read(right)
+                for at in range(len(ids)):
+                    x, y = here[at], there[at + 1 :] if self_meeting else there
+                    most = np.minimum(x["size"] - x["at"], y["size"] - y["at"])
+                    may = (y["component"] != x["component"]) & (most >= similarity / (1 + similarity) * (x["size"] + y["size"]) - 1e-6)
+                    found = (others[at + 1 :] if self_meeting else others)[may]
+                    if len(found):
+                        yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(len(found), ids[at], np.int64)), "dst": pa.array(found)})
+
+    return run
+
+
+def _verified_links(texts: DataFrame, links: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst) of the links whose texts are at the similarity."""
+    pairs = cut(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    ends = cut(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct())
+    grams = cut(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_grams(size), "id long, grams binary"))
+    met = pairs.join(grams.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst")
+    return cut(met.select("src", "dst", "a", "b").mapInArrow(_verified(similarity), "src long, dst long"))
+
+
+def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst) of all pairs of nodes(id, component) in different components that may be at the similarity."""
+    placed = texts.join(nodes, "id").dropDuplicates(["id"])
+
+    def mixed_grams(keyed: DataFrame) -> DataFrame:
+        # a shingle that only one component has links nothing new
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.substring("print", 1, 8)).alias("a"), F.max(F.substring("print", 1, 8)).alias("b"))
+        return cut(counts.where("a <> b").select("key", "n"))
+
+    schema = "shard int, key long, id long, print binary"
+    keyed = placed.mapInArrow(_prefixes(similarity, size, []), schema)
+    shared = mixed_grams(keyed)
+    limit = max(CHUNK, (shared.agg(F.sum("n")).first()[0] or 0) // MAX_HOT + 1)
+    last = [r.key for r in shared.where(F.col("n") > limit).select("key").collect()]  # at most MAX_HOT
+    if last:
+        keyed = placed.mapInArrow(_prefixes(similarity, size, last), schema)
+        shared = mixed_grams(keyed)
+    rows = cut(keyed.join(shared.select("key"), "key", "left_semi").select("shard", "key", "id", "print"))
+    return shard_links(rows, rows.count(), _candidates(similarity))
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of every distinct id: near copies share the least id of their group.
 
-    Texts of equal fingerprint and equal hash are copies. Ids must tell rows apart; rows of one id count as one.
+    Ids must tell rows apart; rows of one id count as one.
     """
-    wide = fingerprints(docs, id_col, text_col, 3, WIDE)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(wide.groupBy("id").agg(F.min("print").alias("print")))
-    distinct = cut(prints.groupBy("print").agg(F.min("id").alias("id")))
-    same = prints.join(distinct.withColumnRenamed("id", "least"), "print").where("id <> least").select(F.col("id").alias("src"), F.col("least").alias("dst"))
+    prints = cut(texts.mapInArrow(_described(size, WIDE), "id long, print binary, set binary").groupBy("id").agg(F.min(F.struct("set", "print")).alias("p")).select("id", "p.set", "p.print"))
+    distinct = cut(prints.groupBy("set").agg(F.min("id").alias("id"), F.min("print").alias("print")))
+    same = prints.select("id", "set").join(distinct.select("set", F.col("id").alias("least")), "set").where("id <> least").select(F.col("id").alias("src"), F.col("least").alias("dst"))
     keyed = distinct.select("id", "print").mapInArrow(_band_rows(_bands(BANDS, BAND_BITS, 64 * WIDE)), "shard int, key long, id long, print binary")
-    pairs = shard_links(keyed, distinct.count() * BANDS, WIDE_RADIUS).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    pairs = cut(pairs.distinct())
-    ends = cut(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct())
-    grams = cut(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_grams(size), "id long, grams binary"))
-    met = pairs.join(grams.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst")
-    near = met.select("src", "dst", "a", "b").mapInArrow(_verified(similarity), "src long, dst long")
-    component = connected_components(same.unionByName(near))
+    near = _verified_links(texts, shard_links(keyed, distinct.count() * BANDS, _links(WIDE_RADIUS)), similarity, size)
+    joined = connected_components(near).select(F.col("node").alias("id"), "component")
+    nodes = cut(distinct.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    rest = _verified_links(texts, _prefix_links(texts, nodes, similarity, size), similarity, size)
+    component = connected_components(same.unionByName(near).unionByName(rest))
     return prints.select("id").join(component.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

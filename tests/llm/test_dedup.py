@@ -169,3 +169,44 @@ def test_lines_match_brute_force(spark):
     got = {BIG if r.doc.doc_id is None else r.doc.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] is None
     assert {k: v for k, v in got.items() if v is not None} == brute_lines(rows)
+
+
+def brute_near(rows, similarity=simhash.SIMILARITY, size=simhash.SHINGLE):
+    sets = {i: set(simhash.shingles(x, size)) for i, x in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in sets}
+
+
+def families(draw, many, share):
+    """Texts, each with variants that have one block changed, half of it and scattered words, or some words."""
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for _ in range(many):
+        base = [draw.choice(words) for _ in range(200)]
+        at, long = draw.randrange(20, 150), share
+        block = [draw.choice(words) for _ in range(long)]
+        whole = base[:at] + block + base[at + long :]
+        half = base[:at] + block[: long // 2] + base[at + long // 2 :]
+        for _ in range(3):
+            half[draw.randrange(200)] = draw.choice(words)
+        rows += [" ".join(x) for x in (base, half, whole)]
+    return list(enumerate(rows))
+
+
+def test_a_failed_edge_leaves_no_true_pair_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rows = families(random.Random(21), 60, 17)
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component for r in got} == brute_near(rows)
