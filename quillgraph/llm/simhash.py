@@ -402,9 +402,19 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id (of repeated ids, any one row)."""
-    groups = near_copies(docs.select("doc_id", "text")).where("id = component").select(F.col("id").alias("_id"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    rows = docs if repeated.isEmpty() else docs.dropDuplicates(["doc_id"])
-    return rows.join(groups, key == F.col("_id"), "left_semi")
+    """One document of each group of near copies stays: the one with the least id, null ids last.
+
+    A node is a distinct (doc_id, text), so rows that only share an id, or have none, go by their texts like any other;
+    of rows equal in both, the least in all columns stays.
+    """
+    node = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keys = docs.select(node.alias("_node"), F.col("doc_id").cast("long").alias("_id"), "text")
+    groups = cut(near_copies(keys.select("_node", "text"), id_col="_node"))
+    ids = keys.groupBy("_node").agg(F.min("_id").alias("_id"))
+    place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))
+    first = groups.join(ids, F.col("id") == F.col("_node")).groupBy("component").agg(F.min(place).alias("place"))
+    rows = docs.withColumn("_node", node).join(cut(first.select(F.col("place._node").alias("_kept"))), F.col("_node") == F.col("_kept"), "left_semi")
+    if rows.groupBy("_node").count().where("count > 1").isEmpty():
+        return rows.drop("_node")
+    rows = rows.groupBy("_node").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -210,3 +210,14 @@ def test_a_failed_edge_leaves_no_true_pair_apart(spark, monkeypatch):
     rows = families(random.Random(21), 60, 17)
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.id: r.component for r in got} == brute_near(rows)
+
+
+def test_rows_without_an_id_of_their_own_go_only_as_near_copies(spark):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(9)]
+    rows = [(None, x) for x in texts[:4]] + [(7, x) for x in texts[4:7]] + [(8, texts[7]), (8, texts[7]), (None, texts[7]), (9, texts[0]), (6, texts[8]), (7, texts[8])]
+    docs = spark.createDataFrame([(i, x, "e") for i, x in rows], "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.text) for r in simhash.stage_near_dedup(spark, docs, "").collect()]
+    want = [(9, texts[0])] + [(None, x) for x in texts[1:4]] + [(7, x) for x in texts[4:7]] + [(8, texts[7]), (6, texts[8])]
+    assert sorted(got, key=str) == sorted(want, key=str)
