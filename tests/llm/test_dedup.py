@@ -221,3 +221,19 @@ def test_rows_without_an_id_of_their_own_go_only_as_near_copies(spark):
     got = [(r.doc_id, r.text) for r in simhash.stage_near_dedup(spark, docs, "").collect()]
     want = [(9, texts[0])] + [(None, x) for x in texts[1:4]] + [(7, x) for x in texts[4:7]] + [(8, texts[7]), (6, texts[8])]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_block_changes_at_the_similarity_are_found(spark):
+    draw = random.Random(31)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for _ in range(80):
+        base, at = [draw.choice(words) for _ in range(200)], draw.randrange(20, 150)
+        changed = base[:at] + [draw.choice(words) for _ in range(17)] + base[at + 17 :]
+        rows += [" ".join(base), " ".join(changed)]
+    # many repeats in one text and few in the other: the sets are equal but for the seam
+    tail = [draw.choice(words) for _ in range(60)]
+    rows += [" ".join(tail[:30] * 40 + tail), " ".join(tail[:30] * 2 + tail)]
+    rows = list(enumerate(rows))
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows) == {i: i - i % 2 for i, _ in rows}
