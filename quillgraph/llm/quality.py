@@ -1,11 +1,15 @@
 """Op 5: a quality classifier by importance resampling.
 
-Two generative models over hashed n-grams, a bag of buckets each: one of target text (documents labelled good), one of
-raw text (all documents, counted in full). A document's log importance is the mean over its n-grams of
-log p_target / p_raw, times a length bounded by MAX_EVIDENCE n-grams. Documents are ranked by log importance plus
+Two generative models over hashed n-grams, a bag of buckets each: one of target text (documents labelled good: quality
+1 and not toxic), one of raw text (all documents, counted in full). A document's log importance is the mean over its
+n-grams of log p_target / p_raw, times a length bounded by MAX_EVIDENCE n-grams. Documents are ranked by log importance plus
 Gumbel noise, and the top k stay: sampling without replacement in proportion to importance. k is the number of
 documents that the calibrated cut-off on log importance accepts, so noise only trades places near the cut-off.
 
+Toxic documents differ in single words, which a mean dilutes. So labelled documents are also counted by the words they
+hold (letters lowered, hashed into WORD_BUCKETS); a document's toxic evidence is its largest log ratio of toxic to
+other documents that hold a word, and one over a calibrated cut-off of its own loses TOXIC_LOSS of its score.
+
 N-grams are words, pairs of words, and pairs of word shapes (letters to a or A, digits to 0, runs collapsed, a mark for
 a word that repeats the one before), each hashed into BUCKETS buckets.
 
@@ -14,7 +18,8 @@ them fit the model and the other half calibrate the cut-off. The raw model, the
 rows. The driver gets one count each bucket and the labelled sample's scores, both bounded.
 
 Defined cases: null, empty and blank texts have no n-grams, log importance 0 and are kept as undecided only if 0 is
-over the cut-off; labels with nulls are ignored; of repeated labels the largest counts; without labels of both kinds
+over the cut-off; labels with a null id are ignored, and those with a null quality unless toxic;
+of repeated labels the largest counts, of each kind; without labels of both kinds
 every document is kept with log importance 0; null ids share their noise; an empty table gives an empty result.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,8 @@ from quillgraph.session import cut
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000
 MAX_EVIDENCE = 200
+WORD_BUCKETS = 1 << 18
+TOXIC_LOSS = 1e6
 SEED = 7
 _CACHE = 200_000
 _SLICE = 1 << 17
@@ -73,63 +81,105 @@ class Buckets:
             yield np.concatenate([(x >> np.uint64(48)).astype(np.int64) for x in spread])
 
 
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def held_words(text: str | None) -> np.ndarray:
+    """The buckets of the distinct words of a text, without case and marks."""
+    words = set((text or "").encode("utf-8", "replace").translate(_PLAIN).split())
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (WORD_BUCKETS - 1)
+
+
+class Model(NamedTuple):
+    """Log ratios by bucket, toxic evidence by word bucket, and the evidence over which a document is toxic."""
+
+    ratios: np.ndarray
+    evidence: np.ndarray
+    most: float
+
+
 def _counted(labelled: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of n-grams in all and in good documents; from BUCKETS on, other and toxic documents that hold a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, raw, target = Buckets(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        buckets, raw, target = Buckets(), np.zeros(BUCKETS + WORD_BUCKETS, np.int64), np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
         for batch in batches:
             for id_, text in zip(batch["id"].to_pylist(), batch["text"]):
-                fits = labelled.get(id_) == 1
+                kind = labelled.get(id_)
                 for found in buckets.of(text.as_py()):
                     counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
-                    for model in (raw, target) if fits else (raw,):
+                    for model in (raw, target) if kind == GOOD else (raw,):
                         if counts is None:
                             np.add.at(model, found, 1)
                         else:
-                            model += counts
-        at = np.flatnonzero(raw)
+                            model[:BUCKETS] += counts
+                if kind is not None:
+                    (target if kind == TOXIC else raw)[BUCKETS + np.unique(held_words(text.as_py()))] += 1
+        at = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_pydict({"bucket": at, "raw": raw[at], "target": target[at]})
 
     return run
 
 
-def _scored(ratios: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(model: Model, apart: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the score; with `apart`, the score without the loss and the toxic evidence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in batches:
-            scores = []
+            scores, evidence = [], []
             for text in batch["text"]:
                 total, n = 0.0, 0
                 for found in buckets.of(text.as_py()):
-                    total, n = total + float(ratios[found].sum()), n + len(found)
+                    total, n = total + float(model.ratios[found].sum()), n + len(found)
                 scores.append(total / n * min(n, MAX_EVIDENCE) if n else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+                evidence.append(float(model.evidence[held_words(text.as_py())].max(initial=-TOXIC_LOSS)) if apart or model.most < np.inf else -TOXIC_LOSS)
+            if not apart:
+                scores = [s - TOXIC_LOSS * (e > model.most) for s, e in zip(scores, evidence)]
+            more = [pa.array(x, pa.float64()) for x in ((scores, evidence) if apart else (scores,))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in batch.schema.names), *more], [*batch.schema.names, "score", "evidence"][: len(batch.schema.names) + len(more)])
 
     return run
 
 
+BAD, GOOD, TOXIC = 0, 1, 2
+
+
 def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> dict[int, int]:
-    """id -> quality of at most `limit` labelled rows, in the order of a hash of the id."""
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return {r.doc_id: int(r.quality) for r in rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(limit).collect()}
+    """id -> TOXIC, GOOD or BAD of at most `limit` labelled rows, in the order of a hash of the id.
+
+    A document is good if a label gives it quality 1 and none calls it toxic.
+    """
+    toxic = F.coalesce(F.max("toxic"), F.lit(0)) == 1
+    rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.when(toxic, TOXIC).otherwise(F.max("quality")).alias("kind"))
+    rows = rows.where("kind is not null")
+    return {r.doc_id: int(r.kind) for r in rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(limit).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
-    """Log ratios by bucket and the cut-off, from docs(id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, float]:
+    """The model and the cut-off of scores, from docs(id, text)."""
     sample = labelled_sample(labels, limit)
     if len(set(sample.values())) < 2:
-        return np.zeros(BUCKETS), -1.0
+        return Model(np.zeros(BUCKETS), np.zeros(WORD_BUCKETS), np.inf), -1.0
     halves: tuple[dict[int, int], dict[int, int]] = ({}, {})
-    for n, (id_, quality) in enumerate(sample.items()):
-        halves[n % 2][id_] = quality
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    for n, (id_, kind) in enumerate(sample.items()):
+        halves[n % 2][id_] = kind
+    raw, target = np.zeros(BUCKETS + WORD_BUCKETS), np.zeros(BUCKETS + WORD_BUCKETS)
     parts = docs.mapInArrow(_counted(halves[0]), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     for bucket, r, t in parts.collect():
         raw[bucket] += r
         target[bucket] += t
+    others, toxic = raw[BUCKETS:], target[BUCKETS:]
+    raw, target = raw[:BUCKETS] + 1, target[:BUCKETS] + 1
     ratios = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    kinds = list(halves[0].values())
+    n_toxic = kinds.count(TOXIC)
+    evidence = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((others + 0.5) / (len(kinds) - n_toxic + 1))
     held = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in halves[1]], "of long"))
-    scores = docs.join(held, F.col("id") == F.col("of"), "left_semi").mapInArrow(_scored(ratios), "id long, text string, score double").select("id", "score")
-    return ratios, best_cutoff([(s, halves[1][i]) for i, s in scores.collect()])
+    scored = docs.join(held, F.col("id") == F.col("of"), "left_semi").mapInArrow(_scored(Model(ratios, evidence, np.inf), apart=True), "id long, text string, score double, evidence double")
+    found = [(s, e, halves[1][i]) for i, s, e in scored.select("id", "score", "evidence").collect()]
+    most = -best_cutoff([(-e, int(kind != TOXIC)) for _, e, kind in found]) if n_toxic and any(kind == TOXIC for *_, kind in found) else np.inf
+    return Model(ratios, evidence, most), best_cutoff([(s, int(kind == GOOD)) for s, e, kind in found if e <= most])
 
 
 def best_cutoff(scored: list[tuple[float, int]]) -> float:
@@ -153,16 +203,16 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log((F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> tuple[DataFrame, np.ndarray, float]:
-    """(id, score, rank_key, keep) of every row; the ratios; the least rank key kept."""
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> tuple[DataFrame, Model, float]:
+    """(id, score, rank_key, keep) of every row; the model; the least rank key kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ratios, at = fit(texts, labels, limit)
-    rows = texts.mapInArrow(_scored(ratios), "id long, text string, score double").select("id", "score")
+    model, at = fit(texts, labels, limit)
+    rows = texts.mapInArrow(_scored(model), "id long, text string, score double").select("id", "score")
     rows = cut(rows.withColumn("rank_key", F.col("score") + gumbel(F.col("id"))))
     k = rows.where(F.col("score") >= at).count()
     least = kth_smallest(rows.select((-F.col("rank_key")).alias("x")), "x", k)
     floor = float("inf") if least is None else -least
-    return rows.withColumn("keep", F.col("rank_key") >= floor), ratios, floor
+    return rows.withColumn("keep", F.col("rank_key") >= floor), model, floor
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +223,8 @@ def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the resampling keeps."""
-    _, ratios, floor = resample(docs, table(spark, sf_dir, "labels"))
+    _, model, floor = resample(docs, table(spark, sf_dir, "labels"))
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"id long, text string, rest {packed.schema['rest'].dataType.simpleString()}, score double"
-    rows = packed.mapInArrow(_scored(ratios), schema).where(F.col("score") + gumbel(F.col("id")) >= floor)
+    rows = packed.mapInArrow(_scored(model), schema).where(F.col("score") + gumbel(F.col("id")) >= floor)
     return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])

@@ -131,3 +131,24 @@ def test_quality_without_labels_keeps_all(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "")], "doc_id long, text string")
     got, _, _ = quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [r.keep for r in got.collect()] == [True] * 3
+
+
+def test_toxic_documents_go(spark):
+    draw = random.Random(17)
+    words = ["".join(draw.choice("abcdefg") for _ in range(draw.randint(2, 6))) for _ in range(200)]
+    rows, labels = [], []
+    for n in range(400):
+        text = [draw.choice(words) for _ in range(80)]
+        if n % 8 == 0:
+            text = [w + draw.choice(["###", "%%%"]) for w in text]
+        elif n % 8 == 1:
+            for at in draw.sample(range(80), 3):
+                text[at] = draw.choice(["idiot", "moron,", "Clown"])
+        rows.append((n, " ".join(text)))
+        if n < 240:
+            labels.append((n, int(n % 8 != 0), int(n % 8 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _, _ = quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = {r.id for r in got.collect() if r.keep}
+    assert not [n for n in kept if n % 8 < 2]
+    assert len(kept) >= 290
