@@ -7,8 +7,11 @@ character at SAMPLES times spread over [0, 2^level), level being the least one t
 the two levels above, so that texts of up to four times the length can be compared at one level. Likeness is
 2 * agreement - 1 over the times that either walk reaches, where a time that only one reaches counts as a coin toss.
 
-`near_links` finds near fingerprints: BANDS samples of BAND_BITS bits are bucket keys, every member of a bucket is
-verified against the bucket's least id (a star, not all pairs), and the verified links are returned.
+`near_links` finds near fingerprints. Equal ones are one node. For a level and each gap up to the levels that likeness
+accepts, BANDS samples of BAND_BITS bits are bucket keys, drawn from times that both walks reach whatever their length;
+all members of a bucket are compared with each other, buckets over a chunk by pairs of chunks (simhash.shard_links).
+`near_groups` takes a spanning forest of each bucket's links instead of all, and returns their components. A pair that
+meets in no band is not found: of pairs with a share s of equal bits, 1 - (1 - s ** BAND_BITS) ** BANDS are.
 
 The query walks documents in descending doc_id: they are dealt into ranges of the id whose bounds are quantiles
 (at most MAX_RANGES, each about RANGE_BYTES of text), sorted there and streamed; a copy of the next range's first
@@ -29,7 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.graph.components import connected_components
+from quillgraph.llm.simhash import shard_links
 from quillgraph.llm.tables import table
+from quillgraph.session import cut
 
 SEED = 9
 PERIOD = 4096
@@ -39,6 +45,8 @@ LEVELS = 3
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 4096
 BANDS, BAND_BITS = 24, 14
+NEAR = 0.5
+_NO_ID = 2**63 - 1
 _FIRST = -(2**63)
 _SLICE = 1 << 20
 
@@ -181,39 +189,136 @@ def walk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn("key", F.when(F.col("key") != _FIRST, F.col("key"))).withColumnRenamed("key", "id")
 
 
-def near_links(prints: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """(src, dst, likeness) of prints(id, fingerprint): every member of a bucket that is like its least id."""
+_ROW = np.dtype([("total", "<i8"), ("level", "u1"), ("side", "u1"), ("bits", "u1", SAMPLES // 8)])
+_SAME, _LONGER, _SHORTER = 0, 1, 2
+
+
+def _band_count(gap: int, at_least: float) -> int:
+    """Bands for texts `gap` levels apart: none if no likeness reaches the bound, one if only equal bits do."""
+    least_share = (1 + at_least * (2.0 ** (gap - 1) if gap else 1.0)) / 2
+    return 0 if least_share > 1 else 1 if least_share == 1 else BANDS
+
+
+def _keyed(at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     draw = np.random.default_rng(SEED)
-    picks = np.stack([draw.choice(SAMPLES, BAND_BITS, replace=False) for _ in range(BANDS)])
+    # a walk of level n reaches the first half of the samples of level n, a quarter of those of level n + 1 and so on
+    picks = [np.stack([draw.choice(SAMPLES >> gap + 1, BAND_BITS, replace=False) for _ in range(BANDS)]) for gap in range(LEVELS)]
+    weights = 1 << np.arange(BAND_BITS, dtype=np.int64)
+    roles = [(0, 0, _SAME)] + [role for gap in range(1, LEVELS) for role in ((0, gap, _LONGER), (gap, gap, _SHORTER))]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(BAND_BITS, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"id": [], "fingerprint": [], "band": [], "key": []}
-            for id_, print_ in zip(batch["id"].to_pylist(), batch["fingerprint"].to_pylist()):
-                _, level, *rows = print_.split(".")
-                for up in range(2):
-                    bits = np.unpackbits(np.frombuffer(bytes.fromhex(rows[up]), np.uint8))
-                    found = (bits[picks] * weights).sum(1)
-                    out["key"] += found.tolist()
-                    out["band"] += [(int(level, 16) + up) * BANDS + n for n in range(BANDS)]
-                    out["id"] += [id_] * BANDS
-                    out["fingerprint"] += [print_] * BANDS
-            yield pa.RecordBatch.from_pydict({"id": pa.array(out["id"], pa.int64()), "fingerprint": pa.array(out["fingerprint"], pa.string()), "band": pa.array(out["band"], pa.int32()), "key": pa.array(out["key"], pa.int64())})
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                split = [x.split(".") for x in part["fingerprint"].to_pylist()]
+                rows = np.zeros(len(split), _ROW)
+                rows["total"] = [int(x[0], 16) for x in split]
+                level = np.array([int(x[1], 16) for x in split], np.int32)
+                ids, walked = part["id"].to_numpy(), np.flatnonzero(rows["total"])
+                for up, gap, side in roles:
+                    count = _band_count(gap, at_least)
+                    if not count or not len(walked):
+                        continue
+                    rows["bits"] = np.frombuffer(bytes.fromhex("".join(x[2 + up] for x in split)), np.uint8).reshape(len(split), -1)
+                    rows["level"], rows["side"] = level + up, side
+                    keys = (np.unpackbits(rows["bits"], axis=1)[:, picks[gap][:count]] * weights).sum(2)
+                    shards = ((level + up)[:, None] * LEVELS + gap) * BANDS + np.arange(count)
+                    payload = pa.array([x.tobytes() for x in rows], pa.binary()).take(pa.array(np.repeat(walked, count)))
+                    yield pa.RecordBatch.from_pydict(
+                        {"shard": pa.array(shards[walked].ravel(), pa.int32()), "key": pa.array(keys[walked].ravel(), pa.int64()), "id": pa.array(np.repeat(ids[walked], count)), "print": payload}
+                    )
+
+    return run
+
+
+def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a bucket, or of two of its chunks, that are alike; with `spanning`, a forest that connects them."""
+    firsts = np.packbits(np.arange(SAMPLES) < np.arange(SAMPLES + 1)[:, None], axis=1).view(np.uint64)
+
+    def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("print").to_pylist()), _ROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker = Walker()
+        for batch in batches:
+            for n in range(batch.num_rows):
+                right = batch["right"].slice(n, 1)
+                alone = right.null_count == 1
+                ids, here = read(batch["left"].slice(n, 1))
+                others, there = (ids, here) if alone else read(right)
+                times = walker.times(int(here["level"][0]))
+                reach = [np.searchsorted(times, x["total"], side="left") for x in (here, there)]
+                bits = [np.ascontiguousarray(x["bits"]).view(np.uint64) for x in (here, there)]
+                parent = {int(i): int(i) for i in (*ids, *others)}
+
+                def root(x: int) -> int:
+                    while parent[x] != x:
+                        parent[x] = x = parent[parent[x]]
+                    return x
+
+                src, dst = [], []
+                for at in range(len(ids)):
+                    past = at + 1 if alone else 0
+                    both, either = np.minimum(reach[0][at], reach[1][past:]), np.maximum(reach[0][at], reach[1][past:])
+                    apart = np.bitwise_count((bits[0][at] ^ bits[1][past:]) & firsts[both]).sum(1, dtype=np.int64)
+                    # the same as Walker.likeness: equal bits, and half of those that only one reaches
+                    like = 2 * (both - apart + 0.5 * (either - both)) / np.maximum(either, 1) - 1.0
+                    sides = (here["side"][at] == _SAME) | (here["side"][at] != there["side"][past:])
+                    for to in others[past:][sides & (either > 0) & (like >= at_least)].tolist():
+                        if not spanning or root(int(ids[at])) != root(to):
+                            parent[root(int(ids[at]))] = root(to)
+                            src.append(int(ids[at]))
+                            dst.append(to)
+                yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
+def _distinct(prints: DataFrame) -> DataFrame:
+    least = F.min(F.coalesce(F.col("id"), F.lit(_NO_ID))).alias("least")
+    return cut(prints.groupBy("fingerprint").agg(least).withColumn("node", F.xxhash64("fingerprint")))
+
+
+def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
+    keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "shard int, key long, id long, print binary")
+    each = sum(_band_count(gap, at_least) * (2 if gap else 1) for gap in range(LEVELS))
+    links = shard_links(keyed, distinct.count() * each, _alike(at_least, spanning))
+    return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def near_links(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
+    """(src, dst, likeness) of prints(id, fingerprint): all pairs of fingerprints in a bucket that are alike.
+
+    Ends are the least ids of their fingerprints, the larger one first, null ids last; copies are linked to that id.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = Walker()
         for batch in batches:
-            like = pa.array([walker.likeness(a, b) for a, b in zip(batch["fingerprint"].to_pylist(), batch["first"].to_pylist())], pa.float64())
-            rows = pa.RecordBatch.from_pydict({"src": batch["id"], "dst": batch["least"], "likeness": like})
-            yield rows.filter(pa.array([x >= at_least for x in like.to_pylist()], pa.bool_()))
+            like = [walker.likeness(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+            yield pa.RecordBatch.from_pydict({"x": batch["x"], "y": batch["y"], "likeness": pa.array(like, pa.float64())})
+
+    distinct = _distinct(prints)
+    a = distinct.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("least").alias("x"))
+    b = distinct.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), F.col("least").alias("y"))
+    links = _node_links(distinct, at_least, False).join(a, "src").join(b, "dst").select("a", "b", "x", "y").mapInArrow(verify, "x long, y long, likeness double")
+    ids = prints.select(F.coalesce(F.col("id"), F.lit(_NO_ID)).alias("x"), "fingerprint")
+    copies = ids.join(distinct, "fingerprint").where("x <> least").select("x", F.col("least").alias("y"), F.lit(1.0).alias("likeness"))
+    src, dst = F.greatest("x", "y"), F.least("x", "y")
+    return links.unionByName(copies).select(F.when(src != _NO_ID, src).alias("src"), F.when(dst != _NO_ID, dst).alias("dst"), "likeness")
+
 
-    keyed = prints.select("id", "fingerprint").where("id is not null").mapInArrow(keys, "id long, fingerprint string, band int, key long")
-    least = keyed.groupBy("band", "key").agg(F.min("id").alias("least"))
-    met = keyed.select("id", "band", "key").join(least, ["band", "key"]).where("id <> least").select("id", "least").distinct()
-    first = prints.select(F.col("id").alias("least"), F.col("fingerprint").alias("first"))
-    return met.join(prints.select("id", "fingerprint"), "id").join(first, "least").select("id", "fingerprint", "least", "first").mapInArrow(verify, "src long, dst long, likeness double")
+def near_groups(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
+    """(fingerprint, near_group) of each fingerprint: the least id that links lead to; null if all ids are null."""
+    distinct = _distinct(prints)
+    found = connected_components(_node_links(distinct, at_least, True))
+    known = distinct.join(found, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("component"))
+    least = known.groupBy("component").agg(F.min("least").alias("first"))
+    return known.join(least, "component").select("fingerprint", F.when(F.col("first") != _NO_ID, F.col("first")).alias("near_group"))
 
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    rows = cut(walk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    groups = near_groups(rows.select("id", "fingerprint"))
+    return rows.join(groups, "fingerprint").select(F.col("id").alias("doc_id"), *[c for c in rows.columns if c != "id"], "near_group")

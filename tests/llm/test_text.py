@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import editprints, pieces, private, quality
+from quillgraph.llm import editprints, pieces, private, quality, simhash
 
 
 def test_encoding_equals_the_library_and_decodes():
@@ -71,6 +71,26 @@ def test_few_edits_stay_near_and_banding_finds_them(spark):
     assert links <= {(n + 8, n) for n in range(8)} and len(links) >= 7
 
 
+def test_links_in_crowded_buckets_and_across_lengths(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(editprints, "BAND_BITS", 3)
+    draw = random.Random(23)
+    walker = editprints.Walker()
+    base = ["".join(draw.choice("abcdefghij ") for _ in range(draw.choice([90, 150, 230, 400]))) for _ in range(60)]
+    texts = [(n, x) for n, x in enumerate(base)] + [(100 + n, x + x[: len(x) // 5]) for n, x in enumerate(base)]
+    texts += [(200, base[50]), (None, base[51]), (None, base[52][:-1]), (300, "")]
+    rows = [(i, walker.fingerprint(x)) for i, x in texts]
+    prints = spark.createDataFrame(rows, "id long, fingerprint string")
+    like = {(a, b): walker.likeness(p, q) for a, p in rows for b, q in rows if a is not None and b is not None and a > b}
+    want = {pair for pair, x in like.items() if x >= 0.5} - {(200, 150)}
+    links = {(r.src, r.dst): r.likeness for r in editprints.near_links(prints).collect()}
+    assert {pair for pair in links if None not in pair} == want and links[200, 50] == 1.0 and links[None, 51] == 1.0
+    assert all(links[pair] == like[pair] for pair in want)
+    group = {r.fingerprint: r.near_group for r in editprints.near_groups(prints).collect()}
+    assert all(group[rows[a][1]] == group[rows[b][1]] for a, b in ((n, n + 60) for n in range(60)) if like[100 + a, a] >= 0.5)
+    assert group[walker.fingerprint(base[52][:-1])] == 52
+
+
 def brute_spans(text):
     out = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
