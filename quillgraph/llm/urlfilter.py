@@ -3,13 +3,14 @@
 A rule (host, path) fits a page if the page's host is the rule's or a subdomain of it and the page's path starts with
 the rule's path; the longest rule wins. Pages without a rule inherit: redirects (meta refresh, or rows the caller
 brings) and canonical links are undirected edges between addresses, and every page of a connected component that
-holds a blocked page is blocked unless a rule of its own allows it. All other pages are allowed.
+holds an address that a rule blocks, page or not, is blocked unless a rule of its own allows it. All other pages are
+allowed. The SQL seeds from pages only, so it agrees where no blocked target is missing from pages.
 
 An address is scheme-less, with a lower-case host and without fragment, so http/https and fragments are one node.
 Components are distributed (quillgraph.graph.components); nothing is collected. Rules are the caller's short list.
 
 Defined cases: null urls and urls without "://" have empty host and path, fit no rule and have no edges, so they are
-allowed; null or broken html has no edges; targets that are no page still connect pages; repeated pages are judged
+allowed; null or broken html has no edges; targets that are no page connect pages and are judged; repeated pages are judged
 alike; an empty table gives an empty result.
 """
 
@@ -84,7 +85,9 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("own", own_rule(F.col("host"), F.col("path"), rules)).withColumn("node", address(F.col("url"))).drop("url")
     rows = cut(rows.join(component.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of"))
-    bad = rows.where("component is not null and own.verdict = 'block'").select("component").distinct().withColumn("bad", F.lit(True))
+    # every address of a component is judged, also those that are no page
+    node_rule = own_rule(*host_and_path(F.concat(F.lit("http://"), F.col("node"))), rules)
+    bad = component.where(node_rule["verdict"] == "block").select("component").distinct().withColumn("bad", F.lit(True))
     rows = rows.join(bad.withColumnRenamed("component", "of"), F.col("component") == F.col("of"), "left")
     inherited = F.col("own").isNull() & F.coalesce("bad", F.lit(False))
     verdict = F.when(inherited, "block").otherwise(F.coalesce("own.verdict", F.lit("allow")))

@@ -73,3 +73,16 @@ def test_urls(spark):
     assert got[6][2:] == got[7][2:] == ("org/fr/", "allow")
     assert got[8][2:] == ("example.net/en/", "allow")
     assert got[9][3] == "block" and got[10][2:] == ("net/", "block")
+
+
+def test_blocked_targets_that_are_no_page_block(spark):
+    rows = [
+        (1, "http://a.com/x", '<link rel="canonical" href="http://b.net/y?q=1">'),
+        (2, "http://c.com/", '<link rel="canonical" href="http://a.com/x">'),
+        (3, "http://d.com/", None),
+        (4, "http://e.com/", '<link rel="canonical" href="http://f.com/z">'),
+        (5, "http://c.org/fr/k", '<link rel="canonical" href="http://a.com/x">'),
+    ]
+    moves = spark.createDataFrame([("http://d.com/", "http://example.com/de/q")], "src string, dst string")
+    got = {r.id: (r.verdict, r.inherited) for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), redirects=moves).collect()}
+    assert got == {1: ("block", True), 2: ("block", True), 3: ("block", True), 4: ("allow", False), 5: ("allow", False)}
