@@ -250,13 +250,7 @@ def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch
                 times = walker.times(int(here["level"][0]))
                 reach = [np.searchsorted(times, x["total"], side="left") for x in (here, there)]
                 bits = [np.ascontiguousarray(x["bits"]).view(np.uint64) for x in (here, there)]
-                parent = {int(i): int(i) for i in (*ids, *others)}
-
-                def root(x: int) -> int:
-                    while parent[x] != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
+                labels = np.arange(len(ids) + (0 if alone else len(others)))
                 src, dst = [], []
                 for at in range(len(ids)):
                     past = at + 1 if alone else 0
@@ -265,11 +259,15 @@ def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch
                     # the same as Walker.likeness: equal bits, and half of those that only one reaches
                     like = 2 * (both - apart + 0.5 * (either - both)) / np.maximum(either, 1) - 1.0
                     sides = (here["side"][at] == _SAME) | (here["side"][at] != there["side"][past:])
-                    for to in others[past:][sides & (either > 0) & (like >= at_least)].tolist():
-                        if not spanning or root(int(ids[at])) != root(to):
-                            parent[root(int(ids[at]))] = root(to)
-                            src.append(int(ids[at]))
-                            dst.append(to)
+                    found = np.flatnonzero(sides & (either > 0) & (like >= at_least))
+                    if spanning and len(found):
+                        new = labels[past if alone else len(ids) :][found]
+                        found, new = found[new != labels[at]], new[new != labels[at]]
+                        new, first = np.unique(new, return_index=True)
+                        found = found[first]
+                        labels[np.isin(labels, new)] = labels[at]
+                    src += [int(ids[at])] * len(found)
+                    dst += others[past:][found].tolist()
                 yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
