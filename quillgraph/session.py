@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,8 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; make one only where none is set, as in tests."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-checkpoint-"))
 
 
@@ -32,3 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there, so that a lost executor costs no rerun."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as `cut`, as a Parquet table: smaller, and only the columns that are needed are read again."""
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
