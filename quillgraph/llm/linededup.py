@@ -4,64 +4,92 @@ An occurrence of a line is removed if an earlier occurrence (smaller id, or the
 to it or, for lines of at least MIN_CHARS characters, within EDITS edits of it. Lines are judged on the input, not on
 what is left; blank lines stay.
 
-Distinct lines of length l are cut into EDITS + 1 segments; two lines within EDITS edits share a segment of the shorter
-one at a place that the length difference bounds (the multi-match-aware windows), so each line also probes those
-substrings for every shorter length it could match. Segments and probes meet by a hash in one join, which also asks
-for letter counts that EDITS edits can explain, so lines that only share a segment aren't paired. Pairs are verified
-by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals. Equal lines are grouped first, by an md5, and
-only each distinct line's first occurrence is joined.
+Equal lines are grouped first, by an md5, and each distinct line's first occurrence is written to a table together with
+its segment keys. A line is cut into EDITS + 1 = 3 segments: the first w characters, the last w, and the middle; w comes
+from the lower end of a class of lengths, so lines of one class are cut alike. Of two lines within two edits, one
+segment has no edit: the first or the last segment is the same in both, or the middle is, moved by at most one
+character, as the two segments around it then have one edit each. So a line has one key for each of the outer segments
+and two for the middle (at its place and one character later), and again for the class below if a line two characters
+shorter falls in it. Lines that share a key, and whose letter counts two edits can explain, are pairs; pairs are
+verified by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals.
+
+A key that over HOT lines share makes no pairs at once. Its lines meet its first line, and those within two edits of it
+are decided (they are later lines, but remain as earlier lines of others). The others are cut once more: what is left of
+a line without the shared segment is within two edits as well, so the keys of the rest, beside the first key, find all
+the pairs again, in far smaller groups.
 
 Defined cases: null and empty texts have no lines and come back as they are; null ids are one id that comes last;
-rows that share an id are ordered by text, and equal rows are one document that is returned as often as it comes;
-very long lines are lines like any other; an empty table gives an empty result.
+rows that share an id are ordered by a 64-bit hash of the text, and equal rows are one document that is returned as
+often as it comes; very long lines are lines like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.tables import table
-from quillgraph.session import cut
+from quillgraph.session import cut, written
 
 EDITS = 2
 MIN_CHARS = 24
+HOT = 100
 MAX_BROADCAST_LINES = 400_000
-#: Counted in each line; the choice only decides how many pairs are left to verify.
-LETTERS = ("e", "a", "n", "t", "o", "i", "r", "s")
-_BITS = 6
+#: Counted in each line, 15 at most; the choice only decides how many pairs are left to verify.
+LETTERS = (" ", "e", "a", "n", "t", "o", "i", "r", "s", "l", "d", "u", "c", "m", "g")
 _LAST = 2**63 - 1
+_HIGH = 0x0888888888888888
+_LOW = 0x0777777777777777
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the edits + 1 segments of a line of this length; longer ones last."""
-    many = edits + 1
-    small, extra = F.floor(length / many).cast("int"), (length % many).cast("int")
-    out = []
-    for n in range(many):
-        before = F.greatest(F.lit(0), F.lit(n - many) + extra)
-        out.append(((small * n + before).cast("int"), F.when(F.lit(n) >= F.lit(many) - extra, small + 1).otherwise(small).cast("int")))
-    return out
+def _class(size: Column) -> Column:
+    """The lower end of the class of lengths that a length falls in; classes grow with the length."""
+    width = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(size.cast("long"))) - 3, F.lit(1)))
+    return (size - size % width).cast("int")
+
+
+def classes(size: Column) -> Column:
+    """The classes of a length in which a line within two characters may be cut."""
+    return F.array_distinct(F.array(_class(size), _class(F.greatest(size - EDITS, F.lit(8)))))
+
 
+def spans(size: Column) -> Column:
+    """Array of (low, kind, start, width) of the segments; kind 1 is the middle, at two places."""
 
-def _key(length: Column, n: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(n), part)
+    def of(low: Column) -> Column:
+        w = F.floor(low / 3).cast("int")
+        parts = [(0, F.lit(0), w), (1, w, low - 2 * w - 1), (1, w + 1, low - 2 * w - 1), (2, size - w, w)]
+        return F.array(*[F.struct(low.alias("low"), F.lit(kind).alias("kind"), start.cast("int").alias("start"), width.cast("int").alias("width")) for kind, start, width in parts])
 
+    return F.flatten(F.transform(classes(size), of))
 
-def segment_keys(line: Column, size: Column, edits: int) -> Column:
-    return F.array(*[_key(size, n, F.substring(line, start + 1, width)) for n, (start, width) in enumerate(_segments(size, edits))])
 
+def _key(line: Column, span: Column) -> Column:
+    return F.xxhash64(span["low"], span["kind"], F.substring(line, span["start"] + 1, span["width"]))
 
-def probe_keys(line: Column, size: Column, edits: int) -> Column:
-    """Keys of the substrings of a line that can be a segment of a line that is 0 to `edits` characters shorter."""
-    out = []
-    for less in range(edits + 1):
-        for n, (start, width) in enumerate(_segments(size - less, edits)):
-            low, high = max(-n, less - (edits - n)), min(n, less + (edits - n))
-            for shift in range(low, high + 1):
-                inside = (start + shift >= 0) & (start + shift + width <= size)
-                out.append(F.when(inside, _key((size - less).cast("int"), n, F.substring(line, start + shift + 1, width))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+
+def segment_keys(line: Column) -> Column:
+    return F.array_distinct(F.transform(spans(F.length(line)), lambda s: _key(line, s)))
+
+
+def counts(line: Column) -> Column:
+    """Letter counts modulo 16, four bits each."""
+    out = F.lit(0).cast("long")
+    for n, letter in enumerate(LETTERS):
+        many = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long").bitwiseAND(F.lit(15))
+        out = out.bitwiseOR(F.shiftleft(many, 4 * n))
+    return out
+
+
+def difference(a: Column, b: Column) -> Column:
+    """The least sum of count differences, all counts at once; what the modulus hides only lets more pairs pass."""
+    high, low = F.lit(_HIGH), F.lit(_LOW)
+    minus = (a.bitwiseOR(high) - b.bitwiseAND(low)).bitwiseXOR(a.bitwiseXOR(F.bitwise_not(b)).bitwiseAND(high))
+    sign = F.shiftright(minus.bitwiseAND(high), 3)
+    size = minus.bitwiseXOR(F.shiftleft(sign, 4) - sign) + sign
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0xFFFFFFFF)):
+        size = size.bitwiseAND(F.lit(mask)) + F.shiftright(size, shift).bitwiseAND(F.lit(mask))
+    return size
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -69,7 +97,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     The columns of the distance matrix are b's characters; of each column only the band of 2 * edits + 1 rows around
     the diagonal is kept, as two bit vectors of the +1 and -1 steps down the band (Myers' bit-parallel recurrence in its
-    banded form). The band moves down one row each column; `score` is the distance at its last row.
+    banded form). The band moves down one row each column; `score` is the distance at its last row. Steps along the band
+    change it by one each, so over 3 * edits it can't come back, and the rest of b is passed over.
     """
     band = 2 * edits + 1
     full, top = (1 << band) - 1, 1 << (band - 1)
@@ -82,8 +111,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             row = x["at"] - edits + k
             same = F.when((row >= 1) & (row <= size_a), F.get(a, row - 1) == x["char"]).otherwise(False)
             match = match.bitwiseOR(F.when(same, 1 << k).otherwise(0))
-        match, vp, vn = F.struct(match.alias("v")), acc["vp"], acc["vn"]
-        return F.struct(match["v"].alias("m"), vp.alias("vp"), vn.alias("vn"), acc["score"].alias("score"))
+        return F.struct(match.alias("m"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["score"].alias("score"))
 
     def diagonal(x: Column) -> Column:
         d0 = (x["m"].bitwiseAND(x["vp"]) + x["vp"]).bitwiseXOR(x["vp"]).bitwiseOR(x["m"]).bitwiseOR(x["vn"]).bitwiseAND(F.lit(full))
@@ -99,7 +127,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         # one-element arrays bind what the next line uses more than once
-        return F.get(F.transform(F.transform(F.array(column(acc, x)), diagonal), move), F.lit(0))
+        moved = F.get(F.transform(F.transform(F.array(column(acc, x)), diagonal), move), F.lit(0))
+        return F.when(acc["score"] > 3 * edits, acc).otherwise(moved)
 
     start = F.struct(F.lit(((1 << edits + 1) - 1) << edits & full).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("score"))
     chars = F.transform(b, lambda c, n: F.struct((n + 1).alias("at"), c.alias("char")))
@@ -111,91 +140,125 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             beyond = size_b + 1 - edits + k > size_a
             delta = F.when(acc["vp"].bitwiseAND(F.lit(1 << k)) != 0, 1).when(acc["vn"].bitwiseAND(F.lit(1 << k)) != 0, -1).otherwise(0)
             total = total - F.when(beyond, delta).otherwise(0)
-        return total
+        return F.when(acc["score"] > 3 * edits, edits + 1).otherwise(total)
 
     return F.aggregate(chars, start, step, finish) <= edits
 
 
-def _counts(line: Column) -> Column:
-    """Eight letter counts modulo 2 ** _BITS, and 14 bits of the length above."""
-    out = F.shiftleft((F.length(line) % 0x4000).cast("long"), _BITS * len(LETTERS))
-    for n, letter in enumerate(LETTERS):
-        many = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))) % (1 << _BITS)
-        out = out.bitwiseOR(F.shiftleft(many.cast("long"), _BITS * n))
-    return out
-
-
-def _size(counts: Column) -> Column:
-    return F.shiftright(counts, _BITS * len(LETTERS))
-
-
-def _difference(a: Column, b: Column) -> Column:
-    """The least sum of count differences; what the modulus hides only lets more pairs pass."""
-    out = F.lit(0).cast("long")
-    for n in range(len(LETTERS)):
-        x, y = (F.shiftright(c, _BITS * n).bitwiseAND(F.lit((1 << _BITS) - 1)) for c in (a, b))
-        out = out + F.least(F.pmod(x - y, F.lit(1 << _BITS)), F.pmod(y - x, F.lit(1 << _BITS)))
-    return out
-
-
-def _lines_at(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, at, line) of wanted(key, ats); at is copy << 32 | number of the line."""
-    met = rows.join(wanted, "key").withColumn("parts", F.split("text", "\n", -1))
-    here = F.filter("ats", lambda x: F.shiftright(x, 32) == F.col("copy"))
-    found = F.transform(here, lambda x: F.struct(x.alias("at"), F.get(F.col("parts"), x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("line")))
-    return met.select("key", F.explode(found).alias("x")).select("key", "x.at", "x.line")
-
-
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Distinct candidate pairs (a, b) of structs (key, at) of lines(key, at, line), b not the shorter line."""
-    rows = lines.select("key", "at", F.length("line").alias("size"), _counts(F.col("line")).alias("counts"), "line")
-    index = rows.select(F.col("key").alias("key_a"), F.col("at").alias("at_a"), F.col("counts").alias("counts_a"), F.explode(segment_keys(F.col("line"), F.col("size"), edits)).alias("k"))
-    probe = rows.select(F.col("key").alias("key_b"), F.col("at").alias("at_b"), F.col("counts").alias("counts_b"), F.explode(probe_keys(F.col("line"), F.col("size"), edits)).alias("k"))
-    # keys hold the shorter line's length; between lines of one length both ways are found, and one is kept by place
-    more = (_size(F.col("counts_b")) - _size(F.col("counts_a"))) % 0x4000
-    a, b = F.struct(F.col("key_a").alias("key"), F.col("at_a").alias("at")), F.struct(F.col("key_b").alias("key"), F.col("at_b").alias("at"))
-    near = ((more != 0) | (a < b)) & (_difference(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
-    return index.join(probe, (index["k"] == probe["k"]) & near).select(a.alias("a"), b.alias("b")).distinct()
+def near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Whether two lines are within the edits; their characters are split once, as a lambda's variable."""
+    both = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
+    verified = F.get(F.transform(both, lambda x: within_edits(x["a"], x["b"], edits)), F.lit(0))
+    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, verified).otherwise(False)
+
+
+def _small(rows: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(rows) if many <= MAX_BROADCAST_LINES else rows
+
+
+def _place(c: str) -> Column:
+    return F.struct(*[F.col(f"{x}_{c}") for x in ("key", "copy", "n")])
+
+
+def _lines_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, key, copy, n, line, counts) of wanted(id, key, copy, n), read from the documents."""
+    wanted = cut(wanted)
+    many = wanted.count()
+    listed = wanted.groupBy("key", "copy").agg(F.collect_list(F.struct("n", "id")).alias("ns"))
+    met = rows.dropDuplicates(["key", "copy"]) if "repeated" in rows.columns else rows
+    met = met.join(_small(listed, many), ["key", "copy"])
+    line = lambda x: F.struct(x["id"].alias("id"), x["n"].alias("n"), F.get(F.col("parts"), x["n"]).alias("line"))
+    found = met.select("key", "copy", "ns", F.split("text", "\n", -1).alias("parts")).select("key", "copy", F.explode(F.transform("ns", line)).alias("x"))
+    return cut(found.select("x.id", "key", "copy", "x.n", "x.line").withColumn("counts", counts(F.col("line"))))
+
+
+def _side(lines: DataFrame, name: str, *more: str) -> DataFrame:
+    return lines.select(*more, *[F.col(c).alias(f"{c}_{name}") for c in ("id", "key", "copy", "n", "counts", "line")])
+
+
+def _later(pairs: DataFrame, edits: int) -> DataFrame:
+    """Distinct ids of lines b of pairs with both lines that are within the edits of a."""
+    # dealt by both ends, so that few tasks with many pairs of one line can't arise
+    pairs = pairs.select("id_a", "id_b", "line_a", "line_b").repartition("id_a", "id_b")
+    return pairs.where(near(F.col("line_a"), F.col("line_b"), edits)).select(F.col("id_b").alias("id")).distinct()
+
+
+def _close(edits: int) -> Column:
+    return difference(F.col("counts_a"), F.col("counts_b")) <= 2 * edits
+
+
+def _hot_later(lines: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
+    """Ids of lines that share a hot key with an earlier line within the edits."""
+    line = F.col("line")
+    span = lines.select(*lines.columns, F.explode(spans(F.length("line"))).alias("s")).withColumn("k", _key(line, F.col("s")))
+    rest = F.concat(F.substring(line, F.lit(1), F.col("s.start")), F.expr("substring(line, s.start + s.width + 1)"))
+    rows = cut(span.join(hot, "k").select("k", *lines.columns, rest.alias("rest")).dropDuplicates(["k", "id", "rest"]))
+    first = rows.groupBy("k").agg(F.min(F.struct("key", "copy", "n", "id", "counts", "line")).alias("f")).select("k", "f.*")
+    pairs = rows.transform(_side, "b", "k").join(_side(first, "a", "k"), "k").where((F.col("id_a") != F.col("id_b")) & _close(edits))
+    decided = cut(_later(pairs.dropDuplicates(["id_a", "id_b"]), edits))
+    finer = cut(rows.select("k", "id", "key", "copy", "n", "counts", F.explode(segment_keys(F.col("rest"))).alias("k2")))
+    a = finer.select("k", "k2", *[F.col(c).alias(f"{c}_a") for c in ("id", "key", "copy", "n", "counts")])
+    b = finer.join(decided, "id", "left_anti").select("k", "k2", *[F.col(c).alias(f"{c}_b") for c in ("id", "key", "copy", "n", "counts")])
+    pairs = a.join(b, ["k", "k2"]).where((_place("a") < _place("b")) & _close(edits)).select("id_a", "id_b").distinct()
+    pairs = pairs.join(_side(lines, "a"), "id_a").join(_side(lines, "b"), "id_b")
+    return decided.unionByName(_later(pairs, edits))
+
+
+def later_lines(rows: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Ids of the distinct lines first(id, key, copy, n, counts, keys) that are within the edits of an earlier one."""
+    keyed = first.where("keys is not null").select("id", "counts", F.explode("keys").alias("k"))
+    hot = cut(keyed.groupBy("k").count().where(F.col("count") > HOT).select("k"))
+    many = hot.count()
+    cold = keyed.join(_small(hot, many), "k", "left_anti") if many else keyed
+    a, b = (cold.select("k", F.col("id").alias(f"id_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+    pairs = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & _close(edits)).select("id_a", "id_b")
+    pairs = cut(pairs.distinct())
+    wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
+    if many:
+        hot_ids = cut(keyed.join(_small(hot, many), "k", "left_semi").select("id").distinct())
+        wanted = wanted.unionByName(hot_ids)
+    lines = _lines_of(rows, first.join(wanted.distinct(), "id", "left_semi").select("id", "key", "copy", "n"))
+    # ids don't follow the places: the later line of a pair is told by the places
+    met = pairs.join(_side(lines, "a"), "id_a").join(_side(lines, "b"), "id_b")
+    swapped = [F.when(_place("a") < _place("b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("id", "line") for x, y in (("a", "b"), ("b", "a"))]
+    found = _later(met.select(*swapped), edits)
+    if many:
+        found = found.unionByName(_hot_later(lines.join(hot_ids, "id", "left_semi"), hot, edits))
+    return cut(found.distinct())
 
 
 def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, ats): the lines that stay, of rows(key, text, copy)."""
+    """(key, copy, ns): the numbers of the lines that stay, of rows(key, copy, text)."""
+    line = F.col("line")
     lines = rows.select("key", "copy", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where(F.trim("line") != "")
-    at = F.shiftleft(F.col("copy").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    first = lines.select(F.md5(F.col("line").cast("binary")).alias("h"), F.struct("key", at.alias("at")).alias("p"), F.length("line").alias("size"))
-    first = cut(first.groupBy("h").agg(F.min("p").alias("p"), F.max("size").alias("size")).select("p.key", "p.at", "size"))
-    wanted = first.where(F.col("size") >= min_chars).groupBy("key").agg(F.collect_list("at").alias("ats"))
-    pairs = cut(near_lines(_lines_at(rows, wanted), edits))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct().select("p.key", "p.at").groupBy("key").agg(F.collect_list("at").alias("ats"))
-    if 2 * pairs.count() <= MAX_BROADCAST_LINES:
-        ends = F.broadcast(ends)
-    text = _lines_at(rows, ends).select(F.struct("key", "at").alias("p"), "line")
-    met = pairs.join(text.select(F.col("p").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("p").alias("b"), F.col("line").alias("line_b")), "b")
-    met = met.select("a", "b", F.split("line_a", "").alias("chars_a"), F.split("line_b", "").alias("chars_b"))
-    later = met.where(within_edits(F.col("chars_a"), F.col("chars_b"), edits)).select(F.greatest("a", "b").alias("p")).distinct().select("p.key", "p.at")
-    return first.select("key", "at").join(later, ["key", "at"], "left_anti").groupBy("key").agg(F.collect_list("at").alias("ats"))
+    long = F.length(line) >= min_chars
+    lines = lines.select(F.md5(line.cast("binary")).alias("h"), F.struct("key", "copy", "n").alias("p"), F.when(long, counts(line)).alias("counts"), F.when(long, segment_keys(line)).alias("keys"))
+    first = lines.groupBy("h").agg(F.min("p").alias("p"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
+    first = written(first.select(F.monotonically_increasing_id().alias("id"), "p.*", "counts", "keys"))
+    later = later_lines(rows, first, edits)
+    return first.select("id", "key", "copy", "n").join(later, "id", "left_anti").groupBy("key", "copy").agg(F.collect_list("n").alias("ns"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc (all its other columns as a struct), text (what is left), n_lines, n_removed."""
+    if edits != 2:
+        raise ValueError("the segments are laid out for two edits")
     others = [c for c in docs.columns if c != text_col]
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))
+    unique = docs.groupBy(key.alias("key")).count().where("count > 1").isEmpty()
+    copy = F.lit(0).cast("long") if unique else F.xxhash64(F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`"))
+    texts = docs.select(key.alias("key"), copy.alias("copy"), F.col(f"`{text_col}`").alias("text"))
+    if not unique:
+        texts = texts.withColumn("repeated", F.lit(True))
     if others == [id_col]:
-        rows = texts
+        rows = texts.select("key", "copy", "text")
         doc = F.struct(F.when(F.col("key") != _LAST, F.col("key")).alias(id_col))
     else:
-        rows = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"))
+        rows = docs.select(key.alias("key"), copy.alias("copy"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"))
         doc = F.col("doc")
-    if texts.groupBy("key").count().where("count > 1").isEmpty():
-        copy = F.lit(1)
-    else:
-        copy = F.dense_rank().over(Window.partitionBy("key").orderBy("text"))
-    kept = kept_lines(texts.withColumn("copy", copy), edits, min_chars).withColumnRenamed("ats", "kept")
-    rows = rows.withColumn("copy", copy)
-    parts = rows.join(kept, "key", "left").withColumn("parts", F.split("text", "\n", -1))
-    mine = F.filter(F.coalesce("kept", F.array().cast("array<bigint>")), lambda x: F.shiftright(x, 32) == F.col("copy"))
-    mine = F.transform(mine, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    kept = kept_lines(texts, edits, min_chars)
+    parts = rows.join(kept, ["key", "copy"], "left").withColumn("parts", F.split("text", "\n", -1))
+    mine = F.coalesce("ns", F.array().cast("array<int>"))
     numbered = F.transform("parts", lambda line, n: F.when(F.trim(line) == "", n))
     parts = parts.withColumn("stay", F.array_sort(F.concat(mine, F.array_compact(numbered))))
     left = F.array_join(F.transform("stay", lambda n: F.get(F.col("parts"), n)), "\n")

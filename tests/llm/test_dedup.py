@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillgraph.llm import linededup, simhash, suffixes
 
@@ -237,3 +238,63 @@ def test_block_changes_at_the_similarity_are_found(spark):
     rows = list(enumerate(rows))
     got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_near(rows) == {i: i - i % 2 for i, _ in rows}
+
+
+def test_lines_that_share_hot_segments_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 4)
+    draw = random.Random(15)
+    alphabet = "abcdefghijklmnop é"
+    head = "".join(draw.choice(alphabet) for _ in range(30))
+    tails = ["".join(draw.choice(alphabet) for _ in range(draw.randint(8, 40))) for _ in range(12)]
+
+    def variant(line, edits):
+        line = list(line)
+        for _ in range(edits):
+            at, kind = draw.randrange(len(line)), draw.random()
+            if kind < 0.5:
+                line[at] = draw.choice(alphabet)
+            elif kind < 0.75:
+                line.insert(at, draw.choice(alphabet))
+            else:
+                line.pop(at)
+        return "".join(line)
+
+    lines = [variant(head + draw.choice(tails), draw.choice([0, 1, 2, 3])) for _ in range(60)]
+    lines += [variant(draw.choice(tails) + head, draw.choice([0, 1, 2])) for _ in range(40)]
+    lines += [variant(head * 9, draw.choice([1, 2])) for _ in range(20)] + ["%s number %05d of all" % (head, n) for n in range(40)]
+    draw.shuffle(lines)
+    rows = [(n, "\n".join(lines[3 * n : 3 * n + 3])) for n in range(54)]
+    got = {r.doc.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_pairs_within_two_edits_share_a_key(spark):
+    draw = random.Random(16)
+    pairs = []
+    for n in range(600):
+        a = [draw.choice("abcde fghi") for _ in range(draw.randint(26, 140))]
+        b = list(a)
+        for _ in range(2):
+            at, kind = draw.choice([0, 1, len(b) - 1, draw.randrange(len(b)), len(b) // 3, 2 * len(b) // 3]), draw.random()
+            if kind < 0.3:
+                b[at] = "x"
+            elif kind < 0.65:
+                b.insert(at, "y")
+            else:
+                b.pop(at)
+        pairs.append((n, "".join(a), "".join(b)))
+    rows = spark.createDataFrame(pairs, "n int, a string, b string")
+    shared = F.size(F.array_intersect(linededup.segment_keys(F.col("a")), linededup.segment_keys(F.col("b")))) > 0
+    close = linededup.difference(linededup.counts(F.col("a")), linededup.counts(F.col("b"))) <= 4
+    assert rows.where(~(shared & close & linededup.near(F.col("a"), F.col("b")))).count() == 0
+
+
+def test_line_dedup_with_null_ids_repeated_rows_and_clashing_columns(spark):
+    draw = random.Random(17)
+    lines = ["".join(draw.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    rows = [(None, "\n".join(lines[:3]), 1, "x")] * 2 + [(None, "\n".join(lines[3:6]), 2, "y"), (None, None, 3, "z"), (4, lines[6] + "\n" + lines[0], 4, "w"), (4, lines[7], 5, "v"), (9, lines[8] * 400, 6, "u"), (10, lines[8] * 400 + "q", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, doc string")
+    got = sorted(((r.doc.key, r.doc.doc, r.text) for r in linededup.dedup_lines(docs).collect()), key=str)
+    rest = "\n".join(lines[1:3])
+    assert got == sorted([(1, "x", rest), (1, "x", rest), (2, "y", "\n".join(lines[3:6])), (3, "z", None), (4, "w", lines[6] + "\n" + lines[0]), (5, "v", lines[7]), (6, "u", lines[8] * 400), (7, None, "")], key=str)
+    assert linededup.dedup_lines(docs.limit(0)).count() == 0
