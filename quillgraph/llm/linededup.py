@@ -10,8 +10,9 @@ from the lower end of a class of lengths, so lines of one class are cut alike. O
 segment has no edit: the first or the last segment is the same in both, or the middle is, moved by at most one
 character, as the two segments around it then have one edit each. So a line has one key for each of the outer segments
 and two for the middle (at its place and one character later), and again for the class below if a line two characters
-shorter falls in it. Lines that share a key, and whose letter counts two edits can explain, are pairs; pairs are
-verified by a bit-parallel edit distance over a band of 2 * EDITS + 1 diagonals.
+shorter falls in it. Lines of lengths within two that share a key are pairs; their texts are read
+again, and those whose letter counts two edits can explain are verified by a bit-parallel edit distance over a band of
+2 * EDITS + 1 diagonals.
 
 A key that over HOT lines share makes no pairs at once. Its lines meet its first line, and those within two edits of it
 are decided (they are later lines, but remain as earlier lines of others). The others are cut once more: what is left of
@@ -48,28 +49,34 @@ def _class(size: Column) -> Column:
     return (size - size % width).cast("int")
 
 
-def classes(size: Column) -> Column:
-    """The classes of a length in which a line within two characters may be cut."""
-    return F.array_distinct(F.array(_class(size), _class(F.greatest(size - EDITS, F.lit(8)))))
+def _segments(size: Column, low: Column) -> list[tuple[int, Column, Column]]:
+    """(kind, start, width) of the segments of a line cut as in the class; kind 1 is the middle, at two places."""
+    w = F.floor(low / 3).cast("int")
+    return [(0, F.lit(0), w), (1, w, low - 2 * w - 1), (1, w + 1, low - 2 * w - 1), (2, size - w, w)]
 
 
-def spans(size: Column) -> Column:
-    """Array of (low, kind, start, width) of the segments; kind 1 is the middle, at two places."""
+def _classes(size: Column) -> tuple[Column, Column]:
+    """The classes in which a line of this length and a line two characters shorter are cut."""
+    return _class(size), _class(F.greatest(size - EDITS, F.lit(8)))
 
-    def of(low: Column) -> Column:
-        w = F.floor(low / 3).cast("int")
-        parts = [(0, F.lit(0), w), (1, w, low - 2 * w - 1), (1, w + 1, low - 2 * w - 1), (2, size - w, w)]
-        return F.array(*[F.struct(low.alias("low"), F.lit(kind).alias("kind"), start.cast("int").alias("start"), width.cast("int").alias("width")) for kind, start, width in parts])
 
-    return F.flatten(F.transform(classes(size), of))
-
-
-def _key(line: Column, span: Column) -> Column:
-    return F.xxhash64(span["low"], span["kind"], F.substring(line, span["start"] + 1, span["width"]))
+def segment_keys(line: Column) -> Column:
+    """Array of the keys; plain expressions, which Spark compiles, as lambda functions take four times as long."""
+    size = F.length(line)
+    own, below = _classes(size)
+    keys = [F.array(*[F.xxhash64(low, F.lit(kind), F.substring(line, start + 1, width)) for kind, start, width in _segments(size, low)]) for low in (own, below)]
+    return F.array_distinct(F.concat(keys[0], F.when(own != below, keys[1]).otherwise(F.array().cast("array<bigint>"))))
 
 
-def segment_keys(line: Column) -> Column:
-    return F.array_distinct(F.transform(spans(F.length(line)), lambda s: _key(line, s)))
+def spans(line: Column) -> Column:
+    """Array of (k, start, width): the keys with their segments' places."""
+    size = F.length(line)
+    out = []
+    for low in _classes(size):
+        for kind, start, width in _segments(size, low):
+            key = F.xxhash64(low, F.lit(kind), F.substring(line, start + 1, width))
+            out.append(F.struct(key.alias("k"), start.cast("int").alias("start"), width.cast("int").alias("width")))
+    return F.array_distinct(F.array(*out))
 
 
 def counts(line: Column) -> Column:
@@ -190,7 +197,7 @@ def _close(edits: int) -> Column:
 def _hot_later(lines: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
     """Ids of lines that share a hot key with an earlier line within the edits."""
     line = F.col("line")
-    span = lines.select(*lines.columns, F.explode(spans(F.length("line"))).alias("s")).withColumn("k", _key(line, F.col("s")))
+    span = lines.select(*lines.columns, F.explode(spans(line)).alias("s")).withColumn("k", F.col("s.k"))
     rest = F.concat(F.substring(line, F.lit(1), F.col("s.start")), F.expr("substring(line, s.start + s.width + 1)"))
     rows = cut(span.join(hot, "k").select("k", *lines.columns, rest.alias("rest")).dropDuplicates(["k", "id", "rest"]))
     first = rows.groupBy("k").agg(F.min(F.struct("key", "copy", "n", "id", "counts", "line")).alias("f")).select("k", "f.*")
@@ -205,13 +212,13 @@ def _hot_later(lines: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
 
 
 def later_lines(rows: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Ids of the distinct lines first(id, key, copy, n, counts, keys) that are within the edits of an earlier one."""
-    keyed = first.where("keys is not null").select("id", "counts", F.explode("keys").alias("k"))
+    """Ids of the distinct lines first(id, key, copy, n, size, keys) that are within the edits of an earlier one."""
+    keyed = first.where("keys is not null").select("id", "size", F.explode("keys").alias("k"))
     hot = cut(keyed.groupBy("k").count().where(F.col("count") > HOT).select("k"))
     many = hot.count()
     cold = keyed.join(_small(hot, many), "k", "left_anti") if many else keyed
-    a, b = (cold.select("k", F.col("id").alias(f"id_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
-    pairs = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & _close(edits)).select("id_a", "id_b")
+    a, b = (cold.select("k", F.col("id").alias(f"id_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab")
+    pairs = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & F.col("size_a").between(F.col("size_b") - edits, F.col("size_b") + edits)).select("id_a", "id_b")
     pairs = cut(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id"))
     if many:
@@ -219,7 +226,7 @@ def later_lines(rows: DataFrame, first: DataFrame, edits: int = EDITS) -> DataFr
         wanted = wanted.unionByName(hot_ids)
     lines = _lines_of(rows, first.join(wanted.distinct(), "id", "left_semi").select("id", "key", "copy", "n"))
     # ids don't follow the places: the later line of a pair is told by the places
-    met = pairs.join(_side(lines, "a"), "id_a").join(_side(lines, "b"), "id_b")
+    met = pairs.join(_side(lines, "a"), "id_a").join(_side(lines, "b"), "id_b").where(_close(edits))
     swapped = [F.when(_place("a") < _place("b"), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for c in ("id", "line") for x, y in (("a", "b"), ("b", "a"))]
     found = _later(met.select(*swapped), edits)
     if many:
@@ -232,9 +239,9 @@ def kept_lines(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     line = F.col("line")
     lines = rows.select("key", "copy", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).where(F.trim("line") != "")
     long = F.length(line) >= min_chars
-    lines = lines.select(F.md5(line.cast("binary")).alias("h"), F.struct("key", "copy", "n").alias("p"), F.when(long, counts(line)).alias("counts"), F.when(long, segment_keys(line)).alias("keys"))
-    first = lines.groupBy("h").agg(F.min("p").alias("p"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
-    first = written(first.select(F.monotonically_increasing_id().alias("id"), "p.*", "counts", "keys"))
+    lines = lines.select(F.md5(line.cast("binary")).alias("h"), F.struct("key", "copy", "n").alias("p"), F.length(line).alias("size"), F.when(long, segment_keys(line)).alias("keys"))
+    first = lines.groupBy("h").agg(F.min("p").alias("p"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    first = written(first.select(F.monotonically_increasing_id().alias("id"), "p.*", "size", "keys"))
     later = later_lines(rows, first, edits)
     return first.select("id", "key", "copy", "n").join(later, "id", "left_anti").groupBy("key", "copy").agg(F.collect_list("n").alias("ns"))
 
