@@ -1,10 +1,12 @@
 """Op 5: a quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, a bag of buckets each: one of target text (documents labelled good: quality
-1 and not toxic), one of raw text (all documents, counted in full). A document's log importance is the mean over its
-n-grams of log p_target / p_raw, times a length bounded by MAX_EVIDENCE n-grams. Documents are ranked by log importance plus
-Gumbel noise, and the top k stay: sampling without replacement in proportion to importance. k is the number of
-documents that the calibrated cut-off on log importance accepts, so noise only trades places near the cut-off.
+1 and not toxic), one of raw text (all documents, counted in full). A document's score is the log ratio of the two
+models' probabilities, the sum over its n-grams of log p_target / p_raw, brought to one length so that long documents
+don't outweigh all others: LENGTH * sum / (n-grams + PRIOR). It is the log importance at a temperature that is the
+document's length in units of LENGTH; PRIOR draws short documents, whose mean is noisy, to 0. Documents are ranked by
+score plus Gumbel noise, and the top k stay: sampling without replacement in proportion to importance. k is the
+caller's, or else the number of documents that the calibrated cut-off on the score accepts.
 
 Toxic documents differ in single words, which a mean dilutes. So labelled documents are also counted by the words they
 hold (letters lowered, hashed into WORD_BUCKETS); a document's toxic evidence is its largest log ratio of toxic to
@@ -37,11 +39,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.cutoff import kth_smallest
 from quillgraph.llm.tables import table
-from quillgraph.session import cut
+from quillgraph.session import cut, written
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000
-MAX_EVIDENCE = 200
+LENGTH, PRIOR = 200, 50
 WORD_BUCKETS = 1 << 18
 TOXIC_LOSS = 1e6
 SEED = 7
@@ -132,7 +134,7 @@ def _scored(model: Model, apart: bool = False) -> Callable[[Iterator[pa.RecordBa
                 total, n = 0.0, 0
                 for found in buckets.of(text.as_py()):
                     total, n = total + float(model.ratios[found].sum()), n + len(found)
-                scores.append(total / n * min(n, MAX_EVIDENCE) if n else 0.0)
+                scores.append(LENGTH * total / (n + PRIOR))
                 evidence.append(float(model.evidence[held_words(text.as_py())].max(initial=-TOXIC_LOSS)) if apart or model.most < np.inf else -TOXIC_LOSS)
             if not apart:
                 scores = [s - TOXIC_LOSS * (e > model.most) for s, e in zip(scores, evidence)]
@@ -203,15 +205,24 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log((F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> tuple[DataFrame, Model, float]:
+def _floor(rows: DataFrame, at: float, k: int | None) -> float:
+    """The least rank key that stays, of rows(score, rank_key)."""
+    if k is None:
+        k = rows.where(F.col("score") >= at).count()
+    least = kth_smallest(rows.select((-F.col("rank_key")).alias("x")), "x", k)
+    if least is None:
+        # k is over the number of rows, or nothing stays
+        return float("-inf") if k > 0 else float("inf")
+    return -least
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED, k: int | None = None) -> tuple[DataFrame, Model, float]:
     """(id, score, rank_key, keep) of every row; the model; the least rank key kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     model, at = fit(texts, labels, limit)
     rows = texts.mapInArrow(_scored(model), "id long, text string, score double").select("id", "score")
     rows = cut(rows.withColumn("rank_key", F.col("score") + gumbel(F.col("id"))))
-    k = rows.where(F.col("score") >= at).count()
-    least = kth_smallest(rows.select((-F.col("rank_key")).alias("x")), "x", k)
-    floor = float("inf") if least is None else -least
+    floor = _floor(rows, at, k)
     return rows.withColumn("keep", F.col("rank_key") >= floor), model, floor
 
 
@@ -222,9 +233,10 @@ def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the resampling keeps."""
-    _, model, floor = resample(docs, table(spark, sf_dir, "labels"))
+    """The documents that the resampling keeps; texts are scored once, and travel with their score."""
+    model, at = fit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), table(spark, sf_dir, "labels"))
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"id long, text string, rest {packed.schema['rest'].dataType.simpleString()}, score double"
-    rows = packed.mapInArrow(_scored(model), schema).where(F.col("score") + gumbel(F.col("id")) >= floor)
+    rows = written(packed.mapInArrow(_scored(model), schema).withColumn("rank_key", F.col("score") + gumbel(F.col("id"))))
+    rows = rows.where(F.col("rank_key") >= _floor(rows, at, None))
     return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])

@@ -172,3 +172,48 @@ def test_toxic_documents_go(spark):
     kept = {r.id for r in got.collect() if r.keep}
     assert not [n for n in kept if n % 8 < 2]
     assert len(kept) >= 290
+
+
+def plain_buckets(text):
+    """Bucket numbers of words, word pairs and shape pairs, one n-gram at a time."""
+    import zlib
+
+    def mixed(x):
+        return (x * 0xD6E8FEB86659FD93 % 2**64) >> 48
+
+    words = text.encode().split()
+    codes = [(zlib.crc32(w), zlib.crc32(quality.shape(w))) for w in words]
+    out = [mixed(w + 77) for w, _ in codes]
+    out += [mixed((a * 0x9E3779B97F4A7C15 + b) % 2**64) for (a, _), (b, _) in zip(codes, codes[1:])]
+    out += [mixed((a * 0xC2B2AE3D27D4EB4F + b + (x == y) * 0x165667B19E3779F9 + 1) % 2**64) for (x, a), (y, b) in zip(codes, codes[1:])]
+    return out
+
+
+def test_resampling_matches_a_plain_version(spark):
+    import math
+    from collections import Counter
+
+    draw = random.Random(27)
+    words = ["".join(draw.choice("abCDé0#") for _ in range(draw.randint(1, 5))) for _ in range(60)]
+    rows = [(n, " ".join(draw.choice(words[: 60 if n % 3 else 20]) for _ in range(draw.choice([0, 1, 5, 90, 400])))) for n in range(120)]
+    labels = [(n, int(n % 3 == 0), 0) for n in range(80)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got, model, _ = quality.resample(spark.createDataFrame(rows, "doc_id long, text string"), marked, k=30)
+    fitted = {i for n, (i, kind) in enumerate(quality.labelled_sample(marked).items()) if n % 2 == 0 and kind == quality.GOOD}
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(plain_buckets(text))
+        if i in fitted:
+            target.update(plain_buckets(text))
+    size = quality.BUCKETS
+    n_raw, n_target = sum(raw.values()) + size, sum(target.values()) + size
+    want = {}
+    for i, text in rows:
+        found = plain_buckets(text)
+        total = sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in found)
+        u = (int(hashlib.md5(f"{quality.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        score = quality.LENGTH * total / (len(found) + quality.PRIOR)
+        want[i] = (score, score - math.log(-math.log(u)))
+    top = set(sorted(want, key=lambda i: -want[i][1])[:30])
+    for r in got.collect():
+        assert abs(r.score - want[r.id][0]) < 1e-6 and abs(r.rank_key - want[r.id][1]) < 1e-6 and r.keep == (r.id in top)
