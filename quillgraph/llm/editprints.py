@@ -280,8 +280,7 @@ def _distinct(prints: DataFrame) -> DataFrame:
 
 def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
     keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "shard int, key long, id long, print binary")
-    each = sum(_band_count(gap, at_least) * (2 if gap else 1) for gap in range(LEVELS))
-    links = shard_links(keyed, distinct.count() * each, _alike(at_least, spanning))
+    links = shard_links(keyed, _alike(at_least, spanning))
     return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 

@@ -3,28 +3,30 @@
 A fingerprint has a bit set if over half the hashes of a text's word shingles (repeats included) have it set.
 Distinct fingerprints are dealt into shards that any two within the radius share: of `radius + 2` bit blocks at least
 two are untouched, so a shard is a pair of blocks and their value. A shard holds a BK-tree: children are keyed by
-their Hamming distance to the parent, and a search follows only edges within the radius of the distance at hand.
-Shards over CHUNK fingerprints are cut into chunks by a hash; each chunk's tree then meets each chunk's queries, so no
-task holds a whole shard. A meeting returns a spanning forest of its links, at most one edge each fingerprint, and
-distributed components join the forests; no link between different fingerprints is lost. Copies are grouped by
-fingerprint before anything is dealt out.
+their Hamming distance to the parent, and a search follows only edges within the radius of the distance at hand. Shard
+trees are built in the tasks that own the shards instead of being broadcast, as their number grows with the data.
+Shards over CHUNK fingerprints are dealt anew by a part of their other bits: these are cut into radius + 1 parts, of
+which one is untouched. What is still over CHUNK is cut into chunks by a hash; each chunk's tree then meets each
+chunk's queries, so no task holds a whole shard. A meeting returns a spanning forest of its links, at most one edge
+each fingerprint, and distributed components join the forests; no link between different fingerprints is lost. Copies
+are grouped by fingerprint before anything is dealt out.
 
 `near_copies` is the form for near copies at a Jaccard similarity of 5-word shingles; every pair at the similarity or
-over it is joined. Texts of equal shingle sets are one node. Longer fingerprints (WIDE words of 64 bits) are dealt by
-BANDS samples of BAND_BITS bits, the same trees search them with a wide radius, and the links found (in each meeting
-the nearest ones that connect it) are verified by exact shingle sets: that joins large groups by few edges. All pairs
-that this leaves apart come from an exact prefix filter: sets at the similarity share one of their first shingles in
-any common order (by hash, the hottest ones last), and each pair of different groups that does is verified too.
-
-Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other; fewer words than a
-shingle: all words are the shingle; null ids are one id that comes last and is returned as null; repeated rows are
-returned as often as they come; an empty table gives an empty result.
+over it is joined. Texts of equal shingle sets are one node. Fingerprints of distinct shingles go through the same shard
+trees, and the links found are verified by exact shingle sets: that joins large groups by few edges. All pairs that
+this leaves apart come from an exact prefix filter: sets at the similarity share one of their first shingles in any
+common order, and each pair of different groups that does, and whose sizes and places allow the similarity, is verified
+too. The order is by hash; shingles that over RUN first places hold are put last for the documents that have them, and
+what they still share goes through chunks like a hot shard.
+
+Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other (near copies: they have
+equal, empty sets, so one stays); fewer words than a shingle: all words are the shingle; null ids are one id that comes
+last and is returned as null; repeated rows are returned as often as they come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -36,18 +38,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.graph.components import connected_components
 from quillgraph.llm.tables import table
-from quillgraph.session import cut
+from quillgraph.session import cut, written
 
 SEED = 42
 RADIUS = 3
 CHUNK = 256
-MAX_HOT = 4000
+RUN = 256
+MAX_BROADCAST_IDS = 400_000
 _NO_ID = 2**63 - 1
 _SLICE = 1 << 16
 
-WIDE = 8
-BANDS, BAND_BITS = 40, 18
-WIDE_RADIUS = 104
 SIMILARITY, SHINGLE = 0.8, 5
 
 
@@ -186,21 +186,40 @@ def _links(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def shard_links(keyed: DataFrame, total: int, links: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """(src, dst) ids that `links` finds within shards of keyed(shard, key, id, print), a table of `total` rows."""
+def _small(rows: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(rows) if many <= MAX_BROADCAST_IDS else rows
+
+
+def shard_links(keyed: DataFrame, links: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], finer: Column | None = None) -> DataFrame:
+    """(src, dst) ids that `links` finds within shards of keyed(shard, key, id, print).
+
+    `finer` is an array of further keys, of which any two that link share one; shards over CHUNK are dealt by it.
+    """
     counts = keyed.groupBy("shard", "key").agg(F.count("*").alias("n")).where("n > 1")
-    limit = max(CHUNK, total // MAX_HOT + 1)  # at most MAX_HOT shards are over it, so the broadcast is bounded
-    hot = F.broadcast(cut(counts.where(F.col("n") > limit)).select("shard", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("pieces")))
-    rows = keyed.join(hot, ["shard", "key"], "left")
-    rows = rows.withColumn("chunk", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", "print"), F.col("pieces"))).otherwise(0).cast("int"))
-    hot_rows, cold = rows.where("pieces is not null"), rows.where("pieces is null")
+    hot = cut(counts.where(F.col("n") > CHUNK).select("shard", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("pieces")))
+    many = hot.count()
     packed = F.collect_list(F.struct("id", "print"))
-    cold = cold.groupBy("shard", "key").agg(packed.alias("left")).where(F.size("left") > 1).select("left", F.lit(None).cast(f"array<struct<id:bigint,print:{keyed.schema['print'].dataType.simpleString()}>>").alias("right"))
-    pieces = cut(hot_rows.groupBy("shard", "key", "chunk").agg(packed.alias("piece")))
+    nothing = F.lit(None).cast(f"array<struct<id:bigint,print:{keyed.schema['print'].dataType.simpleString()}>>").alias("right")
+    cold = keyed.join(_small(hot, many), ["shard", "key"], "left_anti") if many else keyed
+    out = cold.groupBy("shard", "key").agg(packed.alias("left")).where(F.size("left") > 1).select("left", nothing).mapInArrow(links, "src long, dst long")
+    if not many:
+        return out
+    rows = cut(keyed.join(_small(hot, many), ["shard", "key"]))
+    if finer is not None:
+        rows = rows.select("id", "print", F.xxhash64("shard", "key").alias("old"), F.posexplode(finer).alias("part", "key")).select(F.xxhash64("old", "part").alias("shard"), "key", "id", "print")
+        return out.unionByName(shard_links(rows, links))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "print"), F.col("pieces")).cast("int"))
+    pieces = cut(rows.groupBy("shard", "key", "chunk").agg(packed.alias("piece")))
     other = pieces.select("shard", "key", F.col("chunk").alias("other"), F.col("piece").alias("right"))
     met = pieces.join(other, ["shard", "key"]).where("chunk <= other")
     met = met.select(F.col("piece").alias("left"), F.when(F.col("chunk") != F.col("other"), F.col("right")).alias("right"))
-    return cold.unionByName(met).mapInArrow(links, "src long, dst long")
+    return out.unionByName(met.mapInArrow(links, "src long, dst long"))
+
+
+def finer_keys(print_col: Column, radius: int = RADIUS) -> Column:
+    """Array of the values of radius + 1 parts of every print's bits, of which prints within the radius share one."""
+    step = 64 // (radius + 1)
+    return F.array(*[F.shiftrightunsigned(print_col, step * n).bitwiseAND(F.lit((1 << step) - 1)) for n in range(radius + 1)])
 
 
 def block_keys(print_col: Column, radius: int = RADIUS) -> Column:
@@ -219,8 +238,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     # a fingerprint stands for its copies; as the node of the graph it is the long itself
     nodes = distinct.select(F.col("print").alias("id"), "print")
     keyed = nodes.select("id", "print", F.explode(block_keys(F.col("print"), radius)).alias("k")).select("k.shard", "k.key", "id", "print")
-    total = distinct.count() * (radius + 2) * (radius + 1) // 2
-    component = connected_components(shard_links(keyed, total, _links(radius)))
+    component = connected_components(shard_links(keyed, _links(radius), finer_keys(F.col("print"), radius)))
     found = component.join(distinct, component["node"] == distinct["print"]).select("node", "component", "least")
     least = found.groupBy("component").agg(F.min("least").alias("first"))
     known = cut(found.join(least, "component").select(F.col("node").alias("print"), "first"))
@@ -238,36 +256,12 @@ def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_restored("id").alias("doc_id"), name.alias("fingerprint"), _restored("component").alias("component_id"))
 
 
-def _bands(bands: int, bits: int, total: int) -> list[list[int]]:
-    draw = random.Random(SEED)
-    return [sorted(draw.sample(range(total), bits)) for _ in range(bands)]
-
-
-def _band_rows(picked: list[list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    picks, weights = np.array(picked), 1 << np.arange(len(picked[0]), dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                prints = part["print"].to_pylist()
-                bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
-                keys = (bits[:, picks] * weights).sum(2)
-                n, ids = len(picked), part["id"].to_numpy()
-                rows = np.repeat(np.arange(len(prints)), n)
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": pa.array(np.tile(np.arange(n), len(prints)), pa.int32()), "key": keys.ravel(), "id": ids[rows], "print": part["print"].take(pa.array(rows))}
-                )
-
-    return run
-
-
 def _grams(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                grams = np.unique(hashes(shingles(batch["text"][n].as_py(), size))).tobytes()
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(n, 1), "grams": pa.array([grams], pa.binary())})
+                grams = gram_set(batch["text"][n].as_py(), size)
+                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(n, 1), "grams": pa.array([grams.tobytes()], pa.binary())})
 
     return run
 
@@ -277,7 +271,7 @@ def _verified(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             keep = []
             for x, y in zip(batch["a"], batch["b"]):
-                a, b = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
+                a, b = (np.frombuffer(v.as_py(), "<i8") for v in (x, y))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
@@ -285,120 +279,203 @@ def _verified(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _described(size: int, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def gram_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in rising order, as signed numbers, so that Spark sorts them alike."""
+    return np.unique(hashes(shingles(text, size)).view("<i8"))
+
+
+def _first(similarity: float, many: int) -> int:
+    """How many shingles of a set are first ones."""
+    return many - math.ceil(similarity * many - 1e-9) + 1 if many else 0
+
+
+def _described(size: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the fingerprint of the distinct shingles, a digest of their set, their number and the first ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sets = [], []
-            for text in batch["text"]:
-                grams = np.unique(hashes(shingles(text.as_py(), size)))
-                prints.append(majority(grams, words))
-                sets.append(xxhash.xxh128_digest(grams.tobytes()))
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "print": pa.array(prints, pa.binary()), "set": pa.array(sets, pa.binary())})
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                prints, sets, sizes, first = [], [], [], []
+                for text in part["text"]:
+                    grams = gram_set(text.as_py(), size)
+                    prints.append(majority(grams.view("<u8")))
+                    sets.append(xxhash.xxh128_digest(grams.tobytes()))
+                    sizes.append(len(grams))
+                    first.append(grams[: _first(similarity, len(grams))])
+                offsets = np.r_[0, np.cumsum([len(x) for x in first])].astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *first]), pa.int64()))
+                found = {"print": pa.array(np.frombuffer(b"".join(prints), "<i8"), pa.int64()), "set": pa.array(sets, pa.binary()), "n": pa.array(sizes, pa.int32()), "first": listed}
+                yield pa.RecordBatch.from_pydict({"id": part["id"]} | found)
 
     return run
 
 
-_PLACE = np.dtype([("component", "<i8"), ("size", "<i4"), ("at", "<i4")])
+def _may(similarity: float, n: np.ndarray, at: np.ndarray, other_n: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be at the similarity if a shared shingle has these places."""
+    return np.minimum(n - at, other_n - other_at) >= similarity / (1 + similarity) * (n + other_n) - 1e-6
 
 
-def _prefixes(similarity: float, size: int, last: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The first shingles of each text, of which sets at the similarity share one; those in `last` come last."""
-    late = np.array(sorted(last), np.int64).view(np.uint64)
+def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (h, component): pairs (src, dst) that a shared h allows, or (null, h) if over RUN rows share it.
+
+    Only runs that hold several components, and a row that is `new`, count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("h", "component", "id", "n", "at", "new")
+        held = {c: np.empty(0, np.int64) for c in names}
+        over = None  # (h, first component, several components, new) of a run that is over RUN, whose rows are let go
+
+        def found(pairs: list[tuple[np.ndarray, np.ndarray]], hot: list[int]) -> pa.RecordBatch:
+            src = np.concatenate([np.empty(0, np.int64), *(a for a, _ in pairs)])
+            dst = np.concatenate([np.empty(0, np.int64), *(b for _, b in pairs)])
+            none = pa.nulls(len(hot), pa.int64())
+            return pa.RecordBatch.from_pydict({"src": pa.concat_arrays([pa.array(src), none]), "dst": pa.concat_arrays([pa.array(dst), pa.array(hot, pa.int64())])})
+
+        def closed(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            pairs, hot = [], []
+            mixed_runs = (ends - starts > 1) & (rows["component"][starts] != rows["component"][ends - 1])
+            for a, b in zip(starts[mixed_runs].tolist(), ends[mixed_runs].tolist()):
+                part = {c: rows[c][a:b] for c in names}
+                if not part["new"].any():
+                    continue
+                if b - a > RUN:
+                    hot.append(int(part["h"][0]))
+                    continue
+                x, y = np.triu_indices(b - a, 1)
+                fits = (part["component"][x] != part["component"][y]) & (part["new"][x] | part["new"][y] > 0)
+                fits &= _may(similarity, part["n"][x], part["at"][x], part["n"][y], part["at"][y])
+                pairs.append((part["id"][x[fits]], part["id"][y[fits]]))
+            return found(pairs, hot)
+
         for batch in batches:
-            for n in range(batch.num_rows):
-                grams = np.unique(hashes(shingles(batch["text"][n].as_py(), size)))
-                if len(late):
-                    hot = np.isin(grams, late)
-                    grams = np.concatenate([grams[~hot], grams[hot]])
-                first = grams[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1]
-                places = np.empty(len(first), _PLACE)
-                places["component"], places["size"], places["at"] = batch["component"][n].as_py(), len(grams), np.arange(len(first))
-                width = pa.py_buffer(np.arange(0, 16 * len(first) + 1, 16, dtype="<i4"))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array(np.zeros(len(first), np.int32)),
-                        "key": pa.array(first.view(np.int64)),
-                        "id": pa.array(np.full(len(first), batch["id"][n].as_py(), np.int64)),
-                        "print": pa.Array.from_buffers(pa.binary(), len(first), [None, width, pa.py_buffer(places.tobytes())]),
-                    }
-                )
+            rows = {c: np.concatenate([held[c], batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
+            if over is not None:
+                same = rows["h"] == over[0]
+                over = (over[0], over[1], over[2] or bool((rows["component"][same] != over[1]).any()), over[3] or bool(rows["new"][same].any()))
+                rows = {c: x[~same] for c, x in rows.items()}
+                if not len(rows["h"]):
+                    held = rows
+                    continue
+                if over[2] and over[3]:
+                    yield found([], [over[0]])
+                over = None
+            if not len(rows["h"]):
+                continue
+            starts = np.flatnonzero(np.r_[True, rows["h"][1:] != rows["h"][:-1]])
+            yield closed(rows, starts[:-1], starts[1:])
+            held = {c: x[starts[-1] :] for c, x in rows.items()}
+            if len(held["h"]) > RUN:
+                over = (int(held["h"][0]), int(held["component"][0]), bool((held["component"] != held["component"][0]).any()), bool(held["new"].any()))
+                held = {c: x[:0] for c, x in held.items()}
+        if over is not None and over[2] and over[3]:
+            yield found([], [over[0]])
+        if len(held["h"]):
+            yield closed(held, np.array([0]), np.array([len(held["h"])]))
 
     return run
 
 
+_PLACE = np.dtype([("component", "<i8"), ("size", "<i4"), ("at", "<i4")])
+
+
 def _candidates(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components that may be at the similarity by their sizes and the shared shingle's places."""
+    """The pairs of chunks' rows, as _runs finds them."""
 
     def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         flat = column.flatten()
-        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("print").to_pylist()), _PLACE)
+        parts = flat.field("print")
+        place = np.stack([parts.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("component", "n", "at")])
+        return flat.field("id").to_numpy(), place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 right = batch["right"].slice(n, 1)
-                self_meeting = right.null_count == 1
+                alone = right.null_count == 1
                 ids, here = read(batch["left"].slice(n, 1))
-                others, there = (ids, here) if self_meeting else read(right)
+                others, there = (ids, here) if alone else read(right)
                 for at in range(len(ids)):
-                    x, y = here[at], there[at + 1 :] if self_meeting else there
-                    most = np.minimum(x["size"] - x["at"], y["size"] - y["at"])
-                    may = (y["component"] != x["component"]) & (most >= similarity / (1 + similarity) * (x["size"] + y["size"]) - 1e-6)
-                    found = (others[at + 1 :] if self_meeting else others)[may]
-                    if len(found):
-                        yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(len(found), ids[at], np.int64)), "dst": pa.array(found)})
+                    past = at + 1 if alone else 0
+                    may = (there[0, past:] != here[0, at]) & _may(similarity, here[1, at], here[2, at], there[1, past:], there[2, past:])
+                    if may.any():
+                        yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(int(may.sum()), ids[at], np.int64)), "dst": pa.array(others[past:][may])})
 
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, grams) of the ids."""
+    ids = cut(ids)
+    return cut(texts.join(_small(ids, ids.count()), "id", "left_semi").mapInArrow(_grams(size), "id long, grams binary"))
+
+
 def _verified_links(texts: DataFrame, links: DataFrame, similarity: float, size: int) -> DataFrame:
     """(src, dst) of the links whose texts are at the similarity."""
     pairs = cut(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    ends = cut(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct())
-    grams = cut(texts.join(ends, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_grams(size), "id long, grams binary"))
+    grams = _texts_of(texts, pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), size)
     met = pairs.join(grams.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst")
     return cut(met.select("src", "dst", "a", "b").mapInArrow(_verified(similarity), "src long, dst long"))
 
 
+def _run_links(keyed: DataFrame, similarity: float) -> DataFrame:
+    columns = [F.col(c).cast("long").alias(c) for c in ("h", "component", "id", "n", "at", "new")]
+    return cut(keyed.select(*columns).repartition("h").sortWithinPartitions("h", "component", "id").mapInArrow(_runs(similarity), "src long, dst long").distinct())
+
+
 def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(src, dst) of all pairs of nodes(id, component) in different components that may be at the similarity."""
-    placed = texts.join(nodes, "id").dropDuplicates(["id"])
-
-    def mixed_grams(keyed: DataFrame) -> DataFrame:
-        # a shingle that only one component has links nothing new
-        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.substring("print", 1, 8)).alias("a"), F.max(F.substring("print", 1, 8)).alias("b"))
-        return cut(counts.where("a <> b").select("key", "n"))
-
-    schema = "shard int, key long, id long, print binary"
-    keyed = placed.mapInArrow(_prefixes(similarity, size, []), schema)
-    shared = mixed_grams(keyed)
-    limit = max(CHUNK, (shared.agg(F.sum("n")).first()[0] or 0) // MAX_HOT + 1)
-    last = [r.key for r in shared.where(F.col("n") > limit).select("key").collect()]  # at most MAX_HOT
-    if last:
-        keyed = placed.mapInArrow(_prefixes(similarity, size, last), schema)
-        shared = mixed_grams(keyed)
-    rows = cut(keyed.join(shared.select("key"), "key", "left_semi").select("shard", "key", "id", "print"))
-    return shard_links(rows, rows.count(), _candidates(similarity))
+    """(src, dst) of all pairs of nodes(id, component, n, first) in different components that may be at the similarity."""
+    keyed = nodes.select("id", "component", "n", F.posexplode("first").alias("at", "h")).withColumn("new", F.lit(1))
+    found = _run_links(keyed, similarity)
+    pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
+    many = hot.count()
+    if not many:
+        return pairs
+    held = cut(keyed.join(_small(hot, many), "h", "left_semi").select("id").distinct())
+    n_held = held.count()
+    grams = texts.join(_small(held, n_held), "id", "left_semi").mapInArrow(_listed(size), "id long, h array<long>")
+    grams = grams.select("id", F.explode("h").alias("h")).join(_small(hot.withColumn("late", F.lit(True)), many), "h", "left")
+    listed = grams.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("all"))
+    # as many first places as before, in the new order
+    listed = listed.join(nodes.select("id", "component", "n", F.size("first").alias("places")), "id")
+    anew = listed.select("id", "component", "n", F.posexplode(F.expr("slice(all, 1, places)")).alias("at", "x")).select("id", "component", "n", "at", "x.h", F.lit(1).alias("new"))
+    rest = keyed.join(_small(held, n_held), "id", "left_anti").withColumn("new", F.lit(0))
+    anew = written(anew)
+    found = _run_links(rest.unionByName(anew), similarity)
+    still = cut(found.where("src is null").select(F.col("dst").alias("h")))
+    last = rest.unionByName(anew).join(_small(still, still.count()), "h", "left_semi")
+    last = last.select(F.lit(0).alias("shard"), F.col("h").alias("key"), "id", F.struct("component", "n", "at").alias("print"))
+    return pairs.unionByName(found.where("src is not null")).unionByName(shard_links(cut(last), _candidates(similarity)))
+
+
+def _listed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                grams = gram_set(batch["text"][n].as_py(), size)
+                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(n, 1), "h": pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams, pa.int64()))})
+
+    return run
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of every distinct id: near copies share the least id of their group.
 
-    Ids must tell rows apart; rows of one id count as one.
+    Ids must tell rows apart; rows of one id must have one text.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    prints = cut(texts.mapInArrow(_described(size, WIDE), "id long, print binary, set binary").groupBy("id").agg(F.min(F.struct("set", "print")).alias("p")).select("id", "p.set", "p.print"))
-    distinct = cut(prints.groupBy("set").agg(F.min("id").alias("id"), F.min("print").alias("print")))
-    same = prints.select("id", "set").join(distinct.select("set", F.col("id").alias("least")), "set").where("id <> least").select(F.col("id").alias("src"), F.col("least").alias("dst"))
-    keyed = distinct.select("id", "print").mapInArrow(_band_rows(_bands(BANDS, BAND_BITS, 64 * WIDE)), "shard int, key long, id long, print binary")
-    near = _verified_links(texts, shard_links(keyed, distinct.count() * BANDS, _links(WIDE_RADIUS)), similarity, size)
+    found = written(texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, first array<long>"))
+    sets = cut(found.groupBy("set").agg(F.min("id").alias("node"), F.min("print").alias("print")))
+    keyed = sets.select(F.col("node").alias("id"), "print", F.explode(block_keys(F.col("print"))).alias("k")).select("k.shard", "k.key", "id", "print")
+    near = _verified_links(texts, shard_links(keyed, _links(RADIUS), finer_keys(F.col("print"))), similarity, size)
     joined = connected_components(near).select(F.col("node").alias("id"), "component")
-    nodes = cut(distinct.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    known = cut(sets.select(F.col("node").alias("id")).join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    nodes = written(found.dropDuplicates(["set"]).drop("id").join(sets.select("set", F.col("node").alias("id")), "set").join(known, "id").select("id", "component", "n", "first"))
     rest = _verified_links(texts, _prefix_links(texts, nodes, similarity, size), similarity, size)
-    component = connected_components(same.unionByName(near).unionByName(rest))
-    return prints.select("id").join(component.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    component = connected_components(near.unionByName(rest))
+    of_set = sets.select("set", "node").join(component, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
+    return found.select("id", "set").distinct().join(of_set, "set").select("id", "component")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

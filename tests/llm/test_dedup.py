@@ -298,3 +298,36 @@ def test_line_dedup_with_null_ids_repeated_rows_and_clashing_columns(spark):
     rest = "\n".join(lines[1:3])
     assert got == sorted([(1, "x", rest), (1, "x", rest), (2, "y", "\n".join(lines[3:6])), (3, "z", None), (4, "w", lines[6] + "\n" + lines[0]), (5, "v", lines[7]), (6, "u", lines[8] * 400), (7, None, "")], key=str)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_near_copies_that_share_hot_shingles_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RUN", 4)
+    monkeypatch.setattr(simhash, "CHUNK", 6)
+    draw = random.Random(41)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    passage = [draw.choice(words) for _ in range(90)]
+    rows = []
+    for _ in range(40):
+        own = [draw.choice(words) for _ in range(draw.choice([2, 12, 60, 150]))]
+        text = own + passage
+        changed = list(text)
+        for at in draw.sample(range(len(text)), 2):
+            changed[at] = draw.choice(words)
+        rows += [" ".join(text), " ".join(changed), " ".join(passage + own)]
+    rows = list(enumerate(rows + ["", " ", "one two", "one two"]))
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows)
+
+
+def test_fingerprint_is_the_majority_of_hash_bits():
+    import xxhash
+
+    draw = random.Random(42)
+    for n in (0, 1, 2, 3, 4, 50):
+        words = [draw.choice(["Aa", "b", "C", "dé", "È"]) for _ in range(n)]
+        text = draw.choice([" ", "\t", "\r\n "]).join(words)
+        lowered = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+        grams = [" ".join(lowered[k : k + 3]) for k in range(max(1, n - 2))] if n else []
+        values = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(values))
+        assert int.from_bytes(simhash.fingerprint(text), "little") == want
