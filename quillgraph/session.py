@@ -47,5 +47,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The same as `cut`, as a Parquet table: smaller, and only the columns that are needed are read again."""
     path = shared_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
