@@ -9,16 +9,18 @@ the two levels above, so that texts of up to four times the length can be compar
 
 `near_links` finds near fingerprints. Equal ones are one node. For a level and each gap up to the levels that likeness
 accepts, BANDS samples of BAND_BITS bits are bucket keys, drawn from times that both walks reach whatever their length;
-all members of a bucket are compared with each other, buckets over a chunk by pairs of chunks (simhash.shard_links).
-`near_groups` takes a spanning forest of each bucket's links instead of all, and returns their components. A pair that
-meets in no band is not found: of pairs with a share s of equal bits, 1 - (1 - s ** BAND_BITS) ** BANDS are.
+a walk has keys for another level only if its length lets it be alike to one there. Bucket rows are ids only. They are
+sorted by key, and all pairs of a bucket are verified by their fingerprints; buckets over RUN are verified in place, by
+pairs of chunks (simhash.shard_links). `near_groups` takes a spanning forest of such a large bucket's links instead of
+all, and returns the components. A pair that meets in no band is not found: of pairs with a share s of equal bits,
+1 - (1 - s ** BAND_BITS) ** BANDS are, 0.92 at the query's likeness LINKED (s = 0.9) and 0.999 at 0.9.
 
 The query walks documents in descending doc_id: they are dealt into ranges of the id whose bounds are quantiles
-(at most MAX_RANGES, each about RANGE_BYTES of text), sorted there and streamed; a copy of the next range's first
+(at most MAX_RANGES, each about RANGE_BYTES of text), sorted there and streamed, compressed by zstd until they are read; a copy of the next range's first
 document follows each range, so no task sees a whole table and no text is collected.
 
 Defined cases: null is the empty text, with the fingerprint of the empty text; likeness of two empty texts is 1, of an
-empty and another text 0; likeness is 0 for texts over two levels apart; equal ids are ordered by text; null ids come
+empty and another text 0; likeness is 0 for texts over two levels apart; equal ids are ordered by a hash of the text; null ids come
 last; a single document is its own next; repeated rows follow each other; an empty table gives an empty result.
 """
 
@@ -33,9 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.graph.components import connected_components
-from quillgraph.llm.simhash import shard_links
+from quillgraph.llm.simhash import _run_links, _small, shard_links
 from quillgraph.llm.tables import table
-from quillgraph.session import cut
+from quillgraph.session import cut, written
 
 SEED = 9
 PERIOD = 4096
@@ -44,8 +46,9 @@ SAMPLES = 256
 LEVELS = 3
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 4096
-BANDS, BAND_BITS = 24, 14
+BANDS, BAND_BITS = 30, 24
 NEAR = 0.5
+LINKED = 0.8
 _NO_ID = 2**63 - 1
 _FIRST = -(2**63)
 _SLICE = 1 << 20
@@ -127,10 +130,21 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as (size, zstd), which the shuffle and its sort carry."""
+    for batch in batches:
+        raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch["text"]]
+        packed = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+        rest = {c: batch[c] for c in batch.schema.names if c != "text"}
+        yield pa.RecordBatch.from_pydict(rest | {"size": pa.array([len(x) for x in raw], pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, bool]]:
     for batch in batches:
         for n in range(batch.num_rows):
-            yield batch["bucket"][n].as_py(), batch["key"][n].as_py(), batch["text"][n].as_py() or "", batch["extra"][n].as_py()
+            size = batch["size"][n].as_py()
+            text = pa.decompress(batch["packed"][n].as_buffer(), size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+            yield batch["bucket"][n].as_py(), batch["key"][n].as_py(), text, batch["extra"][n].as_py()
 
 
 def _printed() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -183,7 +197,9 @@ def walk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     to = F.broadcast(docs.sparkSession.createDataFrame(copies, "key long, to int"))
     extra = rows.join(to, "key").select("key", "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
     dealt = rows.select("key", "text", "bucket", F.lit(False).alias("extra")).unionByName(extra)
-    dealt = dealt.repartition(len(splits) + 1, "bucket").sortWithinPartitions("bucket", "extra", F.desc("key"), F.asc_nulls_first("text"))
+    order = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+    dealt = dealt.select("key", "text", "bucket", "extra", order).mapInArrow(_compressed, "key long, bucket int, extra boolean, tie long, size long, packed binary")
+    dealt = dealt.repartition(len(splits) + 1, "bucket").sortWithinPartitions("bucket", "extra", F.desc("key"), "tie")
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = dealt.mapInArrow(_printed(), schema)
     return out.withColumn("key", F.when(F.col("key") != _FIRST, F.col("key"))).withColumnRenamed("key", "id")
@@ -191,6 +207,8 @@ def walk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 _ROW = np.dtype([("total", "<i8"), ("level", "u1"), ("side", "u1"), ("bits", "u1", SAMPLES // 8)])
 _SAME, _LONGER, _SHORTER = 0, 1, 2
+#: (levels above its own at which a walk is sampled, gap to the other walk's level, side)
+ROLES = [(0, 0, _SAME)] + [role for gap in range(1, LEVELS) for role in ((0, gap, _LONGER), (gap, gap, _SHORTER))]
 
 
 def _band_count(gap: int, at_least: float) -> int:
@@ -200,37 +218,47 @@ def _band_count(gap: int, at_least: float) -> int:
 
 
 def _keyed(at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, id, role): the bucket keys of fingerprints; roles tell which of the levels a key was taken at, and the side."""
     draw = np.random.default_rng(SEED)
     # a walk of level n reaches the first half of the samples of level n, a quarter of those of level n + 1 and so on
     picks = [np.stack([draw.choice(SAMPLES >> gap + 1, BAND_BITS, replace=False) for _ in range(BANDS)]) for gap in range(LEVELS)]
     weights = 1 << np.arange(BAND_BITS, dtype=np.int64)
-    roles = [(0, 0, _SAME)] + [role for gap in range(1, LEVELS) for role in ((0, gap, _LONGER), (gap, gap, _SHORTER))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 split = [x.split(".") for x in part["fingerprint"].to_pylist()]
-                rows = np.zeros(len(split), _ROW)
-                rows["total"] = [int(x[0], 16) for x in split]
-                level = np.array([int(x[1], 16) for x in split], np.int32)
-                ids, walked = part["id"].to_numpy(), np.flatnonzero(rows["total"])
-                for up, gap, side in roles:
+                total = np.array([int(x[0], 16) for x in split], np.int64)
+                level = np.array([int(x[1], 16) for x in split], np.int64)
+                ids = part["id"].to_numpy()
+                for role, (up, gap, side) in enumerate(ROLES):
                     count = _band_count(gap, at_least)
+                    # alike walks reach at least this share of each other's times; a level apart, the power of two lies between them
+                    edge = 2.0 ** (level if side == _SHORTER else level - 1)
+                    near_edge = total * at_least <= edge * 2.0 ** (1 - gap) * 1.05 if side == _LONGER else total >= at_least * edge * 2.0 ** (gap - 1) * 0.95
+                    walked = np.flatnonzero((total > 0) & ((side == _SAME) | near_edge))
                     if not count or not len(walked):
                         continue
-                    rows["bits"] = np.frombuffer(bytes.fromhex("".join(x[2 + up] for x in split)), np.uint8).reshape(len(split), -1)
-                    rows["level"], rows["side"] = level + up, side
-                    keys = (np.unpackbits(rows["bits"], axis=1)[:, picks[gap][:count]] * weights).sum(2)
-                    shards = ((level + up)[:, None] * LEVELS + gap) * BANDS + np.arange(count)
-                    payload = pa.array([x.tobytes() for x in rows], pa.binary()).take(pa.array(np.repeat(walked, count)))
-                    yield pa.RecordBatch.from_pydict(
-                        {"shard": pa.array(shards[walked].ravel(), pa.int32()), "key": pa.array(keys[walked].ravel(), pa.int64()), "id": pa.array(np.repeat(ids[walked], count)), "print": payload}
-                    )
+                    bits = np.frombuffer(bytes.fromhex("".join(split[n][2 + up] for n in walked)), np.uint8).reshape(len(walked), -1)
+                    keys = (np.unpackbits(bits, axis=1)[:, picks[gap][:count]] * weights).sum(2).astype(np.uint64)
+                    shards = (((level[walked] + up)[:, None] * LEVELS + gap) * BANDS + np.arange(count)).astype(np.uint64)
+                    h = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ ((shards + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(h.ravel().view(np.int64)), "id": pa.array(np.repeat(ids[walked], count)), "role": pa.array(np.full(h.size, role), pa.int32())})
 
     return run
 
 
+def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what _alike reads of a fingerprint in a role."""
+    for batch in batches:
+        rows = np.zeros(batch.num_rows, _ROW)
+        for n, (text, role) in enumerate(zip(batch["fingerprint"].to_pylist(), batch["role"].to_pylist())):
+            (total, level, *bits), (up, _, side) = text.split("."), ROLES[role]
+            rows[n] = (int(total, 16), int(level, 16) + up, side, np.frombuffer(bytes.fromhex(bits[up]), np.uint8))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array(np.zeros(len(rows)), pa.int32()), "key": batch["h"], "id": batch["id"], "print": pa.array([x.tobytes() for x in rows], pa.binary())})
+
+
 def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of a bucket, or of two of its chunks, that are alike; with `spanning`, a forest that connects them."""
     firsts = np.packbits(np.arange(SAMPLES) < np.arange(SAMPLES + 1)[:, None], axis=1).view(np.uint64)
@@ -278,10 +306,28 @@ def _distinct(prints: DataFrame) -> DataFrame:
     return cut(prints.groupBy("fingerprint").agg(least).withColumn("node", F.xxhash64("fingerprint")))
 
 
+def _liked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    walker = Walker()
+    for batch in batches:
+        like = [walker.likeness(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+        yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("src", "dst", "x", "y")} | {"likeness": pa.array(like, pa.float64())})
+
+
 def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
-    keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "shard int, key long, id long, print binary")
-    links = shard_links(keyed, _alike(at_least, spanning))
-    return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    """(src, dst, x, y, likeness) of linked nodes and their least ids."""
+    keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "h long, id long, role int")
+    keyed = keyed.select("h", F.col("id").alias("component"), "id", F.lit(1).alias("n"), F.lit(0).alias("at"), F.lit(1).alias("new"), "role")
+    found = _run_links(keyed, 0.5)
+    pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
+    if many := hot.count():
+        rows = keyed.join(_small(hot, many), "h", "left_semi").select("h", "id", "role").join(distinct.select(F.col("node").alias("id"), "fingerprint"), "id")
+        rows = cut(rows.select("h", "id", "role", "fingerprint").mapInArrow(_payload, "shard int, key long, id long, print binary"))
+        pairs = pairs.unionByName(shard_links(rows, _alike(at_least, spanning)))
+    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    a = distinct.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("least").alias("x"))
+    b = distinct.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), F.col("least").alias("y"))
+    liked = pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b", "x", "y").mapInArrow(_liked, "src long, dst long, x long, y long, likeness double")
+    return liked.where(F.col("likeness") >= at_least)
 
 
 def near_links(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
@@ -289,17 +335,8 @@ def near_links(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
 
     Ends are the least ids of their fingerprints, the larger one first, null ids last; copies are linked to that id.
     """
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker = Walker()
-        for batch in batches:
-            like = [walker.likeness(a, b) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
-            yield pa.RecordBatch.from_pydict({"x": batch["x"], "y": batch["y"], "likeness": pa.array(like, pa.float64())})
-
     distinct = _distinct(prints)
-    a = distinct.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("least").alias("x"))
-    b = distinct.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), F.col("least").alias("y"))
-    links = _node_links(distinct, at_least, False).join(a, "src").join(b, "dst").select("a", "b", "x", "y").mapInArrow(verify, "x long, y long, likeness double")
+    links = _node_links(distinct, at_least, False).select("x", "y", "likeness")
     ids = prints.select(F.coalesce(F.col("id"), F.lit(_NO_ID)).alias("x"), "fingerprint")
     copies = ids.join(distinct, "fingerprint").where("x <> least").select("x", F.col("least").alias("y"), F.lit(1.0).alias("likeness"))
     src, dst = F.greatest("x", "y"), F.least("x", "y")
@@ -309,13 +346,13 @@ def near_links(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
 def near_groups(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
     """(fingerprint, near_group) of each fingerprint: the least id that links lead to; null if all ids are null."""
     distinct = _distinct(prints)
-    found = connected_components(_node_links(distinct, at_least, True))
+    found = connected_components(_node_links(distinct, at_least, True).select("src", "dst"))
     known = distinct.join(found, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("component"))
     least = known.groupBy("component").agg(F.min("least").alias("first"))
     return known.join(least, "component").select("fingerprint", F.when(F.col("first") != _NO_ID, F.col("first")).alias("near_group"))
 
 
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(walk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    groups = near_groups(rows.select("id", "fingerprint"))
+    rows = written(walk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    groups = near_groups(rows.select("id", "fingerprint"), LINKED)
     return rows.join(groups, "fingerprint").select(F.col("id").alias("doc_id"), *[c for c in rows.columns if c != "id"], "near_group")
