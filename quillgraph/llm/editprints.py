@@ -316,7 +316,7 @@ def _liked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
     """(src, dst, x, y, likeness) of linked nodes and their least ids."""
     keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "h long, id long, role int")
-    keyed = keyed.select("h", F.col("id").alias("component"), "id", F.lit(1).alias("n"), F.lit(0).alias("at"), F.lit(1).alias("new"), "role")
+    keyed = keyed.select("h", F.col("id").alias("component"), "id", F.lit(1 << 32 | 1).alias("place"), "role")
     found = _run_links(keyed, 0.5)
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     if many := hot.count():

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.cutoff import kth_smallest
 from quillgraph.llm.tables import table
-from quillgraph.session import cut, written
+from quillgraph.session import cut
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000
@@ -237,6 +237,6 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model, at = fit(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), table(spark, sf_dir, "labels"))
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     schema = f"id long, text string, rest {packed.schema['rest'].dataType.simpleString()}, score double"
-    rows = written(packed.mapInArrow(_scored(model), schema).withColumn("rank_key", F.col("score") + gumbel(F.col("id"))))
+    rows = cut(packed.mapInArrow(_scored(model), schema).withColumn("rank_key", F.col("score") + gumbel(F.col("id"))))
     rows = rows.where(F.col("rank_key") >= _floor(rows, at, None))
     return rows.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])

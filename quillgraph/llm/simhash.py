@@ -261,7 +261,7 @@ def _grams(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for n in range(batch.num_rows):
                 grams = gram_set(batch["text"][n].as_py(), size)
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(n, 1), "grams": pa.array([grams.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": batch["row"].slice(n, 1), "grams": pa.array([grams.tobytes()], pa.binary())})
 
     return run
 
@@ -350,7 +350,9 @@ def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             return found(pairs, hot)
 
         for batch in batches:
-            rows = {c: np.concatenate([held[c], batch[c].to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
+            place = batch["place"].to_numpy()
+            fresh = {c: batch[c].to_numpy() for c in ("h", "component", "id")} | {"n": place >> 32, "at": (place & 0xFFFFFFFF) >> 1, "new": place & 1}
+            rows = {c: np.concatenate([held[c], fresh[c]]) for c in names}
             if over is not None:
                 same = rows["h"] == over[0]
                 over = (over[0], over[1], over[2] or bool((rows["component"][same] != over[1]).any()), over[3] or bool(rows["new"][same].any()))
@@ -377,17 +379,14 @@ def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-_PLACE = np.dtype([("component", "<i8"), ("size", "<i4"), ("at", "<i4")])
-
-
 def _candidates(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The pairs of chunks' rows, as _runs finds them."""
 
     def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         flat = column.flatten()
         parts = flat.field("print")
-        place = np.stack([parts.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("component", "n", "at")])
-        return flat.field("id").to_numpy(), place
+        place = parts.field("place").to_numpy(zero_copy_only=False)
+        return flat.field("id").to_numpy(), np.stack([parts.field("component").to_numpy(zero_copy_only=False), place >> 32, (place & 0xFFFFFFFF) >> 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,58 +404,92 @@ def _candidates(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, grams) of the ids."""
-    ids = cut(ids)
-    return cut(texts.join(_small(ids, ids.count()), "id", "left_semi").mapInArrow(_grams(size), "id long, grams binary"))
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, text, ...) of wanted(id, row, ...), each row once."""
+    wanted = cut(wanted)
+    return texts.join(_small(wanted, wanted.count()), "id").drop("id").dropDuplicates(["row"])
 
 
-def _verified_links(texts: DataFrame, links: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(src, dst) of the links whose texts are at the similarity."""
+def _verified_links(texts: DataFrame, rows: DataFrame, links: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst) of the links between rows(row, id) whose texts are at the similarity."""
     pairs = cut(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    grams = _texts_of(texts, pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), size)
-    met = pairs.join(grams.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst")
+    wanted = rows.join(pairs.select(F.explode(F.array("src", "dst")).alias("row")).distinct(), "row").select("id", "row")
+    grams = cut(_texts_of(texts, wanted).mapInArrow(_grams(size), "row long, grams binary"))
+    met = pairs.join(grams.select(F.col("row").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("row").alias("dst"), F.col("grams").alias("b")), "dst")
     return cut(met.select("src", "dst", "a", "b").mapInArrow(_verified(similarity), "src long, dst long"))
 
 
 def _run_links(keyed: DataFrame, similarity: float) -> DataFrame:
-    columns = [F.col(c).cast("long").alias(c) for c in ("h", "component", "id", "n", "at", "new")]
-    return cut(keyed.select(*columns).repartition("h").sortWithinPartitions("h", "component", "id").mapInArrow(_runs(similarity), "src long, dst long").distinct())
+    """(src, dst) of keyed(h, component, id, place), place being n << 32 | at << 1 | new; see _runs."""
+    rows = keyed.select("h", "component", "id", "place").repartition("h").sortWithinPartitions("h", "component", "id")
+    return cut(rows.mapInArrow(_runs(similarity), "src long, dst long").distinct())
+
+
+def _placed(nodes: DataFrame, new: bool) -> DataFrame:
+    """(h, component, id, place) of the first shingles of nodes(row, component, n, first)."""
+    at = nodes.select("row", "component", "n", F.posexplode("first").alias("at", "h"))
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.lit(int(new)))
+    return at.select("h", "component", F.col("row").alias("id"), place.alias("place"))
+
+
+def _reordered(similarity: float, size: int, last: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first shingles of texts if those in `last` come last."""
+    late = np.array(sorted(last), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                grams = gram_set(batch["text"][n].as_py(), size)
+                hot = np.isin(grams, late)
+                first = np.concatenate([grams[~hot], grams[hot]])[: _first(similarity, len(grams))]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), pa.array(first, pa.int64()))
+                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n")} | {"first": listed})
+
+    return run
+
+
+def _listed(similarity: float, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                grams = gram_set(batch["text"][n].as_py(), size)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams, pa.int64()))
+                many = pa.array([_first(similarity, len(grams))], pa.int32())
+                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n")} | {"places": many, "h": listed})
+
+    return run
 
 
 def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(src, dst) of all pairs of nodes(id, component, n, first) in different components that may be at the similarity."""
-    keyed = nodes.select("id", "component", "n", F.posexplode("first").alias("at", "h")).withColumn("new", F.lit(1))
+    """(src, dst) of all pairs of nodes(row, id, component, n, first) in different components that may be at the similarity."""
+    keyed = _placed(nodes, True)
     found = _run_links(keyed, similarity)
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     many = hot.count()
     if not many:
         return pairs
-    held = cut(keyed.join(_small(hot, many), "h", "left_semi").select("id").distinct())
+    held = cut(keyed.join(_small(hot, many), "h", "left_semi").select(F.col("id").alias("row")).distinct())
     n_held = held.count()
-    grams = texts.join(_small(held, n_held), "id", "left_semi").mapInArrow(_listed(size), "id long, h array<long>")
-    grams = grams.select("id", F.explode("h").alias("h")).join(_small(hot.withColumn("late", F.lit(True)), many), "h", "left")
-    listed = grams.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("all"))
-    # as many first places as before, in the new order
-    listed = listed.join(nodes.select("id", "component", "n", F.size("first").alias("places")), "id")
-    anew = listed.select("id", "component", "n", F.posexplode(F.expr("slice(all, 1, places)")).alias("at", "x")).select("id", "component", "n", "at", "x.h", F.lit(1).alias("new"))
-    rest = keyed.join(_small(held, n_held), "id", "left_anti").withColumn("new", F.lit(0))
-    anew = written(anew)
+    held_texts = _texts_of(texts, nodes.join(_small(held, n_held), "row").select("id", "row", "component", "n"))
+    if many <= MAX_BROADCAST_IDS:
+        last = [r.h for r in hot.collect()]  # checked to be few
+        anew = held_texts.mapInArrow(_reordered(similarity, size, last), "row long, component long, n int, first array<long>")
+    else:
+        grams = held_texts.mapInArrow(_listed(similarity, size), "row long, component long, n int, places int, h array<long>")
+        grams = grams.select("row", "component", "n", "places", F.explode("h").alias("h")).join(hot.withColumn("late", F.lit(True)), "h", "left")
+        listed = grams.groupBy("row", "component", "n", "places").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("all"))
+        anew = listed.select("row", "component", "n", F.transform(F.expr("slice(all, 1, places)"), lambda x: x["h"]).alias("first"))
+    anew = _placed(written(anew), True)
+    # pairs of rows that are not new were found before
+    rest = _placed(nodes.join(_small(held, n_held), "row", "left_anti"), False)
     found = _run_links(rest.unionByName(anew), similarity)
     still = cut(found.where("src is null").select(F.col("dst").alias("h")))
-    last = rest.unionByName(anew).join(_small(still, still.count()), "h", "left_semi")
-    last = last.select(F.lit(0).alias("shard"), F.col("h").alias("key"), "id", F.struct("component", "n", "at").alias("print"))
-    return pairs.unionByName(found.where("src is not null")).unionByName(shard_links(cut(last), _candidates(similarity)))
-
-
-def _listed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                grams = gram_set(batch["text"][n].as_py(), size)
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(n, 1), "h": pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams, pa.int64()))})
-
-    return run
+    pairs = pairs.unionByName(found.where("src is not null"))
+    if many := still.count():
+        left = rest.unionByName(anew).join(_small(still, many), "h", "left_semi")
+        left = left.select(F.lit(0).alias("shard"), F.col("h").alias("key"), "id", F.struct("component", "place").alias("print"))
+        pairs = pairs.unionByName(shard_links(cut(left), _candidates(similarity)))
+    return pairs
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -465,17 +498,24 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     Ids must tell rows apart; rows of one id must have one text.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    found = written(texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, first array<long>"))
-    sets = cut(found.groupBy("set").agg(F.min("id").alias("node"), F.min("print").alias("print")))
+    found = texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, first array<long>")
+    # numbers of rows are shorter than ids, which may be hashes
+    found = written(found.withColumn("row", F.monotonically_increasing_id()))
+    sets = cut(found.groupBy("set").agg(F.min("row").alias("node"), F.min("print").alias("print")))
     keyed = sets.select(F.col("node").alias("id"), "print", F.explode(block_keys(F.col("print"))).alias("k")).select("k.shard", "k.key", "id", "print")
-    near = _verified_links(texts, shard_links(keyed, _links(RADIUS), finer_keys(F.col("print"))), similarity, size)
-    joined = connected_components(near).select(F.col("node").alias("id"), "component")
-    known = cut(sets.select(F.col("node").alias("id")).join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    nodes = written(found.dropDuplicates(["set"]).drop("id").join(sets.select("set", F.col("node").alias("id")), "set").join(known, "id").select("id", "component", "n", "first"))
-    rest = _verified_links(texts, _prefix_links(texts, nodes, similarity, size), similarity, size)
+    near = _verified_links(texts, found, shard_links(keyed, _links(RADIUS), finer_keys(F.col("print"))), similarity, size)
+    joined = cut(connected_components(near).select("node", "component"))
+    of_set = cut(sets.select("set", "node").join(joined, "node", "left"))
+    # rows that stand for themselves and no other need no entry
+    other = cut(found.select("row", "set").join(of_set, "set").where("row <> node or component <> row").select("row", F.when(F.col("row") == F.col("node"), F.col("component")).alias("to")))
+    nodes = found.join(_small(other.withColumn("listed", F.lit(True)), other.count()), "row", "left").where("listed is null or to is not null")
+    nodes = nodes.select("row", "id", F.coalesce("to", "row").alias("component"), "n", "first")
+    rest = _verified_links(texts, found, _prefix_links(texts, nodes, similarity, size), similarity, size)
     component = connected_components(near.unionByName(rest))
-    of_set = sets.select("set", "node").join(component, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    return found.select("id", "set").distinct().join(of_set, "set").select("id", "component")
+    groups = cut(sets.select("set", "node").join(component, "node", "left").select("set", F.coalesce("component", "node").alias("group")))
+    members = found.select("id", "set").join(groups, "set")
+    least = members.groupBy("group").agg(F.min("id").alias("component"))
+    return members.select("id", "group").distinct().join(least, "group").select("id", "component")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,8 +315,10 @@ def test_near_copies_that_share_hot_shingles_match_brute_force(spark, monkeypatc
             changed[at] = draw.choice(words)
         rows += [" ".join(text), " ".join(changed), " ".join(passage + own)]
     rows = list(enumerate(rows + ["", " ", "one two", "one two"]))
-    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_near(rows)
+    for few in (400_000, 0):
+        monkeypatch.setattr(simhash, "MAX_BROADCAST_IDS", few)
+        got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_near(rows)
 
 
 def test_fingerprint_is_the_majority_of_hash_bits():
