@@ -49,6 +49,7 @@ MAX_RANGES = 4096
 BANDS, BAND_BITS = 30, 24
 NEAR = 0.5
 LINKED = 0.8
+RUN = 8
 _NO_ID = 2**63 - 1
 _FIRST = -(2**63)
 _SLICE = 1 << 20
@@ -317,7 +318,7 @@ def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFra
     """(src, dst, x, y, likeness) of linked nodes and their least ids."""
     keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "h long, id long, role int")
     keyed = keyed.select("h", F.col("id").alias("component"), "id", F.lit(1 << 32 | 1).alias("place"), "role")
-    found = _run_links(keyed, 0.5)
+    found = _run_links(keyed, 0.5, RUN)
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     if many := hot.count():
         rows = keyed.join(_small(hot, many), "h", "left_semi").select("h", "id", "role").join(distinct.select(F.col("node").alias("id"), "fingerprint"), "id")
