@@ -44,6 +44,7 @@ SEED = 42
 RADIUS = 3
 CHUNK = 256
 RUN = 256
+PARTS = 256
 MAX_BROADCAST_IDS = 400_000
 _NO_ID = 2**63 - 1
 _SLICE = 1 << 16
@@ -316,8 +317,8 @@ def _may(similarity: float, n: np.ndarray, at: np.ndarray, other_n: np.ndarray,
     return np.minimum(n - at, other_n - other_at) >= similarity / (1 + similarity) * (n + other_n) - 1e-6
 
 
-def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by (h, component): pairs (src, dst) that a shared h allows, or (null, h) if over RUN rows share it.
+def _runs(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (h, component): pairs (src, dst) that a shared h allows, or (null, h) if over `most` rows share it.
 
     Only runs that hold several components, and a row that is `new`, count.
     """
@@ -325,7 +326,7 @@ def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("h", "component", "id", "n", "at", "new")
         held = {c: np.empty(0, np.int64) for c in names}
-        over = None  # (h, first component, several components, new) of a run that is over RUN, whose rows are let go
+        over = None  # (h, first component, several components, new) of a run that is over `most`, whose rows are let go
 
         def found(pairs: list[tuple[np.ndarray, np.ndarray]], hot: list[int]) -> pa.RecordBatch:
             src = np.concatenate([np.empty(0, np.int64), *(a for a, _ in pairs)])
@@ -340,7 +341,7 @@ def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 part = {c: rows[c][a:b] for c in names}
                 if not part["new"].any():
                     continue
-                if b - a > RUN:
+                if b - a > most:
                     hot.append(int(part["h"][0]))
                     continue
                 x, y = np.triu_indices(b - a, 1)
@@ -368,7 +369,7 @@ def _runs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             starts = np.flatnonzero(np.r_[True, rows["h"][1:] != rows["h"][:-1]])
             yield closed(rows, starts[:-1], starts[1:])
             held = {c: x[starts[-1] :] for c, x in rows.items()}
-            if len(held["h"]) > RUN:
+            if len(held["h"]) > most:
                 over = (int(held["h"][0]), int(held["component"][0]), bool((held["component"] != held["component"][0]).any()), bool(held["new"].any()))
                 held = {c: x[:0] for c, x in held.items()}
         if over is not None and over[2] and over[3]:
@@ -410,19 +411,55 @@ def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(_small(wanted, wanted.count()), "id").drop("id").dropDuplicates(["row"])
 
 
+def _sketched(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                counts = np.bincount(gram_set(batch["text"][n].as_py(), size) & (PARTS - 1), minlength=PARTS)
+                yield pa.RecordBatch.from_pydict({"row": batch["row"].slice(n, 1), "counts": pa.array([np.minimum(counts, 0xFFFF).astype("<u2").tobytes()], pa.binary())})
+
+    return run
+
+
+def _possible(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose counts by part allow the similarity: sets share at most the lesser count in each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int64) for c in "ab")
+            both = np.minimum(a, b).sum(1)
+            full = ((a == 0xFFFF) | (b == 0xFFFF)).any(1)
+            keep = full | (both >= similarity * (a.sum(1) + b.sum(1) - both) - 1e-6)
+            yield batch.select(["src", "dst"]).filter(pa.array(keep))
+
+    return run
+
+
+def _with_ends(pairs: DataFrame, ends: DataFrame, column: str) -> DataFrame:
+    a, b = (ends.select(F.col("row").alias(end), F.col(column).alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")
+
+
 def _verified_links(texts: DataFrame, rows: DataFrame, links: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(src, dst) of the links between rows(row, id) whose texts are at the similarity."""
+    """(src, dst) of the links between rows(row, id) whose texts are at the similarity.
+
+    Most candidates fall to counts of shingles in PARTS parts; only the others' sets travel.
+    """
     pairs = cut(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    wanted = rows.join(pairs.select(F.explode(F.array("src", "dst")).alias("row")).distinct(), "row").select("id", "row")
-    grams = cut(_texts_of(texts, wanted).mapInArrow(_grams(size), "row long, grams binary"))
-    met = pairs.join(grams.select(F.col("row").alias("src"), F.col("grams").alias("a")), "src").join(grams.select(F.col("row").alias("dst"), F.col("grams").alias("b")), "dst")
-    return cut(met.select("src", "dst", "a", "b").mapInArrow(_verified(similarity), "src long, dst long"))
+
+    def ends(of: DataFrame) -> DataFrame:
+        return _texts_of(texts, rows.join(of.select(F.explode(F.array("src", "dst")).alias("row")).distinct(), "row").select("id", "row"))
+
+    counts = cut(ends(pairs).mapInArrow(_sketched(size), "row long, counts binary"))
+    pairs = cut(_with_ends(pairs, counts, "counts").mapInArrow(_possible(similarity), "src long, dst long"))
+    grams = cut(ends(pairs).mapInArrow(_grams(size), "row long, grams binary"))
+    return cut(_with_ends(pairs, grams, "grams").mapInArrow(_verified(similarity), "src long, dst long"))
 
 
-def _run_links(keyed: DataFrame, similarity: float) -> DataFrame:
+def _run_links(keyed: DataFrame, similarity: float, most: int) -> DataFrame:
     """(src, dst) of keyed(h, component, id, place), place being n << 32 | at << 1 | new; see _runs."""
     rows = keyed.select("h", "component", "id", "place").repartition("h").sortWithinPartitions("h", "component", "id")
-    return cut(rows.mapInArrow(_runs(similarity), "src long, dst long").distinct())
+    return cut(rows.mapInArrow(_runs(similarity, most), "src long, dst long").distinct())
 
 
 def _placed(nodes: DataFrame, new: bool) -> DataFrame:
@@ -463,7 +500,7 @@ def _listed(similarity: float, size: int) -> Callable[[Iterator[pa.RecordBatch]]
 def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
     """(src, dst) of all pairs of nodes(row, id, component, n, first) in different components that may be at the similarity."""
     keyed = _placed(nodes, True)
-    found = _run_links(keyed, similarity)
+    found = _run_links(keyed, similarity, RUN)
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     many = hot.count()
     if not many:
@@ -482,7 +519,7 @@ def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: i
     anew = _placed(written(anew), True)
     # pairs of rows that are not new were found before
     rest = _placed(nodes.join(_small(held, n_held), "row", "left_anti"), False)
-    found = _run_links(rest.unionByName(anew), similarity)
+    found = _run_links(rest.unionByName(anew), similarity, RUN)
     still = cut(found.where("src is null").select(F.col("dst").alias("h")))
     pairs = pairs.unionByName(found.where("src is not null"))
     if many := still.count():
