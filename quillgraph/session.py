@@ -49,3 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of text that a Python worker gets at once; Spark's own 10000 are tens of megabytes on both sides of the pipe.
+TEXT_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of at most TEXT_BATCH rows; smaller ones of the caller stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
