@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.tables import table
+from quillgraph.session import text_batches
 
 MARK = "▁"
 CACHE = 250_000
@@ -268,6 +269,7 @@ def _encoded(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_ids, ids, round_trip) of every row; the driver reads the model's file, executors get its pieces."""
+    text_batches(docs.sparkSession)
     vocabulary = Vocabulary.load(model or default_model())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encoded(vocabulary), "id long, n_ids int, ids array<int>, round_trip boolean")

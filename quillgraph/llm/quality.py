@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.cutoff import kth_smallest
 from quillgraph.llm.tables import table
-from quillgraph.session import cut
+from quillgraph.session import cut, text_batches
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000
@@ -160,6 +160,7 @@ def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> dict[int, i
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[Model, float]:
     """The model and the cut-off of scores, from docs(id, text)."""
+    text_batches(docs.sparkSession)
     sample = labelled_sample(labels, limit)
     if len(set(sample.values())) < 2:
         return Model(np.zeros(BUCKETS), np.zeros(WORD_BUCKETS), np.inf), -1.0

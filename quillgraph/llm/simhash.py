@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.graph.components import connected_components
 from quillgraph.llm.tables import table
-from quillgraph.session import cut, written
+from quillgraph.session import cut, text_batches, written
 
 SEED = 42
 RADIUS = 3
@@ -534,6 +534,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
 
     Ids must tell rows apart; rows of one id must have one text.
     """
+    text_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, first array<long>")
     # numbers of rows are shorter than ids, which may be hashes
