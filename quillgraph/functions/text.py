@@ -92,3 +92,40 @@ def alias_group(value: Column, groups: dict[str, tuple[str, ...]], fallback: str
     for group, known in reversed(groups.items()):
         out = F.when(value.isin(*known), group).otherwise(out)
     return F.when(F.coalesce(value, F.lit("")) == "", fallback).otherwise(out)
+
+
+def subject_match(subject: Column, value: Column, ratio: Column | None = None) -> Column:
+    """1 if equal; on containment 0.99 at the end and 0.97 elsewhere for four characters or more, else 0.88 and a tenth
+    of the share; otherwise 0.7 of `ratio`. 0 if either is empty."""
+    a, b = F.length(subject), F.length(value)
+    shorter, longer = F.when(a <= b, subject).otherwise(value), F.when(a <= b, value).otherwise(subject)
+    inside = F.when(F.least(a, b) >= 4, F.when(F.endswith(longer, shorter), 0.99).otherwise(0.97)).otherwise(0.88 + 0.1 * F.least(a, b) / F.greatest(a, b))
+    rest = F.lit(0.0) if ratio is None else 0.7 * ratio
+    return F.when(F.coalesce(F.least(a, b), F.lit(0)) == 0, 0.0).when(subject == value, 1.0).when(F.contains(longer, shorter), inside).otherwise(rest)
+
+
+def without_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """The text with every term, the longest first, replaced by a blank."""
+    for term in sorted(terms, key=len, reverse=True):
+        text = F.replace(text, F.lit(term), F.lit(" "))
+    return text
+
+
+def subject_phrases(text: Column, terms: tuple[str, ...], limit: int = 8) -> Column:
+    """Distinct compact parts of at least two characters that the terms leave of a query."""
+    parts = F.transform(F.split(without_terms(F.lower(F.trim(text)), terms), "[\\s，,。；;、]+"), compact)
+    return F.slice(F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 2)), 1, limit)
+
+
+def intent_alignment(query: Column, corpus: Column, failing: tuple[str, ...], working: tuple[str, ...]) -> Column:
+    """1 if query and corpus both speak of the failure, -1 if the corpus only says that it works, else 0."""
+    has = lambda text, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return F.when(has(query, failing), F.when(has(corpus, failing), 1.0).when(has(corpus, working), -1.0).otherwise(0.0)).otherwise(0.0)
+
+
+def search_text(values: list[Column], groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Distinct filled values in order, joined by blanks, with every synonym group of which a term occurs."""
+    filled = F.filter(F.array(*values), lambda v: F.coalesce(v, F.lit("")) != "")
+    corpus = F.lower(F.array_join(filled, " "))
+    more = [F.when(F.exists(F.array(*map(F.lit, g)), lambda t: F.contains(corpus, F.lower(t))), F.array(*map(F.lit, g))).otherwise(F.array().cast("array<string>")) for g in groups]
+    return F.array_join(F.array_distinct(F.concat(filled, *more)), " ")
