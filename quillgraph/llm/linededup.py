@@ -264,14 +264,23 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         rows = docs.select(key.alias("key"), copy.alias("copy"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"))
         doc = F.col("doc")
     kept = kept_lines(texts, edits, min_chars)
-    parts = rows.join(kept, ["key", "copy"], "left").withColumn("parts", F.split("text", "\n", -1))
+    met = rows.join(kept, ["key", "copy"], "left")
     mine = F.coalesce("ns", F.array().cast("array<int>"))
-    numbered = F.transform("parts", lambda line, n: F.when(F.trim(line) == "", n))
-    parts = parts.withColumn("stay", F.array_sort(F.concat(mine, F.array_compact(numbered))))
-    left = F.array_join(F.transform("stay", lambda n: F.get(F.col("parts"), n)), "\n")
-    n_lines = F.coalesce(F.size("parts"), F.lit(0))
-    text = F.when(F.col("text").isNotNull(), left)
-    return parts.select(doc.alias("doc"), text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size("stay")).cast("long").alias("n_removed"))
+
+    def staying(x: Column) -> Column:
+        blank = F.array_compact(F.transform(x["parts"], lambda line, n: F.when(F.trim(line) == "", n)))
+        return F.struct(x["parts"].alias("parts"), F.array_sort(F.concat(x["mine"], blank)).alias("stay"))
+
+    def joined(x: Column) -> Column:
+        left = F.array_join(F.transform(x["stay"], lambda n: F.get(x["parts"], n)), "\n")
+        n_lines = F.size(x["parts"]).cast("long")
+        return F.struct(left.alias("text"), n_lines.alias("n_lines"), (n_lines - F.size(x["stay"])).alias("n_removed"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    # lambdas bind the split lines, and explode() keeps filters on the result from evaluating it again
+    split = F.array(F.struct(F.split("text", "\n", -1).alias("parts"), mine.alias("mine")))
+    out = F.when(F.col("text").isNull(), F.array(nothing)).otherwise(F.transform(F.transform(split, staying), joined))
+    return met.select(doc.alias("doc"), F.explode(out).alias("x")).select("doc", "x.text", "x.n_lines", "x.n_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
