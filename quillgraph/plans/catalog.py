@@ -175,14 +175,14 @@ def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("rank"), "p")
 
 
-_FIGURE = documents.FIGURE.replace(r"\x{4e00}-\x{9fa5}", "一-龥")
+_FIGURE = documents.SPECIFICATION.replace(r"\x{4e00}-\x{9fa5}", "一-龥")
 
 
 @query(rf"""WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_FIGURE}', 1)) AS a, unnest(regexp_extract_all(text, '{_FIGURE}', 2)) AS b, unnest(regexp_extract_all(text, '{_FIGURE}', 3)) AS unit, unnest(range(0, len(regexp_extract_all(text, '{_FIGURE}', 0)))) AS n FROM documents),
     c AS (SELECT doc_id, n, regexp_replace(regexp_replace(a, '\s+', '', 'g'), '^[，。,;；]+|[，。,;；]+$', '', 'g') AS name, replace(b, ' ', '') AS value, unit FROM g),
     f AS (SELECT doc_id, name, value, unit, min(n) AS n FROM c GROUP BY 1, 2, 3, 4) SELECT doc_id, name, value, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM f) WHERE r <= 8""")
 def document_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(documents.figures(F.col("text"))).alias("f"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(documents.specifications(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.name", "f.value", "f.unit")
 
 
