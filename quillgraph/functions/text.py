@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillgraph import config
+
 _BLANK = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -129,3 +131,43 @@ def search_text(values: list[Column], groups: tuple[tuple[str, ...], ...]) -> Co
     corpus = F.lower(F.array_join(filled, " "))
     more = [F.when(F.exists(F.array(*map(F.lit, g)), lambda t: F.contains(corpus, F.lower(t))), F.array(*map(F.lit, g))).otherwise(F.array().cast("array<string>")) for g in groups]
     return F.array_join(F.array_distinct(F.concat(filled, *more)), " ")
+
+
+def property_values(text: Column) -> Column:
+    """Distinct filled parts of a property's text at slashes, semicolons and commas; null and blank have none."""
+    parts = F.transform(F.split(F.trim(text), r"\s*/\s*|[；;，,、]\s*", -1), lambda p: F.trim(p))
+    found = F.array_distinct(F.filter(parts, lambda p: p != ""))
+    whole = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(F.array(whole))
+
+
+def character_score(query: Column, text: Column) -> Column:
+    """1 if the text contains the query, else the share of the query's distinct characters it has; 0 if either is blank."""
+    q, t = F.lower(F.trim(F.coalesce(query, F.lit("")))), F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    own = F.array_distinct(F.split(q, ""))
+    share = F.size(F.array_intersect(own, F.split(t, ""))) / F.size(own)
+    return F.when((q == "") | (t == ""), 0.0).when(F.contains(t, q), 1.0).otherwise(share)
+
+
+def stage_rank(level: Column) -> Column:
+    """The stage that a level or label names, from component to whole; 99 if none, also for null."""
+    rank = F.lit(99)
+    for n, name in reversed(list(enumerate(config.STAGES))):
+        rank = F.when(F.contains(level, F.lit(name)), n).otherwise(rank)
+    return rank
+
+
+def layout_place(label: Column, name: Column, columns: dict[str, int], other: int = 96) -> Column:
+    """struct<x, y>: the label's column, and a height from 8 to 91 by the code points of label and name."""
+    x = F.lit(float(other))
+    for known, at in columns.items():
+        x = F.when(label == known, float(at)).otherwise(x)
+    title = F.concat(F.coalesce(label, F.lit("")), F.lit(":"), F.coalesce(name, F.lit("")))
+    total = F.aggregate(F.split(title, ""), F.lit(0).cast("long"), lambda acc, c: acc + F.ascii(c))
+    return F.struct(x.alias("x"), (total % 84 + 8).cast("double").alias("y"))
+
+
+def exactly_matches(queries: Column, names: Column) -> Column:
+    """Whether an array of queries and one of names have an equal text once both are compact; blanks match nothing."""
+    tidy = lambda texts: F.filter(F.transform(texts, compact), lambda t: t != "")
+    return F.arrays_overlap(tidy(queries), tidy(names))

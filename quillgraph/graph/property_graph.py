@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import cut
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -83,11 +85,11 @@ def ego(graph: PropertyGraph, centres: DataFrame, hops: int) -> DataFrame:
 
     Each round joins the frontier to the edges and drops what is known; rows are (centre, node) pairs.
     """
-    known = centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("depth"))
+    known = cut(centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("depth")))
     front, steps = known, graph.both_ways().select("id", "other").distinct()
     for n in range(1, hops + 1):
         found = front.join(steps, "id").select("centre", F.col("other").alias("id")).distinct()
-        front = found.join(known.select("centre", "id"), ["centre", "id"], "left_anti").withColumn("depth", F.lit(n))
+        front = cut(found.join(known.select("centre", "id"), ["centre", "id"], "left_anti").withColumn("depth", F.lit(n)))
         known = known.unionByName(front)
     return known
 
@@ -114,3 +116,11 @@ def primary_path(found: DataFrame) -> DataFrame:
 def roots(edges: DataFrame) -> DataFrame:
     """(id): sources of edges that are no target."""
     return edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end in ids(id), each as often as it comes."""
+    known = ids.select("id").distinct()
+    start = known.select(F.col("id").alias("src"), F.lit(True).alias("_s"))
+    end = known.select(F.col("id").alias("dst"), F.lit(True).alias("_d"))
+    return edges.join(start, "src", "left").join(end, "dst", "left").where("_s or _d").select("src", "rel", "dst")

@@ -13,6 +13,12 @@ def upsert(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *[F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in others])
 
 
+def last_rows(new: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key, the one of the largest `order`: what an upsert takes if keys repeat; nulls in `order` lose."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in new.columns if c != key]), F.struct(order)).alias("_row"))
+    return last.select(key, *[F.col(f"_row.`{c}`").alias(c) for c in new.columns if c != key])
+
+
 def change_log(state: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, created, before, after): one row for each new row; before and after are structs, before null if created."""
     others = [c for c in state.columns if c != key]

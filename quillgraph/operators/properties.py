@@ -32,3 +32,10 @@ def next_version(label: Column) -> Column:
     """V1.n+1 of V1.n; V1.0 if there is none."""
     n = F.regexp_extract(F.coalesce(label, F.lit("")), r"^V1\.([0-9]+)$", 1)
     return F.when(n == "", "V1.0").otherwise(F.concat(F.lit("V1."), (n.try_cast("long") + 1).cast("string")))
+
+
+def attribute_nodes(rows: DataFrame, key: str, lists: list[str], sep: str = " / ") -> DataFrame:
+    """(key, property, value): each list property of a row as one node, its distinct filled values joined; empty lists make none."""
+    tidy = lambda c: F.array_distinct(F.filter(F.transform(c, lambda v: F.trim(v)), lambda v: v != ""))
+    parts = F.array(*[F.struct(F.lit(c).alias("property"), F.array_join(tidy(F.col(c)), sep).alias("value")) for c in lists])
+    return rows.select(key, F.explode(parts).alias("p")).select(key, "p.property", "p.value").where("value <> ''")

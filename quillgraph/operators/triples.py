@@ -24,7 +24,7 @@ def type_mismatches(triples: DataFrame, entities: DataFrame, expected: DataFrame
     """Triples whose ends don't have the types of expected(rel, subject_type, object_type); blanks fit all."""
     s = entities.select(F.col("id").alias("src"), F.col("label").alias("actual_subject"))
     o = entities.select(F.col("id").alias("dst"), F.col("label").alias("actual_object"))
-    rows = triples.join(F.broadcast(expected), "rel").join(s, "src").join(o, "dst")
+    rows = triples.join(expected, "rel").join(s, "src").join(o, "dst")
     wrong = lambda want, got: (F.col(want) != "") & (F.col(want) != F.col(got))
     return rows.where(wrong("subject_type", "actual_subject") | wrong("object_type", "actual_object"))
 
@@ -45,3 +45,24 @@ def canonical(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     relations = rows.select(F.col("r").alias("id"), F.col("predicate").alias("name"), "subject_type", "object_type").distinct()
     facts = rows.select(stable_id("T", F.col("s"), F.col("r"), F.col("o")).alias("id"), F.col("s").alias("subject_id"), F.col("r").alias("predicate_id"), F.col("o").alias("object_id"))
     return ends.select("e.*").distinct(), relations, facts.distinct()
+
+
+def absent(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct required rows whose keys no present row has; null keys are equal to null keys."""
+    have = present.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return required.distinct().join(have, same, "left_anti")
+
+
+def sanitised(edges: DataFrame, weak: str, strong: str, required: DataFrame) -> DataFrame:
+    """Distinct (src, rel, dst) without `weak` edges between ends that a `strong` one joins, and with all required edges."""
+    names = ["src", "rel", "dst"]
+    led = edges.where(F.col("rel") == strong).select("src", "dst", F.lit(weak).alias("rel")).distinct()
+    kept = edges.select(*names).distinct().join(led, names, "left_anti")
+    return kept.select(*names).unionByName(absent(required.select(*names), kept, names))
+
+
+def merged_batches(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, type, batch) of the first batch that has an entity, and (rel, n) with the counts of all batches added up."""
+    first = entities.groupBy("name", "type").agg(F.min("batch").alias("batch"))
+    return first, relations.groupBy("rel").agg(F.sum("n").alias("n"))

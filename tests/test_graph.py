@@ -71,3 +71,20 @@ def test_roots(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert [r.id for r in G.roots(edges).collect()] == ["a"]
     assert G.capped(edges.withColumn("k", F.lit(1)), "k", [F.col("src")], 1).count() == 1
+
+
+def test_anchors_texts_and_touching(spark):
+    from quillgraph.graph import analysis as A
+    from quillgraph.graph import property_graph as G
+
+    nodes = spark.createDataFrame([("m", "单机", "泵", None), ("f", "故障模式", "漏", "x"), ("g", "故障模式", "卡", None), ("z", "系统", "空", None)], "id string, label string, name string, raw_text string")
+    edges = spark.createDataFrame([("m", "HAS", "f"), ("g", "HAS", "m"), ("f", "LEADS_TO", "g")], "src string, rel string, dst string")
+    faults = nodes.where("label = '故障模式'")
+    found = A.fault_anchors(edges, faults, nodes)
+    assert {tuple(r) for r in found.collect()} == {("m", "f"), ("m", "g"), ("f", "f"), ("g", "g")}
+    ranked = spark.createDataFrame([("s", "a", 1, 99, 0.9, 0.0, "n"), ("s", "b", 1, 1, 0.1, 0.0, "n"), ("t", "a", 99, 99, 0.1, 0.0, "n"), ("t", "b", 99, 2, 0.5, 0.0, "n")], "start string, anchor string, start_rank int, rank int, keyword double, subject double, name string")
+    assert {tuple(r) for r in A.primary_anchor(ranked).collect()} == {("s", "b"), ("t", "b")}
+    texts = {r.id: r.text for r in A.node_texts(nodes, edges, limit=1).collect()}
+    assert texts["f"] == "名称:漏。类型:故障模式。描述:x。邻域:HAS<-单机:泵" and texts["z"] == "名称:空。类型:系统"
+    assert G.touching(edges, nodes.where("id = 'm'")).count() == 2
+    assert G.touching(edges, nodes.limit(0)).count() == 0

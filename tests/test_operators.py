@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from quillgraph import config
 from quillgraph.functions import text as X
-from quillgraph.functions.udfs import seq_ratio, split_owner, split_prefixed
-from quillgraph.operators import changes, triples
+from quillgraph.functions.udfs import seq_ratio, split_owner, split_prefixed, text_similarity
+from quillgraph.operators import changes, properties, ranking, triples
 
 
 def one(spark, column):
@@ -68,3 +68,54 @@ def test_canonical_triples(spark):
     entities, relations, facts = triples.canonical(rows)
     assert (entities.count(), relations.count(), facts.count()) == (2, 1, 1)
     assert facts.first().id.startswith("T_") and len(facts.first().id) == 18
+
+
+def test_values_scores_and_ranks(spark):
+    assert one(spark, X.property_values(F.lit(" a / b；a, ,c"))) == ["a", "b", "c"]
+    assert one(spark, X.property_values(F.lit("，"))) == ["，"]
+    assert one(spark, X.property_values(F.lit(None).cast("string"))) == []
+    assert one(spark, X.character_score(F.lit("ABx"), F.lit("b a"))) == 2 / 3
+    assert one(spark, X.character_score(F.lit(None).cast("string"), F.lit("b"))) == 0.0
+    assert [one(spark, X.stage_rank(F.lit(x))) for x in ("零部组件", "单机级故障模式", "系统", "总体", "", None)] == [0, 1, 2, 3, 99, 99]
+    place = one(spark, X.layout_place(F.lit("系统"), F.lit("阀"), {"系统": 30}))
+    assert (place.x, place.y) == (30.0, sum(map(ord, "系统:阀")) % 84 + 8)
+    assert one(spark, X.exactly_matches(F.array(F.lit("A b")), F.array(F.lit("x"), F.lit("aB "))))
+    assert not one(spark, X.exactly_matches(F.array(F.lit(" ")), F.array(F.lit(""))))
+
+
+def test_text_similarity_equals_direct_form(spark):
+    pairs = [("abcd", "bc de"), ("Valve 1", "valve 2"), ("阀门卡滞", "阀门"), ("", "x"), (None, "x"), (" ", " ")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(text_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+
+    def tokens(text):
+        import re
+
+        return set(re.findall("[a-z0-9_]+|[一-鿿]", text))
+
+    def direct(a, b):
+        a, b = ("".join((x or "").lower().split()) for x in (a, b))
+        if not a or not b:
+            return 0.0
+        x, y = tokens(a), tokens(b)
+        return max(difflib.SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y) if x | y else 1.0)
+
+    assert [r.s for r in got] == [direct(a, b) for a, b in pairs]
+
+
+def test_promoted_order(spark):
+    rows = [("q", "a", "other", 0.9, 0.1, 1), ("q", "b", "entity", 0.7, 0.9, 2), ("q", "cc", "entity", 0.8, 0.5, 3), ("q", "d", "entity", 0.8, 0.5, 4), ("q", "e", None, None, None, 5)]
+    got = ranking.promoted(spark.createDataFrame(rows, "q string, name string, role string, subject double, recall double, place int"), "q", "place")
+    assert [r.name for r in got.orderBy("rank").collect()] == ["d", "cc", "a", "b", "e"]
+
+
+def test_edges_required_and_last_rows(spark):
+    kind = "src string, rel string, dst string"
+    edges = spark.createDataFrame([("a", "INCLUDE", "b"), ("a", "LEADS_TO", "b"), ("a", "INCLUDE", "c"), ("a", "INCLUDE", "c")], kind)
+    must = spark.createDataFrame([("a", "INCLUDE", "c"), ("x", "HAS", "y")], kind)
+    got = {tuple(r) for r in triples.sanitised(edges, "INCLUDE", "LEADS_TO", must).collect()}
+    assert got == {("a", "LEADS_TO", "b"), ("a", "INCLUDE", "c"), ("x", "HAS", "y")}
+    assert triples.sanitised(edges.limit(0), "INCLUDE", "LEADS_TO", must.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, None, 1)], "id int, name string, at int")
+    assert {tuple(r) for r in changes.last_rows(rows, "id", "at").collect()} == {(1, "b", 2), (2, None, 1)}
+    lists = spark.createDataFrame([(1, ["x", " ", "x", "y"], []), (2, None, ["z"])], "id int, a array<string>, b array<string>")
+    assert {tuple(r) for r in properties.attribute_nodes(lists, "id", ["a", "b"]).collect()} == {(1, "a", "x / y"), (2, "b", "z")}
