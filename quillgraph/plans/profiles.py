@@ -111,10 +111,11 @@ def sanitised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples.sanitised(doubled, "INCLUDE", "LEADS_TO", must)
 
 
-@query("SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_mktsegment IS NOT NULL)")
+@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 10 AND p_name IS NOT NULL)")
 def absent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), "c_nationkey")
-    return triples.absent(c.select("name"), c.where("c_nationkey = 3"), ["name"])
+    """Names that no part of a small size has."""
+    part = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size")
+    return triples.absent(part.select("name"), part.where("p_size <= 10"), ["name"])
 
 
 @query("SELECT l_returnflag || l_linestatus AS rel, count(*) AS n FROM lineitem GROUP BY 1")
