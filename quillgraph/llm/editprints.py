@@ -11,8 +11,8 @@ the two levels above, so that texts of up to four times the length can be compar
 accepts, BANDS samples of BAND_BITS bits are bucket keys, drawn from times that both walks reach whatever their length;
 a walk has keys for another level only if its length lets it be alike to one there. Bucket rows are ids only. They are
 sorted by key, and all pairs of a bucket are verified by their fingerprints; buckets over RUN are verified in place, by
-pairs of chunks (simhash.shard_links). `near_groups` takes a spanning forest of such a large bucket's links instead of
-all, and returns the components. A pair that meets in no band is not found: of pairs with a share s of equal bits,
+pairs of chunks (simhash.shard_links). `near_groups` takes forests of such large buckets' links instead of all, by
+rounds (_bucket_forest), and returns the components. A pair that meets in no band is not found: of pairs with a share s of equal bits,
 1 - (1 - s ** BAND_BITS) ** BANDS are, 0.92 at the query's likeness LINKED (s = 0.9) and 0.999 at 0.9.
 
 The query walks documents in descending doc_id: they are dealt into ranges of the id whose bounds are quantiles
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.graph.components import connected_components
-from quillgraph.llm.simhash import _run_links, _small, shard_links
+from quillgraph.llm.simhash import CHUNK, _run_links, _small, shard_links
 from quillgraph.llm.tables import table
 from quillgraph.session import cut, written
 
@@ -261,12 +261,13 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a bucket, or of two of its chunks, that are alike; with `spanning`, a forest that connects them."""
+    """Pairs of a bucket, or of two of its chunks, that are alike; with `spanning`, a forest that joins their components."""
     firsts = np.packbits(np.arange(SAMPLES) < np.arange(SAMPLES + 1)[:, None], axis=1).view(np.uint64)
 
-    def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = column.flatten()
-        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("print").to_pylist()), _ROW)
+        component = flat.field("component" if spanning else "id").to_numpy()
+        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("print").to_pylist()), _ROW), component
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = Walker()
@@ -274,12 +275,12 @@ def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch
             for n in range(batch.num_rows):
                 right = batch["right"].slice(n, 1)
                 alone = right.null_count == 1
-                ids, here = read(batch["left"].slice(n, 1))
-                others, there = (ids, here) if alone else read(right)
+                ids, here, own = read(batch["left"].slice(n, 1))
+                others, there, their = (ids, here, own[:0]) if alone else read(right)
                 times = walker.times(int(here["level"][0]))
                 reach = [np.searchsorted(times, x["total"], side="left") for x in (here, there)]
                 bits = [np.ascontiguousarray(x["bits"]).view(np.uint64) for x in (here, there)]
-                labels = np.arange(len(ids) + (0 if alone else len(others)))
+                labels = np.unique(np.concatenate([own, their]), return_inverse=True)[1]
                 src, dst = [], []
                 for at in range(len(ids)):
                     past = at + 1 if alone else 0
@@ -314,6 +315,30 @@ def _liked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("src", "dst", "x", "y")} | {"likeness": pa.array(like, pa.float64())})
 
 
+def _bucket_forest(rows: DataFrame, at_least: float) -> DataFrame:
+    """(src, dst) that connect what links within the buckets of rows(shard, key, id, print), in two rounds.
+
+    Buckets are dealt into chunks by a hash of key and id, so a group's members meet others in each band. Chunks are
+    joined inside first. Chunks of one bucket then meet only if the bucket still holds several components, and give
+    links between different ones alone: no link is lost, and a group that the first round joined costs nothing more.
+    """
+    links = _alike(at_least, True)
+    counts = rows.groupBy("shard", "key").agg(F.ceil(F.count("*") / CHUNK).alias("pieces"))
+    dealt = cut(rows.join(counts, ["shard", "key"]).withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces"))).drop("pieces"))
+    packed = F.collect_list(F.struct("id", "print", "component"))
+    nothing = F.lit(None).cast("array<struct<id:bigint,print:binary,component:bigint>>").alias("right")
+    alone = dealt.withColumn("component", F.col("id")).groupBy("shard", "key", "chunk").agg(packed.alias("left")).where(F.size("left") > 1)
+    inside = cut(alone.select("left", nothing).mapInArrow(links, "src long, dst long").distinct())
+    joined = connected_components(inside).select(F.col("node").alias("id"), "component")
+    labelled = cut(dealt.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    open_ = labelled.groupBy("shard", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("chunk").alias("last"))
+    open_ = open_.where("a <> b and last > 0").select("shard", "key")
+    pieces = cut(labelled.join(open_, ["shard", "key"], "left_semi").groupBy("shard", "key", "chunk").agg(packed.alias("left")))
+    other = pieces.select("shard", "key", F.col("chunk").alias("other"), F.col("left").alias("right"))
+    met = pieces.join(other, ["shard", "key"]).where("chunk < other").select("left", "right")
+    return inside.unionByName(met.mapInArrow(links, "src long, dst long"))
+
+
 def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
     """(src, dst, x, y, likeness) of linked nodes and their least ids."""
     keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "h long, id long, role int")
@@ -323,7 +348,7 @@ def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFra
     if many := hot.count():
         rows = keyed.join(_small(hot, many), "h", "left_semi").select("h", "id", "role").join(distinct.select(F.col("node").alias("id"), "fingerprint"), "id")
         rows = cut(rows.select("h", "id", "role", "fingerprint").mapInArrow(_payload, "shard int, key long, id long, print binary"))
-        pairs = pairs.unionByName(shard_links(rows, _alike(at_least, spanning)))
+        pairs = pairs.unionByName(_bucket_forest(rows, at_least) if spanning else shard_links(rows, _alike(at_least, False)))
     pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     a = distinct.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("least").alias("x"))
     b = distinct.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), F.col("least").alias("y"))

@@ -217,3 +217,23 @@ def test_resampling_matches_a_plain_version(spark):
     top = set(sorted(want, key=lambda i: -want[i][1])[:30])
     for r in got.collect():
         assert abs(r.score - want[r.id][0]) < 1e-6 and abs(r.rank_key - want[r.id][1]) < 1e-6 and r.keep == (r.id in top)
+
+
+def test_bucket_forest_joins_what_links(spark, monkeypatch):
+    """Large buckets in chunks of four give the components of all alike pairs."""
+    from quillgraph.graph.components import connected_components
+    from quillgraph.llm import editprints as E
+
+    monkeypatch.setattr(E, "CHUNK", 4)
+    draw = np.random.default_rng(5)
+    bits = draw.integers(0, 256, (3, E.SAMPLES // 8), dtype=np.uint8)
+    prints = {}
+    for n in range(40):
+        row = np.zeros(1, E._ROW)
+        mine = bits[n % 3].copy()
+        mine[n % 32] ^= 1 << n % 8
+        row["total"], row["level"], row["side"], row["bits"] = 1 << 12, 12, E._SAME, mine
+        prints[n] = row.tobytes()
+    rows = spark.createDataFrame([(0, key, n, bytearray(x)) for key in (1, 2) for n, x in prints.items()], "shard int, key long, id long, print binary")
+    got = {r.node: r.component for r in connected_components(E._bucket_forest(rows, 0.8)).collect()}
+    assert got == {n: n % 3 for n in prints}
