@@ -111,11 +111,11 @@ def sanitised_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples.sanitised(doubled, "INCLUDE", "LEADS_TO", must)
 
 
-@query("SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 10 AND p_name IS NOT NULL)")
+@query("SELECT p_brand, p_name FROM part EXCEPT SELECT p_brand, p_name FROM part WHERE p_size <= 10")
 def absent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that no part of a small size has."""
-    part = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_size")
-    return triples.absent(part.select("name"), part.where("p_size <= 10"), ["name"])
+    """Names that no small part of a brand has."""
+    part = _t(spark, sf_dir, "part").select("p_brand", "p_name", "p_size")
+    return triples.absent(part.select("p_brand", "p_name"), part.where("p_size <= 10"), ["p_brand", "p_name"])
 
 
 @query("SELECT l_returnflag || l_linestatus AS rel, count(*) AS n FROM lineitem GROUP BY 1")
