@@ -66,7 +66,9 @@ class Walker:
         times = np.arange(PERIOD)
         after = np.where(steps, times, PERIOD)
         after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
-        self.next = [row.tolist() for row in (after + 1) % PERIOD]
+        self.table = ((after + 1) % PERIOD).astype(np.uint16)
+        shared = list(range(PERIOD))  # rows hold the same integers, so that a core's cache holds the rows of a text
+        self.next = [[shared[n] for n in row.tolist()] for row in self.table]
         self.bits = draw.integers(0, 2, (SAMPLES, CLASSES), dtype=np.uint8)
         self.offsets = draw.random((64, SAMPLES))
 
@@ -77,12 +79,23 @@ class Walker:
 
     def walk(self, codes: bytes, start: int = 0) -> np.ndarray:
         """The time at which each character is left, from time `start` on."""
-        rows, at, parts = self.next, start % PERIOD, []
-        for begin in range(0, len(codes), _SLICE):
-            parts.append(np.array([at := rows[c][at] for c in codes[begin : begin + _SLICE]], np.int64))
-        if not parts:
+        rows, at = self.next, start % PERIOD
+        if not codes:
             return np.empty(0, np.int64)
-        left = np.concatenate(parts)
+        points, full = np.frombuffer(codes, np.uint8), len(codes) // 4 * 4
+        left = np.empty(len(codes), np.int64)
+        # the loop takes four characters a step; where the walk stands between them follows for all steps at once
+        for begin in range(0, full, _SLICE):
+            end = min(begin + _SLICE, full)
+            first = at
+            steps = zip(*(codes[begin + n : end : 4] for n in range(4)))
+            ends = np.array([at := rows[d][rows[c][rows[b][rows[a][at]]]] for a, b, c, d in steps], np.int64)
+            before = np.concatenate([[first], ends[:-1]])
+            for n in range(3):
+                before = left[begin + n : end : 4] = self.table[points[begin + n : end : 4], before]
+            left[begin + 3 : end : 4] = ends
+        for n in range(full, len(codes)):
+            at = left[n] = rows[codes[n]][at]
         stays = np.diff(left, prepend=start % PERIOD) % PERIOD
         stays[stays == 0] = PERIOD
         return start + np.cumsum(stays)
