@@ -6,17 +6,18 @@ after words like password. Each candidate has binary features of its format and
 Boosted trees of depth two score it, and candidates over their generator's threshold are added unless they overlap a
 base span or a better candidate.
 
-Training: every candidate of the whole table is counted by (generator, features, weak label); a candidate is a positive
-if it overlaps a base span or has a format that only keys have. The counts are at most one row for each feature vector
-and label, which is bounded by the features and not by the table, so the driver gets a small table and fits the trees
-to all candidates. Threshold: the least score at which precision is PRECISION on the counts, by generator; a generator
-without such a score adds nothing. The trees become CASE expressions.
+Training: every candidate of the whole table is counted by (generator, features, weak label, half); a candidate is a
+positive if it overlaps a base span or has a format that only keys have. The half comes from a hash of the whole text, so
+copies share it. The counts are at most two rows for each feature vector and label, which is bounded by the features and
+not by the table, so the driver gets a small table. The trees are fitted to one half; a generator's threshold is the least
+score at which precision is PRECISION on the other. A generator without such a score adds nothing. The trees become CASE
+expressions. Candidates have no greatest length.
 
 Positions are code points. Patterns are written possessively and anchored at the start of a run of their characters,
 which finds the same matches in linear time and without recursion.
 
-Defined cases: null is the empty text and has no spans; repeated rows get the same spans; without positives or without
-candidates the method adds nothing; an empty table gives an empty result.
+Defined cases: null is the empty text and has no spans; repeated rows get the same spans; where the fitted half lacks
+positives or negatives, or the other one positives (a single text, say), the method adds nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 GENERATORS = {
-    "contact": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]{1,64}+(?:\s?(?:@|\(at\)|\[at\])\s?[a-z0-9-]{1,63}+\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?|\sat\s[a-z0-9-]{1,63}+\sdot\s)[a-z]{2,24}+",
-    "number": r"(?:(?<![0-9+])|\G)[0-9(](?:[0-9]|[\x20()./-](?=[\x20()./-]?[0-9(])){5,40}+",
-    "secret": r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s{0,3}+[:=]\s{0,3}+[\"']?+[^\s\"']{6,200}+",
-    "key": r"(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,200}+",
+    "contact": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++(?:\s?(?:@|\(at\)|\[at\])\s?[a-z0-9-]++\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?|\sat\s[a-z0-9-]++\sdot\s)[a-z]{2,}+",
+    "number": r"(?:(?<![0-9+])|\G)[0-9(](?:[0-9]|[\x20()./-](?=[\x20()./-]?[0-9(])){5,}+",
+    "secret": r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\s{0,3}+[:=]\s{0,3}+[\"']?+[^\s\"']{6,}+",
+    "key": r"(?:(?<![A-Za-z0-9+/_-])|\G)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+",
 }
 ORDER = (*KINDS, *GENERATORS)
 MAYBE = r"(?i)[0-9@]|\(at\)|\[at\]|\sdot\s|password|passwd|pwd|secret|token|key"
@@ -127,7 +128,7 @@ def _overlaps(a: Column, b: Column) -> Column:
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, base spans by kind, and cands: candidates with generator, features (a 0/1 string) and weak label."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("maybe", text.rlike(MAYBE))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("maybe", text.rlike(MAYBE)).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     nothing = F.expr(f"cast(array() as {_SPAN})")
     rows = rows.withColumns({k: F.when(F.col("maybe"), c).otherwise(nothing) for k, c in base_spans(text).items()})
     rows = rows.withColumn("base", F.concat(*[F.col(k) for k in KINDS]))
@@ -216,6 +217,8 @@ def boost(counts: dict[tuple[str, str], tuple[int, int]], rounds: int = ROUNDS,
 
 
 def calibrate(model: Model, counts: dict[tuple[str, str], tuple[int, int]], precision: float = PRECISION) -> None:
+    if not model.trees:  # nothing was fitted: there is no score to hold a bound against
+        return
     for kind in GENERATORS:
         by_score = defaultdict(lambda: [0, 0])
         for (k, f), (b, g) in counts.items():
@@ -234,13 +237,13 @@ def _with_kind(f: str, kind: str) -> str:
 
 
 def train(prepared: DataFrame) -> Model:
-    rows = prepared.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.f", "c.label").count().collect()
-    counts: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
-    for kind, f, label, n in rows:
-        counts[kind, _with_kind(f, kind)][bool(label)] += n
-    fixed = {k: (v[0], v[1]) for k, v in counts.items()}
-    model = boost(fixed)
-    calibrate(model, fixed)
+    rows = prepared.select("half", F.explode("cands").alias("c")).groupBy("half", "c.kind", "c.f", "c.label").count().collect()
+    halves: list[dict[tuple[str, str], list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for half, kind, f, label, n in rows:
+        halves[half][kind, _with_kind(f, kind)][bool(label)] += n
+    fitted, held_out = ({k: (v[0], v[1]) for k, v in counts.items()} for counts in halves)
+    model = boost(fitted)
+    calibrate(model, held_out)
     return model
 
 
@@ -260,7 +263,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return fits
 
     free = F.filter("cands", lambda c: ~c["hit"])
-    rows = prepared.withColumn("picked", F.filter(F.transform(free, scored), passes)).drop("cands", "base")
+    rows = prepared.withColumn("picked", F.filter(F.transform(free, scored), passes)).drop("cands", "base", "half")
 
     def better(a: Column, b: Column) -> Column:
         return F.struct(-a["score"], a["s"], -a["e"], a["kind"]) < F.struct(-b["score"], b["s"], -b["e"], b["kind"])

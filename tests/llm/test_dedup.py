@@ -41,6 +41,20 @@ def test_repeated_bytes_match_brute_force(spark, monkeypatch):
         assert got == brute_bytes(rows)
 
 
+def test_either_half_of_a_fingerprint_tells_windows_apart():
+    draw = random.Random(12)
+    base = bytes(draw.choice(b"abcd") for _ in range(suffixes.WINDOW))
+    rows = [base]
+    for at in range(suffixes.WINDOW):
+        rows += [base[:at] + bytes([other]) + base[at + 1 :] for other in b"abcd" if other != base[at]]
+    data = np.frombuffer(b"".join(rows) + base, np.uint8)
+    at = np.arange(len(rows) + 1) * suffixes.WINDOW
+    halves = [suffixes.window_hashes(data, at, by) for by in ((suffixes._A, suffixes._B, suffixes._C), suffixes._SECOND)]
+    for half in halves:
+        assert half[0] == half[-1] and len(set(half.tolist())) == len(rows)
+    assert not set(halves[0].tolist()) & set(halves[1].tolist())
+
+
 def test_repeated_rows_and_null_ids_keep_one_copy(spark):
     draw = random.Random(4)
     text = "".join(draw.choice("abcdef") for _ in range(300))

@@ -129,6 +129,34 @@ def test_secrets_are_added_and_plain_text_left(spark):
     assert all(got[n] == 1 for n in range(40)) and not any(got[100 + n] for n in range(40))
 
 
+def test_candidates_have_no_greatest_length(spark):
+    long_key, word = "k7" * 5000, "s3" * 400
+    texts = [f"see {long_key} end", f"password={word} end", "call " + "12 " * 3000 + "end", f"{'u' * 90} at {'h' * 80} dot museum"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: {(c.kind, texts[r.id][c.s : c.e]) for c in r.cands} for r in private._prepared(rows, "doc_id", "text").collect()}
+    assert ("key", long_key) in got[0] and ("secret", f"password={word}") in got[1]
+    assert ("number", ("12 " * 3000).strip()) in got[2] and ("contact", texts[3]) in got[3]
+
+
+def test_thresholds_come_from_the_half_that_trained_nothing(spark):
+    draw = random.Random(5)
+    rows = [(n, f"note {n} password={draw.getrandbits(72):018x} and {draw.randint(1, 9)} more") for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("h")).collect()}
+    for side in (0, 1):
+        one = docs.where(F.col("doc_id").isin([n for n in half if half[n] == side]))
+        model = private.train(private._prepared(one, "doc_id", "text"))
+        assert model.thresholds == {}
+    assert "secret" in private.train(private._prepared(docs.unionByName(spark.createDataFrame([(90 + n, f"key: none {n}, token: no0{n}") for n in range(40)], docs.schema)), "doc_id", "text")).thresholds
+
+
+def test_private_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, None), (2, "")], "doc_id long, text string")
+    got = sorted((r.id or 0, len(r.email), len(r.added)) for r in private.find_private(docs).collect())
+    assert got == [(0, 0, 0), (1, 1, 0), (1, 1, 0), (2, 0, 0)]
+    assert private.find_private(docs.limit(0)).count() == 0
+
+
 def test_quality_separates_and_keeps_good_documents(spark):
     draw = random.Random(7)
     words = ["".join(draw.choice("abcdefg") for _ in range(draw.randint(2, 6))) for _ in range(80)]
