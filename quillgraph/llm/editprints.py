@@ -70,7 +70,8 @@ class Walker:
         shared = list(range(PERIOD))  # rows hold the same integers, so that a core's cache holds the rows of a text
         self.next = [[shared[n] for n in row.tolist()] for row in self.table]
         self.bits = draw.integers(0, 2, (SAMPLES, CLASSES), dtype=np.uint8)
-        self.offsets = draw.random((64, SAMPLES))
+        offsets = draw.random((64, SAMPLES))
+        self._times = ((np.arange(SAMPLES) + offsets) * (2.0 ** np.arange(64)[:, None] / SAMPLES)).astype(np.int64)
 
     @staticmethod
     def classes(text: str) -> bytes:
@@ -101,21 +102,18 @@ class Walker:
         return start + np.cumsum(stays)
 
     def times(self, level: int) -> np.ndarray:
-        return ((np.arange(SAMPLES) + self.offsets[level]) * (2.0**level / SAMPLES)).astype(np.int64)
+        return self._times[level]
 
     def sample(self, codes: np.ndarray, left: np.ndarray) -> str:
         """The fingerprint of a walk: its length, level and bits."""
         total = int(left[-1]) if len(left) else 0
         level = max(total - 1, 1).bit_length()
-        rows = []
-        for n in range(level, level + LEVELS):
-            times = self.times(n)
-            at = np.searchsorted(left, times, side="right")
-            reached = at < len(left)
-            bits = np.zeros(SAMPLES, np.uint8)
-            bits[reached] = self.bits[np.flatnonzero(reached), codes[at[reached]]]
-            rows.append(np.packbits(bits).tobytes().hex())
-        return f"{total:x}.{level:x}.{'.'.join(rows)}"
+        at = np.searchsorted(left, self._times[level : level + LEVELS].ravel(), side="right")
+        reached = np.flatnonzero(at < len(left))
+        bits = np.zeros(LEVELS * SAMPLES, np.uint8)
+        bits[reached] = self.bits[reached % SAMPLES, codes[at[reached]]]
+        rows = np.packbits(bits.reshape(LEVELS, SAMPLES), axis=1)
+        return f"{total:x}.{level:x}.{'.'.join(row.tobytes().hex() for row in rows)}"
 
     def fingerprint(self, text: str) -> str:
         codes = self.classes(text)
