@@ -335,16 +335,16 @@ def _bucket_forest(rows: DataFrame, at_least: float) -> DataFrame:
     """
     links = _alike(at_least, True)
     counts = rows.groupBy("shard", "key").agg(F.ceil(F.count("*") / CHUNK).alias("pieces"))
-    dealt = cut(rows.join(counts, ["shard", "key"]).withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces"))).drop("pieces"))
+    dealt = written(rows.join(counts, ["shard", "key"]).withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces"))).drop("pieces"))
     packed = F.collect_list(F.struct("id", "print", "component"))
     nothing = F.lit(None).cast("array<struct<id:bigint,print:binary,component:bigint>>").alias("right")
     alone = dealt.withColumn("component", F.col("id")).groupBy("shard", "key", "chunk").agg(packed.alias("left")).where(F.size("left") > 1)
     inside = cut(alone.select("left", nothing).mapInArrow(links, "src long, dst long").distinct())
     joined = connected_components(inside).select(F.col("node").alias("id"), "component")
-    labelled = cut(dealt.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    labelled = written(dealt.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("shard", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("chunk").alias("last"))
     open_ = open_.where("a <> b and last > 0").select("shard", "key")
-    pieces = cut(labelled.join(open_, ["shard", "key"], "left_semi").groupBy("shard", "key", "chunk").agg(packed.alias("left")))
+    pieces = written(labelled.join(open_, ["shard", "key"], "left_semi").groupBy("shard", "key", "chunk").agg(packed.alias("left")))
     other = pieces.select("shard", "key", F.col("chunk").alias("other"), F.col("left").alias("right"))
     met = pieces.join(other, ["shard", "key"]).where("chunk < other").select("left", "right")
     return inside.unionByName(met.mapInArrow(links, "src long, dst long"))
@@ -358,7 +358,7 @@ def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFra
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     if many := hot.count():
         rows = keyed.join(_small(hot, many), "h", "left_semi").select("h", "id", "role").join(distinct.select(F.col("node").alias("id"), "fingerprint"), "id")
-        rows = cut(rows.select("h", "id", "role", "fingerprint").mapInArrow(_payload, "shard int, key long, id long, print binary"))
+        rows = written(rows.select("h", "id", "role", "fingerprint").mapInArrow(_payload, "shard int, key long, id long, print binary"))
         pairs = pairs.unionByName(_bucket_forest(rows, at_least) if spanning else shard_links(rows, _alike(at_least, False)))
     pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     a = distinct.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("least").alias("x"))
