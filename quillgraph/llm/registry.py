@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgraph.llm import editprints, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
+from quillgraph.llm import editprints, fillmiddle, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sentencepiece_viterbi": pieces.op8_sentencepiece_viterbi,
     "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
     "op10_private_boosting": private.op10_private_boosting,
+    "op11_fill_middle": fillmiddle.op11_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_url_redirects": urlfilter.ORACLE,
     "op4_mixing_pareto": mixing.ORACLE,
     "op7_topk_pivot": topk.ORACLE,
+    "op11_fill_middle": fillmiddle.ORACLE,
 }
