@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgraph.llm import editprints, fillmiddle, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
+from quillgraph.llm import collocations, editprints, fillmiddle, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_edit_fingerprints": editprints.op9_edit_fingerprints,
     "op10_private_boosting": private.op10_private_boosting,
     "op11_fill_middle": fillmiddle.op11_fill_middle,
+    "op12_collocations": collocations.op12_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_mixing_pareto": mixing.ORACLE,
     "op7_topk_pivot": topk.ORACLE,
     "op11_fill_middle": fillmiddle.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
