@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillgraph.llm import collocations, editprints, fillmiddle, linededup, mixing, pieces, private, quality, simhash, suffixes, topk, urlfilter
+from quillgraph.llm import collocations, editprints, fillmiddle, linededup, mixing, oddsketch, pieces, private, quality, simhash, suffixes, topk, urlfilter
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.op1_suffix_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_private_boosting": private.op10_private_boosting,
     "op11_fill_middle": fillmiddle.op11_fill_middle,
     "op12_collocations": collocations.op12_collocations,
+    "op13_odd_sketches": oddsketch.op13_odd_sketches,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLES = {
     "op7_topk_pivot": topk.ORACLE,
     "op11_fill_middle": fillmiddle.ORACLE,
     "op12_collocations": collocations.ORACLE,
+    "op13_odd_sketches": oddsketch.ORACLE,
 }
