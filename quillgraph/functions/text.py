@@ -96,6 +96,14 @@ def alias_group(value: Column, groups: dict[str, tuple[str, ...]], fallback: str
     return F.when(F.coalesce(value, F.lit("")) == "", fallback).otherwise(out)
 
 
+def weighted(value: Column, weights: dict[str, float], other: float = 0.0) -> Column:
+    """The weight of a name; `other` for one that has none, also for null."""
+    out = F.lit(other)
+    for name, weight in weights.items():
+        out = F.when(value == name, weight).otherwise(out)
+    return out
+
+
 def subject_match(subject: Column, value: Column, ratio: Column | None = None) -> Column:
     """1 if equal; on containment 0.99 at the end and 0.97 elsewhere for four characters or more, else 0.88 and a tenth
     of the share; otherwise 0.7 of `ratio`. 0 if either is empty."""
