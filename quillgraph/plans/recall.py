@@ -18,12 +18,12 @@ n AS (SELECT count(*)::DOUBLE AS many, sum(length)::DOUBLE / count(*) AS mean FR
 p AS (SELECT term, id, floor(1000000 * (ln(1 + (many - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))))::BIGINT AS weight
       FROM c JOIN len USING (id) JOIN df USING (term), n),
 w AS (SELECT item_id, word, min(i) AS i FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark) WHERE word <> '' GROUP BY ALL),
-a AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS at FROM w),
+a AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM w),
 v AS (SELECT item_id, trim(part) AS part, min(i) AS i FROM (SELECT item_id, unnest(string_split_regex(text, '[.;:]')) AS part, generate_subscripts(string_split_regex(text, '[.;:]'), 1) AS i FROM benchmark) WHERE trim(part) <> '' GROUP BY ALL),
-s AS (SELECT item_id, part, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS at FROM v),
-u AS (SELECT item_id, '0:' AS sub, unnest({_TERMS.format("word")}) AS term, CASE WHEN at < 4 THEN 4 ELSE 2 END AS boost, 50 AS k FROM a
-  UNION ALL SELECT item_id, '1:' || at, unnest({_TERMS.format("part")}), 4, 20 FROM s WHERE at < 8
-  UNION ALL SELECT item_id, '2:' || at, unnest({_TERMS.format("word")}), 4, 12 FROM a WHERE at < 8),
+s AS (SELECT item_id, part, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos FROM v),
+u AS (SELECT item_id, '0:' AS sub, unnest({_TERMS.format("word")}) AS term, CASE WHEN pos < 4 THEN 4 ELSE 2 END AS boost, 50 AS k FROM a
+  UNION ALL SELECT item_id, '1:' || pos, unnest({_TERMS.format("part")}), 4, 20 FROM s WHERE pos < 8
+  UNION ALL SELECT item_id, '2:' || pos, unnest({_TERMS.format("word")}), 4, 12 FROM a WHERE pos < 8),
 q AS (SELECT item_id, sub, term, k, max(boost) AS boost FROM u GROUP BY ALL),
 h AS (SELECT item_id, sub, k, id, sum(boost * weight)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY item_id, sub ORDER BY score DESC, id) AS rank FROM h),
