@@ -98,10 +98,10 @@ def merge_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("left", "right", merged.alias("merge_kind")).where("merge_kind is not null")
 
 
-@query(f'WITH {_PAIRS} SELECT "left", "right", round(0.5 * s + 0.35 * s + 0.15 * s, 6) AS score FROM p')
+@query(f'WITH {_PAIRS} SELECT "left", "right", round(0.5::DOUBLE * s + 0.35::DOUBLE * s + 0.05::DOUBLE * s + 0.05::DOUBLE * s + 0.05::DOUBLE * s, 8) AS score FROM p')
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).withColumns({s: F.col("s") for s in linking.SIGNALS})
-    return rows.select("left", "right", F.round(ranking.pair_score(), 6).alias("score"))
+    return rows.select("left", "right", F.round(ranking.pair_score(), 8).alias("score"))
 
 
 @query(", t AS (SELECT e.src AS id, list(DISTINCT n.label) AS types, list(DISTINCT e.rel) AS rels FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.rel <> 'SIMILAR' GROUP BY 1) SELECT a.id AS a, b.id AS b, round(0.6 * len(list_intersect(a.types, b.types)) / len(list_distinct(a.types || b.types)) + 0.4 * len(list_intersect(a.rels, b.rels)) / len(list_distinct(a.rels || b.rels)), 6) AS score FROM t a JOIN edges e ON e.src = a.id AND e.rel = 'INCLUDE' JOIN t b ON b.id = e.dst", graph=True)

@@ -56,8 +56,6 @@ def test_stream_of_upserts(spark, tmp_path):
 def test_scores(spark):
     row = spark.range(1).select(ranking.recall_score(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, -1.0)]).alias("a"), ranking.chain_score(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, 1.0, 0.2)]).alias("b")).first()
     assert abs(row.a - 0.5) < 1e-9 and abs(row.b - 0.8) < 1e-9
-    pairs = spark.createDataFrame([(0.95, 0.9, 0.5, 0.5, 0.0, False, False, 0.93), (0.1, 0.1, 0.0, 0.0, 0.0, True, True, 0.1), (0.95, 0.9, 0.5, 0.5, 0.0, False, True, 0.93)], "name double, semantic double, attribute double, structure double, graph double, same_name boolean, conflict boolean, score double")
-    assert [r.x for r in pairs.select(ranking.generic_link().alias("x")).collect()] == [True, True, False]
     nodes = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x", "y"]), ("c", ["z"])], "id string, keys array<string>")
     assert [tuple(r) for r in ranking.block_pairs(nodes, F.col("keys")).collect()] == [("a", "b")]
 
