@@ -461,4 +461,4 @@ def prefixed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.explode(split_prefixed(text)).alias("x")).select("p_partkey", "x.owner", "x.mode")
 
 
-from quillgraph.plans import answers, catalog, causal, profiles, recall  # noqa: E402, F401  they register their queries
+from quillgraph.plans import answers, catalog, causal, loads, profiles, recall  # noqa: E402, F401  they register their queries
