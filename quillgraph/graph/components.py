@@ -21,15 +21,17 @@ def _with_minimum(edges: DataFrame, lows: DataFrame, limit: int) -> DataFrame:
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100, partitions: int | None = None) -> DataFrame:
     """(node, component) for every node that an edge names; component is the least node reachable.
 
     Edges are undirected; null ends, self-loops and repeated edges are allowed (edges with a null end are ignored,
-    a node that only has self-loops is its own component). No edges: an empty result.
+    a node that only has self-loops is its own component). No edges: an empty result. With `partitions`, edges are few and
+    the rounds keep them in so many partitions: a round's files otherwise outweigh its rows.
     """
+    few = lambda rows: rows if partitions is None else rows.coalesce(partitions)
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    now = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = cut(few(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     stat = None
     for _ in range(max_rounds):
         new_stat = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -39,11 +41,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         limit = max(200, 2 * stat[0] // MAX_HUBS + 1)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select("u", F.least("w", "u").alias("m"), "n")
-        large = _with_minimum(both, lows, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
+        large = few(_with_minimum(both, lows, limit)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(few(large))
         lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_minimum(large, lows, limit).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        small = few(_with_minimum(large, lows, limit)).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        now = cut(few(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
