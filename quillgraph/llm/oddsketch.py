@@ -10,8 +10,10 @@ left is confirmed on the full sets, so a link is exact.
 Sets, not documents, are the nodes; copies share a node. Buckets are dealt into chunks of about CHUNK nodes, so no task
 holds a whole bucket, and their pairs are not listed. First each node of a chunk proposes its link to the least node that
 its sketch allows, and the least of all its bands is confirmed: one link a node. Chunks then meet only where a bucket
-still has several components, and each node proposes its nearest node of another one. Only what both rounds leave apart
-is then confirmed pair by pair, between different components alone. No pair at the similarity that shares a band is left.
+still has several components, and each node proposes its nearest node of another one. What both rounds leave apart is
+confirmed where it meets: nodes that still have a partner of another component take their sets along, a pair is read in
+the first band that it shares, and a task lists no pair but the links that join components. No pair at the similarity that
+shares a band is left.
 
 Defined cases: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer words than a shingle
 are one shingle; repeated rows are one node, each is returned, and a row is kept if its id is its component's, so rows
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,12 @@ BANDS, ROWS = 60, 6
 SAMPLES = BANDS * ROWS
 BITS = 512
 CHUNK = 256
+#: Shingles of the sets that meet in one chunk of the last round, 8 bytes each.
+SHINGLES = 1 << 20
+#: Links in a partition of the component rounds.
+LINKS = 100_000
 DEVIATIONS = 6
+_SPANNED = ("id", "n", "component", "sketch", "bands")
 _NO_ID = 2**63 - 1
 _SLICE = 1024
 
@@ -121,8 +129,7 @@ def _fits(a: int, b: np.ndarray, similarity: int) -> np.ndarray:
 def _proposed(similarity: int, mode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(src, dst, bits) of pairs within `left`, or between it and `right`, that sizes and sketches allow.
 
-    mode least: of each node its least partner; nearest: its nearest partner of another component; all: every partner of
-    another component.
+    mode least: of each node its least partner; nearest: its nearest partner of another component.
     """
     limit = most_bits(similarity)
 
@@ -146,12 +153,10 @@ def _proposed(similarity: int, mode: str) -> Callable[[Iterator[pa.RecordBatch]]
                         fits &= there[0] < here[0][at]
                     else:
                         fits &= there[2] != here[2][at]
-                        if alone and mode == "all":
-                            fits &= there[0] < here[0][at]
                     found = np.flatnonzero(fits)
                     if len(found) and mode == "least":
                         found = found[there[0][found].argmin()][None]
-                    elif len(found) and mode == "nearest":
+                    elif len(found):
                         found = found[np.lexsort((there[0][found], bits[found]))[:1]]
                     if len(found):
                         src.append(np.full(len(found), here[0][at]))
@@ -162,6 +167,94 @@ def _proposed(similarity: int, mode: str) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+@dataclass(frozen=True)
+class _Piece:
+    """The members of a chunk, as arrays."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    component: np.ndarray
+    sketch: np.ndarray
+    bands: np.ndarray
+    grams: list[np.ndarray] | None
+
+    @staticmethod
+    def read(column: pa.ListArray) -> _Piece:
+        flat = column.flatten()
+        ids, n, component = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component"))
+        words = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(len(flat), -1)
+        bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+        grams = [np.frombuffer(g.as_buffer(), "<i8") for g in flat.field("grams")] if flat.type.get_field_index("grams") >= 0 else None
+        return _Piece(ids, n, component, words, bands, grams)
+
+    def partners(self, at: int, there: _Piece, alone: bool, key: int, similarity: int, limit: int) -> np.ndarray:
+        """Places of members of another component that sizes and sketches allow and that share no band before this one."""
+        bits = np.bitwise_count(self.sketch[at] ^ there.sketch).sum(1, dtype=np.int64)
+        fits = (bits <= limit) & _fits(int(self.n[at]), there.n, similarity) & (there.component != self.component[at])
+        if alone:
+            fits &= there.ids < self.ids[at]
+        found = np.flatnonzero(fits)
+        first = (there.bands[found] == self.bands[at]).argmax(1)
+        return found[self.bands[at][first] == key]
+
+
+def _held(batch: pa.RecordBatch) -> Iterator[tuple[int, _Piece, _Piece, bool]]:
+    for row in range(batch.num_rows):
+        right = batch["right"].slice(row, 1)
+        alone = right.null_count == 1
+        here = _Piece.read(batch["left"].slice(row, 1))
+        yield batch["key"][row].as_py(), here, here if alone else _Piece.read(right), alone
+
+
+def _waiting(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, id) of members that have a partner to be confirmed in this bucket."""
+    limit = most_bits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, here, there, alone in _held(batch):
+                left, right = np.zeros(len(here.ids), bool), np.zeros(len(there.ids), bool)
+                for at in range(len(here.ids)):
+                    found = here.partners(at, there, alone, key, similarity, limit)
+                    left[at] |= len(found) > 0
+                    right[found] = True
+                ids = np.unique(np.r_[here.ids[left], there.ids[right]])
+                yield pa.RecordBatch.from_pydict({"key": np.full(len(ids), key, np.int64), "id": ids})
+
+    return run
+
+
+def _joined(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(src, dst): confirmed links that join the components of a meeting, whose members hold their sets."""
+    limit = most_bits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, here, there, alone in _held(batch):
+                parent: dict[int, int] = {}
+
+                def root(x: int, parent: dict[int, int] = parent) -> int:
+                    while (up := parent.get(x, x)) != x:
+                        parent[x] = x = parent.get(up, up)
+                    return x
+
+                src, dst = [], []
+                for at in range(len(here.ids)):
+                    a = here.grams[at]
+                    for other in here.partners(at, there, alone, key, similarity, limit):
+                        if (p := root(int(here.component[at]))) == (q := root(int(there.component[other]))):
+                            continue
+                        b = there.grams[other]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= similarity * (len(a) + len(b) - both):
+                            parent[p] = q
+                            src.append(int(here.ids[at]))
+                            dst.append(int(there.ids[other]))
+                yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return run
+
+
 def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,31 +298,37 @@ def confirmed(pairs: DataFrame, texts: Texts, similarity: int, size: int) -> Dat
     return written(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_confirmed(similarity), "src long, dst long"))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """Components of links, in as many partitions as their number asks for."""
+    return connected_components(links, partitions=max(1, -(-links.count() // LINKS)))
+
+
 def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     """rows(id, ...) with the component that the links give each id."""
     if links is None:
         return rows.withColumn("component", F.col("id"))
-    found = connected_components(links).select(F.col("node").alias("id"), "component")
+    found = _components(links).select(F.col("node").alias("id"), "component")
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _meetings(rows: DataFrame, pairs: bool) -> DataFrame:
-    """(left, right) of rows(key, chunk, id, n, component, sketch): each chunk alone, and pairs of chunks of one bucket.
+def _meetings(rows: DataFrame, pairs: bool, columns: tuple[str, ...] = ("id", "n", "component", "sketch")) -> DataFrame:
+    """(key, left, right) of rows(key, chunk, component, ...): each chunk alone, and pairs of chunks of one bucket.
 
-    A chunk alone needs two nodes; a pair of chunks two components.
+    A chunk alone needs two nodes; where `pairs` meet too, any meeting needs two components.
     """
-    packed = F.collect_list(F.struct("id", "n", "component", "sketch"))
+    packed = F.collect_list(F.struct(*columns))
     chunks = rows.groupBy("key", "chunk").agg(packed.alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
-    nothing = F.lit(None).cast("array<struct<id:bigint,n:bigint,component:bigint,sketch:binary>>").alias("right")
+    kind = ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in columns)
+    nothing = F.lit(None).cast(f"array<struct<{kind}>>").alias("right")
     if not pairs:
-        return chunks.where(F.size("left") > 1).select("left", nothing)
+        return chunks.where(F.size("left") > 1).select("key", "left", nothing)
     chunks = written(chunks)
-    alone = chunks.where("low <> high").select("left", nothing)
+    alone = chunks.where("low <> high").select("key", "left", nothing)
     several = chunks.groupBy("key").agg(F.max("chunk").alias("last")).where("last > 0").select("key")
     rest = chunks.join(several, "key", "left_semi")
     other = rest.select("key", F.col("chunk").alias("other"), F.col("left").alias("right"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
     met = rest.join(other, "key").where("chunk < other and (low <> high or other_low <> other_high or low <> other_low)")
-    return alone.unionByName(met.select("left", "right"))
+    return alone.unionByName(met.select("key", "left", "right"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -252,8 +351,13 @@ def near_links(nodes: DataFrame, texts: Texts, similarity: int = SIMILARITY, siz
     second = second.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
     links = links.unionByName(confirmed(second, texts, similarity, size))
     open_ = _open(_labelled(open_.drop("component"), links))
-    last = _meetings(open_, True).mapInArrow(_proposed(similarity, "all"), schema).select("src", "dst")
-    return links.unionByName(confirmed(last, texts, similarity, size))
+    waiting = _meetings(open_.join(nodes.select("id", "bands"), "id"), True, _SPANNED).mapInArrow(_waiting(similarity), "key long, id long")
+    waiting = written(open_.drop("chunk").join(waiting.distinct(), ["key", "id"]))
+    pieces = waiting.groupBy("key").agg(F.ceil(F.sum("n") / SHINGLES).alias("pieces"))
+    grams = texts.sets(waiting.select(F.col("id").alias("node")).distinct(), size).withColumnRenamed("node", "id")
+    last = waiting.join(pieces, "key").withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int"))
+    last = last.join(nodes.select("id", "bands"), "id").join(grams, "id")
+    return written(links.unionByName(_meetings(last, True, (*_SPANNED, "grams")).mapInArrow(_joined(similarity), "src long, dst long")))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +371,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
     nodes = written(found.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("id"), F.col("id").alias("doc"), "mark", "n", "bands", "sketch"))
     places = nodes.select(F.col("id").alias("node"), F.col("doc").alias("id"), "mark")
     links = near_links(nodes, Texts(texts, places), similarity, size)
-    component = connected_components(links).select("node", F.col("component").alias("group"))
+    component = _components(links).select("node", F.col("component").alias("group"))
     groups = written(sets.join(component, "node", "left").select("set", "least", F.coalesce("group", "node").alias("group")))
     least = groups.groupBy("group").agg(F.min("least").alias("component"))
     of_set = written(groups.join(least, "group").select("set", "component"))
@@ -286,8 +390,8 @@ WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
 n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
-b AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
-l AS MATERIALIZED (SELECT x, y FROM b JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * both >= 80 * (p.n + q.n - both)),
+b AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM b JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * m >= 80 * (p.n + q.n - m)),
 e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
 c AS (SELECT r.x AS rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GROUP BY r.x)

@@ -60,6 +60,7 @@ def corpus(seed):
 @pytest.mark.parametrize("chunk", [256, 3])
 def test_components_match_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(oddsketch, "CHUNK", chunk)
+    monkeypatch.setattr(oddsketch, "SHINGLES", 4 * chunk)
     rows = corpus(chunk)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, set string").repartition(3)
     got = oddsketch.near_duplicates(docs)
@@ -68,6 +69,7 @@ def test_components_match_brute_force(spark, monkeypatch, chunk):
 
 def test_a_large_group_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(oddsketch, "CHUNK", 16)
+    monkeypatch.setattr(oddsketch, "SHINGLES", 3000)
     draw = random.Random(8)
     vocabulary = [f"w{n}" for n in range(5000)]
     base = draw.choices(vocabulary, k=200)
