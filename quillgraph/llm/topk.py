@@ -12,7 +12,7 @@ and every search is exact, so recall is 1.
 Defined cases: vectors that are null or hold null or non-finite components take no part. Only vectors of one length
 are compared; a query without partners has no rows. Repeated query rows give one result each distinct vector, and no
 row with the query's own id is its candidate. Null ids can be found but are no queries; they come last among ties.
-Components need |256 x| < 2^31. An empty table gives an empty result.
+Scores that pass 64 bits are an error. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +32,31 @@ QUERIES = 1024
 ANNULUS = 64
 _NO_ID = 2**63 - 1
 _SLACK = 1e-9
+_MOST = 2.0**63 * (1 - 1e-9)
 
 
 def quantized(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(256 * flat).reshape(-1, width).astype(np.int64)
+    whole = np.floor(256 * flat).reshape(-1, width)
+    if whole.size and np.abs(whole).max() >= _MOST:
+        raise ValueError("components of these vectors pass 64 bits")
+    return whole.astype(np.int64)
+
+
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products; sums that wrap around on their way are exact as long as the result fits."""
+    if len(vectors) and float(np.abs(vectors).max()) * float(np.abs(q).max()) * len(q) >= _MOST and np.abs(vectors.astype(np.float64) @ q.astype(np.float64)).max() >= _MOST:
+        raise ValueError("scores of these vectors pass 64 bits")
+    return vectors @ q
+
+
+def _packed(whole: np.ndarray) -> bytes:
+    """Four bytes a component where that holds them, else eight."""
+    return (whole.astype(np.int32) if not whole.size or np.abs(whole).max() < 2**31 else whole).tobytes()
+
+
+def _whole(packed: bytes, width: int, many: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int32 if len(packed) == 4 * width * many else np.int64).reshape(many, width).astype(np.int64)
 
 
 def build_index(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -68,7 +88,7 @@ def search(q: np.ndarray, own: int, k: int, index: tuple[np.ndarray, ...], pivot
     while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1]):
         rows = np.concatenate([np.arange(starts[a], ends[a]) for a in order[at : at + step]])
         rows = rows[ids[rows] != own]
-        all_ids, scores = np.r_[best_ids, ids[rows]], np.r_[best, vectors[rows] @ q]
+        all_ids, scores = np.r_[best_ids, ids[rows]], np.r_[best, products(vectors[rows], q)]
         top = np.lexsort((all_ids, -scores))[:k]
         best_ids, best = all_ids[top], scores[top]
         at, step = at + step, 2 * step
@@ -81,7 +101,7 @@ def _pack(pivots: dict[int, np.ndarray]) -> Callable[[pa.Table], pa.Table]:
         vectors, ids = quantized(rows["v"], width), rows["id"].to_numpy()
         marks = rows["mark"].to_numpy()
         parts = build_index(ids, vectors, pivots.get(width, np.zeros((1, width)))) if rows["indexed"][0].as_py() else (ids, vectors, marks)
-        raw = [(p.astype(np.int32) if n == 1 else p).tobytes() for n, p in enumerate(parts)] + [b""] * (7 - len(parts))
+        raw = [_packed(p) if n == 1 else p.tobytes() for n, p in enumerate(parts)] + [b""] * (7 - len(parts))
         return pa.table({"width": pa.array([width], pa.int32()), "block": pa.array([rows["block"][0].as_py()], pa.int32())} | {f"p{n}": pa.array([x], pa.binary()) for n, x in enumerate(raw)})
 
     return pack
@@ -93,11 +113,11 @@ def _meet(k: int, pivots: dict[int, np.ndarray]) -> Callable[[Iterator[pa.Record
             for row in batch.to_pylist():
                 width = row["width"]
                 at = pivots.get(width, np.zeros((1, width)))
-                kinds = (np.int64, np.int32, np.int64, np.int64, np.float64, np.float64, np.float64)
-                index = [np.frombuffer(row[f"p{n}"], kind) for n, kind in enumerate(kinds)]
-                index[1] = index[1].reshape(len(index[0]), width).astype(np.int64)
+                kinds = (np.int64, None, np.int64, np.int64, np.float64, np.float64, np.float64)
+                index = [np.frombuffer(row[f"p{n}"], kind) if kind else None for n, kind in enumerate(kinds)]
+                index[1] = _whole(row["p1"], width, len(index[0]))
                 ids = np.frombuffer(row["q0"], np.int64)
-                queries = np.frombuffer(row["q1"], np.int32).reshape(len(ids), width).astype(np.int64)
+                queries = _whole(row["q1"], width, len(ids))
                 marks = np.frombuffer(row["q2"], np.int64)
                 found = [search(q, own, k, tuple(index), at) for q, own in zip(queries, ids)]
                 sizes = [len(x) for x, _ in found]

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from quillgraph.llm import mixing, topk, urlfilter
 from quillgraph.llm.cutoff import kth_smallest
@@ -34,6 +35,22 @@ def test_top_k_matches_brute_force(spark):
     assert 1050 not in got
 
 
+def test_top_k_of_large_components_and_empty_tables(spark):
+    draw = np.random.default_rng(5)
+    # a row's product with itself passes 64 bits, its products with others don't
+    vectors = np.r_[[[2e7, 0, 0, 0]], draw.normal(0, 100, (59, 4))]
+    data = spark.createDataFrame([(int(n), [float(x) for x in v]) for n, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = [[int(x) for x in np.floor(256 * v)] for v in vectors]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(data, data.where("vec_id % 20 = 0")).collect()}
+    for q in (0, 20, 40):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[n])), n) for n in range(60) if n != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(n, -s) for s, n in scores]
+    huge = spark.createDataFrame([(0, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge, huge).collect()
+    assert topk.top_k(data.limit(0), data.limit(0)).count() == 0
+
+
 def test_mix_meets_targets(spark):
     draw = random.Random(3)
     rows = [(n, " ".join(["w"] * draw.randint(1, 30)), draw.choice(["a", "b", "c", None])) for n in range(900)]
