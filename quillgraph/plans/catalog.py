@@ -39,11 +39,11 @@ def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(G.from_tables(spark, sf_dir))
 
 
-@query(_GROUPS + " SELECT DISTINCT e.src, e.rel, g.representative AS dst FROM edges e JOIN groups g ON g.id = e.dst WHERE e.rel = 'INCLUDE'", graph=True, recursive=True)
+@query(_GROUPS + ", m AS (SELECT coalesce(a.representative, e.src) AS src, e.rel, coalesce(b.representative, e.dst) AS dst FROM edges e LEFT JOIN groups a ON a.id = e.src LEFT JOIN groups b ON b.id = e.dst WHERE e.rel IN ('INCLUDE', 'HAS_FAILURE_MODE')) SELECT DISTINCT * FROM m WHERE src <> dst", graph=True, recursive=True)
 def similar_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between groups of similar suppliers and all else, which stays as it is."""
     g = G.from_tables(spark, sf_dir)
-    alone = g.nodes.where("label = '系统'").select("id", F.col("id").alias("representative"))
-    return A.merged_edges(g.edges.where("rel in ('INCLUDE', 'SIMILAR')"), alone.unionByName(_groups(g).select("id", "representative")), "SIMILAR")
+    return A.merged_edges(g.edges.where("rel in ('INCLUDE', 'HAS_FAILURE_MODE', 'SIMILAR')"), _groups(g), "SIMILAR")
 
 
 @query(", b AS (SELECT DISTINCT * FROM (SELECT src AS id, dst AS other, rel FROM edges UNION ALL SELECT dst, src, rel FROM edges)), w AS (SELECT *, CASE rel WHEN 'HAS_FAILURE_MODE' THEN 1.0 WHEN 'LEADS_TO' THEN 0.95 WHEN 'HAS' THEN 0.85 WHEN 'INCLUDE' THEN 0.65 ELSE 0.0 END::DOUBLE AS weight FROM b) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, rel, other)::INT AS rank FROM w) WHERE rank <= 20", graph=True)
