@@ -33,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.graph.components import connected_components
-from quillgraph.llm.simhash import _small, gram_set
+from quillgraph.llm.simhash import _small, components_of, gram_set, meetings, open_rows
 from quillgraph.llm.tables import table
 from quillgraph.session import cut, text_batches, written
 
@@ -45,9 +44,8 @@ BITS = 512
 CHUNK = 256
 #: Shingles of the sets that meet in one chunk of the last round, 8 bytes each.
 SHINGLES = 1 << 20
-#: Links in a partition of the component rounds.
-LINKS = 100_000
 DEVIATIONS = 6
+_SKETCHED = ("id", "n", "component", "sketch")
 _SPANNED = ("id", "n", "component", "sketch", "bands")
 _NO_ID = 2**63 - 1
 _SLICE = 1024
@@ -298,45 +296,14 @@ def confirmed(pairs: DataFrame, texts: Texts, similarity: int, size: int) -> Dat
     return written(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_confirmed(similarity), "src long, dst long"))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """Components of links, in as many partitions as their number asks for."""
-    return connected_components(links, partitions=max(1, -(-links.count() // LINKS)))
-
-
 def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     """rows(id, ...) with the component that the links give each id."""
     if links is None:
         return rows.withColumn("component", F.col("id"))
-    found = _components(links).select(F.col("node").alias("id"), "component")
+    found = components_of(links).select(F.col("node").alias("id"), "component")
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _meetings(rows: DataFrame, pairs: bool, columns: tuple[str, ...] = ("id", "n", "component", "sketch")) -> DataFrame:
-    """(key, left, right) of rows(key, chunk, component, ...): each chunk alone, and pairs of chunks of one bucket.
-
-    A chunk alone needs two nodes; where `pairs` meet too, any meeting needs two components.
-    """
-    packed = F.collect_list(F.struct(*columns))
-    chunks = rows.groupBy("key", "chunk").agg(packed.alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
-    kind = ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in columns)
-    nothing = F.lit(None).cast(f"array<struct<{kind}>>").alias("right")
-    if not pairs:
-        return chunks.where(F.size("left") > 1).select("key", "left", nothing)
-    chunks = written(chunks)
-    alone = chunks.where("low <> high").select("key", "left", nothing)
-    several = chunks.groupBy("key").agg(F.max("chunk").alias("last")).where("last > 0").select("key")
-    rest = chunks.join(several, "key", "left_semi")
-    other = rest.select("key", F.col("chunk").alias("other"), F.col("left").alias("right"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    met = rest.join(other, "key").where("chunk < other and (low <> high or other_low <> other_high or low <> other_low)")
-    return alone.unionByName(met.select("key", "left", "right"))
-
-
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    left = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    return written(rows.join(left, "key", "left_semi"))
-
-
 def near_links(nodes: DataFrame, texts: Texts, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(src, dst): confirmed links of nodes(id, n, bands, sketch) that join all nodes at the similarity."""
     keyed = nodes.select("id", F.explode("bands").alias("key"))
@@ -344,20 +311,20 @@ def near_links(nodes: DataFrame, texts: Texts, similarity: int = SIMILARITY, siz
     rows = keyed.join(counts, "key").select("key", "id", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int").alias("chunk"))
     rows = written(rows.join(nodes.select("id", "n", "sketch"), "id"))
     schema = "src long, dst long, bits long"
-    first = _meetings(_labelled(rows, None), False).mapInArrow(_proposed(similarity, "least"), schema)
+    first = meetings(_labelled(rows, None), False, _SKETCHED).mapInArrow(_proposed(similarity, "least"), schema)
     links = confirmed(first.groupBy("src").agg(F.min("dst").alias("dst")), texts, similarity, size)
-    open_ = _open(_labelled(rows, links))
-    second = _meetings(open_, True).mapInArrow(_proposed(similarity, "nearest"), schema)
+    open_ = open_rows(_labelled(rows, links))
+    second = meetings(open_, True, _SKETCHED).mapInArrow(_proposed(similarity, "nearest"), schema)
     second = second.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
     links = links.unionByName(confirmed(second, texts, similarity, size))
-    open_ = _open(_labelled(open_.drop("component"), links))
-    waiting = _meetings(open_.join(nodes.select("id", "bands"), "id"), True, _SPANNED).mapInArrow(_waiting(similarity), "key long, id long")
+    open_ = open_rows(_labelled(open_.drop("component"), links))
+    waiting = meetings(open_.join(nodes.select("id", "bands"), "id"), True, _SPANNED).mapInArrow(_waiting(similarity), "key long, id long")
     waiting = written(open_.drop("chunk").join(waiting.distinct(), ["key", "id"]))
     pieces = waiting.groupBy("key").agg(F.ceil(F.sum("n") / SHINGLES).alias("pieces"))
     grams = texts.sets(waiting.select(F.col("id").alias("node")).distinct(), size).withColumnRenamed("node", "id")
     last = waiting.join(pieces, "key").withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int"))
     last = last.join(nodes.select("id", "bands"), "id").join(grams, "id")
-    return written(links.unionByName(_meetings(last, True, (*_SPANNED, "grams")).mapInArrow(_joined(similarity), "src long, dst long")))
+    return written(links.unionByName(meetings(last, True, (*_SPANNED, "grams")).mapInArrow(_joined(similarity), "src long, dst long")))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +338,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
     nodes = written(found.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("id"), F.col("id").alias("doc"), "mark", "n", "bands", "sketch"))
     places = nodes.select(F.col("id").alias("node"), F.col("doc").alias("id"), "mark")
     links = near_links(nodes, Texts(texts, places), similarity, size)
-    component = _components(links).select("node", F.col("component").alias("group"))
+    component = components_of(links).select("node", F.col("component").alias("group"))
     groups = written(sets.join(component, "node", "left").select("set", "least", F.coalesce("group", "node").alias("group")))
     least = groups.groupBy("group").agg(F.min("least").alias("component"))
     of_set = written(groups.join(least, "group").select("set", "component"))

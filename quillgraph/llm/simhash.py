@@ -15,8 +15,9 @@ are grouped by fingerprint before anything is dealt out.
 over it is joined. Texts of equal shingle sets are one node. Fingerprints of distinct shingles go through the same shard
 trees, and the links found are verified by exact shingle sets: that joins large groups by few edges. All pairs that
 this leaves apart come from an exact prefix filter: sets at the similarity share one of their first shingles in any
-common order, and each pair of different groups that does, and whose sizes and places allow the similarity, is verified
-too. The order is by hash; shingles that over RUN first places hold are put last for the documents that have them, and
+common order, with sizes and places that allow the similarity. Of these, each text first proposes one partner of
+another group, in two rounds that are verified and joined; the pairs that are still of different groups are then listed
+and verified, so a group whose texts are all nearly, but not quite, at the similarity is listed pair by pair. The order is by hash; shingles that over RUN first places hold are put last for the documents that have them, and
 what they still share goes through chunks like a hot shard.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other (near copies: they have
@@ -46,6 +47,10 @@ CHUNK = 256
 RUN = 256
 PARTS = 256
 MAX_BROADCAST_IDS = 400_000
+#: Links in a partition of the component rounds.
+LINKS = 100_000
+#: Bits of 32 that texts at the similarity often differ by at most; it chooses partners, and drops none.
+CLOSE = 3
 _NO_ID = 2**63 - 1
 _SLICE = 1 << 16
 
@@ -217,6 +222,37 @@ def shard_links(keyed: DataFrame, links: Callable[[Iterator[pa.RecordBatch]], It
     return out.unionByName(met.mapInArrow(links, "src long, dst long"))
 
 
+def components_of(links: DataFrame) -> DataFrame:
+    """Components of links, in as many partitions as their number asks for."""
+    return connected_components(links, partitions=max(1, -(-links.count() // LINKS)))
+
+
+def meetings(rows: DataFrame, pairs: bool, columns: tuple[str, ...]) -> DataFrame:
+    """(key, left, right) of rows(key, chunk, component, ...): each chunk alone, and pairs of chunks of one bucket.
+
+    A chunk alone needs two nodes; where `pairs` meet too, any meeting needs two components.
+    """
+    packed = F.collect_list(F.struct(*columns))
+    chunks = rows.groupBy("key", "chunk").agg(packed.alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
+    kind = ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in columns)
+    nothing = F.lit(None).cast(f"array<struct<{kind}>>").alias("right")
+    if not pairs:
+        return chunks.where(F.size("left") > 1).select("key", "left", nothing)
+    chunks = written(chunks)
+    alone = chunks.where("low <> high").select("key", "left", nothing)
+    several = chunks.groupBy("key").agg(F.max("chunk").alias("last")).where("last > 0").select("key")
+    rest = chunks.join(several, "key", "left_semi")
+    other = rest.select("key", F.col("chunk").alias("other"), F.col("left").alias("right"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    met = rest.join(other, "key").where("chunk < other and (low <> high or other_low <> other_high or low <> other_low)")
+    return alone.unionByName(met.select("key", "left", "right"))
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """The rows(key, component, ...) of keys that hold several components."""
+    left = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return written(rows.join(left, "key", "left_semi"))
+
+
 def finer_keys(print_col: Column, radius: int = RADIUS) -> Column:
     """Array of the values of radius + 1 parts of every print's bits, of which prints within the radius share one."""
     step = 64 // (radius + 1)
@@ -317,25 +353,61 @@ def _may(similarity: float, n: np.ndarray, at: np.ndarray, other_n: np.ndarray,
     return np.minimum(n - at, other_n - other_at) >= similarity / (1 + similarity) * (n + other_n) - 1e-6
 
 
-def _runs(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows sorted by (h, component): pairs (src, dst) that a shared h allows, or (null, h) if over `most` rows share it.
+def _allowed(similarity: float, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether rows of different components, one of them new, may be at the similarity; x and y broadcast."""
+    fits = (x["component"] != y["component"]) & (x["new"] | y["new"] > 0)
+    return fits & _may(similarity, x["n"], x["at"], y["n"], y["at"])
+
+
+def _pairs(similarity: float, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """(src, dst) of all pairs that a shared shingle allows."""
+    x, y = np.triu_indices(len(rows["id"]), 1)
+    fits = _allowed(similarity, *({c: v[i] for c, v in rows.items()} for i in (x, y)))
+    return {"src": rows["id"][x[fits]], "dst": rows["id"][y[fits]]}
+
+
+def _partners(least: bool) -> Callable[[float, dict[str, np.ndarray]], dict[str, np.ndarray]]:
+    """One partner for each row that a shared shingle allows some: (src, dst, far), and the row's h, place and hint.
+
+    That is the nearest by hint; with `least`, the least of those that are CLOSE, if any are.
+    """
+
+    def pick(similarity: float, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        fits = _allowed(similarity, {c: v[:, None] for c, v in rows.items()}, rows)
+        some = np.flatnonzero(fits.any(1))
+        far = np.bitwise_count((rows["hint"][some, None] ^ rows["hint"]).astype(np.uint32)).astype(np.int64)
+        if least:
+            far[far <= CLOSE] = 0
+        far[~fits[some]] = 99
+        order = np.argsort(rows["id"], kind="stable")  # the first of equally near ones is the least
+        best = order[far[:, order].argmin(1)]
+        place = (rows["n"] << 32) | (rows["at"] << 1) | rows["new"]
+        return {"src": rows["id"][some], "dst": rows["id"][best], "far": far[np.arange(len(some)), best]} | {"h": rows["h"][some], "place": place[some], "hint": rows["hint"][some]}
+
+    return pick
+
+
+_PAIR, _PARTNER = ("src", "dst"), ("src", "dst", "far", "h", "place", "hint")
+_PARTNER_SCHEMA = ", ".join(f"{c} long" for c in _PARTNER)
+
+
+def _runs(similarity: float, most: int, pick: Callable[[float, dict[str, np.ndarray]], dict[str, np.ndarray]], columns: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows sorted by (h, component): what `pick` finds among those of one h, or src null and dst h if over `most` share it.
 
     Only runs that hold several components, and a row that is `new`, count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("h", "component", "id", "n", "at", "new")
+        names = ("h", "component", "id", "n", "at", "new", "hint")
         held = {c: np.empty(0, np.int64) for c in names}
         over = None  # (h, first component, several components, new) of a run that is over `most`, whose rows are let go
 
-        def found(pairs: list[tuple[np.ndarray, np.ndarray]], hot: list[int]) -> pa.RecordBatch:
-            src = np.concatenate([np.empty(0, np.int64), *(a for a, _ in pairs)])
-            dst = np.concatenate([np.empty(0, np.int64), *(b for _, b in pairs)])
-            none = pa.nulls(len(hot), pa.int64())
-            return pa.RecordBatch.from_pydict({"src": pa.concat_arrays([pa.array(src), none]), "dst": pa.concat_arrays([pa.array(dst), pa.array(hot, pa.int64())])})
+        def found(parts: list[dict[str, np.ndarray]], hot: list[int]) -> pa.RecordBatch:
+            out = {c: np.concatenate([np.empty(0, np.int64), *(p[c] for p in parts), np.array(hot, np.int64)]) for c in columns}
+            return pa.RecordBatch.from_pydict({c: pa.array(x, mask=np.arange(len(x)) >= len(x) - len(hot) if c == "src" else None) for c, x in out.items()})
 
         def closed(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            pairs, hot = [], []
+            parts, hot = [], []
             mixed_runs = (ends - starts > 1) & (rows["component"][starts] != rows["component"][ends - 1])
             for a, b in zip(starts[mixed_runs].tolist(), ends[mixed_runs].tolist()):
                 part = {c: rows[c][a:b] for c in names}
@@ -343,16 +415,14 @@ def _runs(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]],
                     continue
                 if b - a > most:
                     hot.append(int(part["h"][0]))
-                    continue
-                x, y = np.triu_indices(b - a, 1)
-                fits = (part["component"][x] != part["component"][y]) & (part["new"][x] | part["new"][y] > 0)
-                fits &= _may(similarity, part["n"][x], part["at"][x], part["n"][y], part["at"][y])
-                pairs.append((part["id"][x[fits]], part["id"][y[fits]]))
-            return found(pairs, hot)
+                else:
+                    parts.append(pick(similarity, part))
+            return found(parts, hot)
 
         for batch in batches:
             place = batch["place"].to_numpy()
             fresh = {c: batch[c].to_numpy() for c in ("h", "component", "id")} | {"n": place >> 32, "at": (place & 0xFFFFFFFF) >> 1, "new": place & 1}
+            fresh["hint"] = batch["hint"].to_numpy() if "hint" in batch.schema.names else np.zeros(len(place), np.int64)
             rows = {c: np.concatenate([held[c], fresh[c]]) for c in names}
             if over is not None:
                 same = rows["h"] == over[0]
@@ -380,27 +450,26 @@ def _runs(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _candidates(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs of chunks' rows, as _runs finds them."""
+def _met(similarity: float, pick: Callable[[float, dict[str, np.ndarray]], dict[str, np.ndarray]] | None, columns: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `pick` finds in chunks that meet nobody; without it, all pairs (src, dst) of meetings."""
 
-    def read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def read(key: int, column: pa.ListArray) -> dict[str, np.ndarray]:
         flat = column.flatten()
-        parts = flat.field("print")
-        place = parts.field("place").to_numpy(zero_copy_only=False)
-        return flat.field("id").to_numpy(), np.stack([parts.field("component").to_numpy(zero_copy_only=False), place >> 32, (place & 0xFFFFFFFF) >> 1])
+        rows = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "place", "hint")}
+        return rows | {"h": np.full(len(flat), key), "n": rows["place"] >> 32, "at": (rows["place"] & 0xFFFFFFFF) >> 1, "new": rows["place"] & 1}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                right = batch["right"].slice(n, 1)
-                alone = right.null_count == 1
-                ids, here = read(batch["left"].slice(n, 1))
-                others, there = (ids, here) if alone else read(right)
-                for at in range(len(ids)):
-                    past = at + 1 if alone else 0
-                    may = (there[0, past:] != here[0, at]) & _may(similarity, here[1, at], here[2, at], there[1, past:], there[2, past:])
-                    if may.any():
-                        yield pa.RecordBatch.from_pydict({"src": pa.array(np.full(int(may.sum()), ids[at], np.int64)), "dst": pa.array(others[past:][may])})
+                key, right = batch["key"][n].as_py(), batch["right"].slice(n, 1)
+                here = read(key, batch["left"].slice(n, 1))
+                if right.null_count == 1:
+                    out = (pick or _pairs)(similarity, here)
+                    yield pa.RecordBatch.from_pydict({c: pa.array(out[c]) for c in columns})
+                    continue
+                there = read(key, right)
+                x, y = np.nonzero(_allowed(similarity, {c: v[:, None] for c, v in here.items()}, there))
+                yield pa.RecordBatch.from_pydict({"src": pa.array(here["id"][x]), "dst": pa.array(there["id"][y])})
 
     return run
 
@@ -459,14 +528,20 @@ def _verified_links(texts: DataFrame, rows: DataFrame, links: DataFrame, similar
 def _run_links(keyed: DataFrame, similarity: float, most: int) -> DataFrame:
     """(src, dst) of keyed(h, component, id, place), place being n << 32 | at << 1 | new; see _runs."""
     rows = keyed.select("h", "component", "id", "place").repartition("h").sortWithinPartitions("h", "component", "id")
-    return cut(rows.mapInArrow(_runs(similarity, most), "src long, dst long").distinct())
+    return cut(rows.mapInArrow(_runs(similarity, most, _pairs, _PAIR), "src long, dst long").distinct())
+
+
+def _run_partners(keyed: DataFrame, similarity: float, least: bool) -> DataFrame:
+    """_PARTNER columns of keyed(h, component, id, place, hint); see _runs."""
+    rows = keyed.select("h", "component", "id", "place", "hint").repartition("h").sortWithinPartitions("h", "component", "id")
+    return written(rows.mapInArrow(_runs(similarity, RUN, _partners(least), _PARTNER), _PARTNER_SCHEMA))
 
 
 def _placed(nodes: DataFrame, new: bool) -> DataFrame:
-    """(h, component, id, place) of the first shingles of nodes(row, component, n, first)."""
-    at = nodes.select("row", "component", "n", F.posexplode("first").alias("at", "h"))
+    """(h, component, id, place, hint) of the first shingles of nodes(row, component, n, hint, first)."""
+    at = nodes.select("row", "component", "n", "hint", F.posexplode("first").alias("at", "h"))
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(F.lit(int(new)))
-    return at.select("h", "component", F.col("row").alias("id"), place.alias("place"))
+    return at.select("h", "component", F.col("row").alias("id"), place.alias("place"), "hint")
 
 
 def _reordered(similarity: float, size: int, last: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -480,7 +555,7 @@ def _reordered(similarity: float, size: int, last: list[int]) -> Callable[[Itera
                 hot = np.isin(grams, late)
                 first = np.concatenate([grams[~hot], grams[hot]])[: _first(similarity, len(grams))]
                 listed = pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), pa.array(first, pa.int64()))
-                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n")} | {"first": listed})
+                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n", "hint")} | {"first": listed})
 
     return run
 
@@ -492,41 +567,86 @@ def _listed(similarity: float, size: int) -> Callable[[Iterator[pa.RecordBatch]]
                 grams = gram_set(batch["text"][n].as_py(), size)
                 listed = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams, pa.int64()))
                 many = pa.array([_first(similarity, len(grams))], pa.int32())
-                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n")} | {"places": many, "h": listed})
+                yield pa.RecordBatch.from_pydict({c: batch[c].slice(n, 1) for c in ("row", "component", "n", "hint")} | {"places": many, "h": listed})
 
     return run
 
 
-def _prefix_links(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(src, dst) of all pairs of nodes(row, id, component, n, first) in different components that may be at the similarity."""
+def _prefix_rows(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """First shingles by which nodes(row, id, component, n, hint, first) may be at the similarity to one of another component.
+
+    Rows (key, src, place, hint, dst, far) of shingles that at most RUN hold, with a partner each; rows (key, id, place,
+    hint) of those that more hold whatever comes first, or None. Any pair at the similarity shares a key in one of them.
+    """
     keyed = _placed(nodes, True)
-    found = _run_links(keyed, similarity, RUN)
-    pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
+    found = _run_partners(keyed, similarity, True)
+    few, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
+    few = few.select(F.xxhash64(F.lit(0), "h").alias("key"), "src", "place", "hint", "dst", "far")
     many = hot.count()
     if not many:
-        return pairs
+        return few, None
     held = cut(keyed.join(_small(hot, many), "h", "left_semi").select(F.col("id").alias("row")).distinct())
     n_held = held.count()
-    held_texts = _texts_of(texts, nodes.join(_small(held, n_held), "row").select("id", "row", "component", "n"))
+    held_texts = _texts_of(texts, nodes.join(_small(held, n_held), "row").select("id", "row", "component", "n", "hint"))
     if many <= MAX_BROADCAST_IDS:
         last = [r.h for r in hot.collect()]  # checked to be few
-        anew = held_texts.mapInArrow(_reordered(similarity, size, last), "row long, component long, n int, first array<long>")
+        anew = held_texts.mapInArrow(_reordered(similarity, size, last), "row long, component long, n int, hint long, first array<long>")
     else:
-        grams = held_texts.mapInArrow(_listed(similarity, size), "row long, component long, n int, places int, h array<long>")
-        grams = grams.select("row", "component", "n", "places", F.explode("h").alias("h")).join(hot.withColumn("late", F.lit(True)), "h", "left")
-        listed = grams.groupBy("row", "component", "n", "places").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("all"))
-        anew = listed.select("row", "component", "n", F.transform(F.expr("slice(all, 1, places)"), lambda x: x["h"]).alias("first"))
-    anew = _placed(written(anew), True)
+        grams = held_texts.mapInArrow(_listed(similarity, size), "row long, component long, n int, hint long, places int, h array<long>")
+        grams = grams.select("row", "component", "n", "hint", "places", F.explode("h").alias("h")).join(hot.withColumn("late", F.lit(True)), "h", "left")
+        listed = grams.groupBy("row", "component", "n", "hint", "places").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "h"))).alias("all"))
+        anew = listed.select("row", "component", "n", "hint", F.transform(F.expr("slice(all, 1, places)"), lambda x: x["h"]).alias("first"))
     # pairs of rows that are not new were found before
-    rest = _placed(nodes.join(_small(held, n_held), "row", "left_anti"), False)
-    found = _run_links(rest.unionByName(anew), similarity, RUN)
+    both = _placed(nodes.join(_small(held, n_held), "row", "left_anti"), False).unionByName(_placed(written(anew), True))
+    found = _run_partners(both, similarity, True)
+    few = few.unionByName(found.where("src is not null").select(F.xxhash64(F.lit(1), "h").alias("key"), "src", "place", "hint", "dst", "far"))
     still = cut(found.where("src is null").select(F.col("dst").alias("h")))
-    pairs = pairs.unionByName(found.where("src is not null"))
-    if many := still.count():
-        left = rest.unionByName(anew).join(_small(still, many), "h", "left_semi")
-        left = left.select(F.lit(0).alias("shard"), F.col("h").alias("key"), "id", F.struct("component", "place").alias("print"))
-        pairs = pairs.unionByName(shard_links(cut(left), _candidates(similarity)))
-    return pairs
+    if not (many := still.count()):
+        return few, None
+    return few, written(both.join(_small(still, many), "h", "left_semi").select(F.col("h").alias("key"), "id", "place", "hint"))
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(key, id, ...) of keys that hold several components under these links."""
+    found = cut(components_of(links).select(F.col("node").alias("id"), "component"))
+    return open_rows(rows.join(_small(found, found.count()), "id", "left").withColumn("component", F.coalesce("component", "id")))
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("pieces"))
+    return rows.join(counts, "key").withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int")).drop("pieces")
+
+
+def _prefix_links(texts: DataFrame, found: DataFrame, nodes: DataFrame, near: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(src, dst) of verified links that join what the links `near` leave apart of nodes(row, id, component, n, hint, first).
+
+    Twice each node proposes one partner of another component, first a low one that all near ones share, then its nearest;
+    pairs are listed only of what is still apart.
+    """
+    schema, columns = _PARTNER_SCHEMA, ("id", "component", "place", "hint")
+    sparse, crowd = _prefix_rows(texts, nodes, similarity, size)
+    proposed, sparse = sparse, sparse.select("key", F.col("src").alias("id"), "place", "hint")
+    links = None
+    for least in (True, False):
+        known = near if links is None else near.unionByName(links)
+        if not least:
+            sparse = _relabelled(sparse, known)
+            proposed = _run_partners(sparse.withColumnRenamed("key", "h"), similarity, least)
+        proposed = proposed.select("src", "dst", "far")
+        if crowd is not None:
+            crowd = _relabelled(crowd.drop("component"), known)
+            alone = meetings(_chunked(crowd), False, columns).mapInArrow(_met(similarity, _partners(least), _PARTNER), schema)
+            proposed = proposed.unionByName(alone.select("src", "dst", "far"))
+        best = proposed.groupBy("src").agg(F.min(F.struct("far", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
+        fresh = _verified_links(texts, found, best, similarity, size)
+        links = fresh if links is None else links.unionByName(fresh)
+    known = near.unionByName(links)
+    sparse = _relabelled(sparse.drop("component"), known)
+    pairs = _run_links(sparse.withColumnRenamed("key", "h"), similarity, RUN)
+    if crowd is not None:
+        crowd = _relabelled(crowd.drop("component"), known)
+        pairs = pairs.unionByName(meetings(_chunked(crowd), True, columns).mapInArrow(_met(similarity, None, _PAIR), "src long, dst long"))
+    return links.unionByName(_verified_links(texts, found, pairs, similarity, size))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -542,14 +662,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     sets = cut(found.groupBy("set").agg(F.min("row").alias("node"), F.min("print").alias("print")))
     keyed = sets.select(F.col("node").alias("id"), "print", F.explode(block_keys(F.col("print"))).alias("k")).select("k.shard", "k.key", "id", "print")
     near = _verified_links(texts, found, shard_links(keyed, _links(RADIUS), finer_keys(F.col("print"))), similarity, size)
-    joined = cut(connected_components(near).select("node", "component"))
+    joined = cut(components_of(near).select("node", "component"))
     of_set = cut(sets.select("set", "node").join(joined, "node", "left"))
     # rows that stand for themselves and no other need no entry
     other = cut(found.select("row", "set").join(of_set, "set").where("row <> node or component <> row").select("row", F.when(F.col("row") == F.col("node"), F.col("component")).alias("to")))
     nodes = found.join(_small(other.withColumn("listed", F.lit(True)), other.count()), "row", "left").where("listed is null or to is not null")
-    nodes = nodes.select("row", "id", F.coalesce("to", "row").alias("component"), "n", "first")
-    rest = _verified_links(texts, found, _prefix_links(texts, nodes, similarity, size), similarity, size)
-    component = connected_components(near.unionByName(rest))
+    nodes = nodes.select("row", "id", F.coalesce("to", "row").alias("component"), "n", F.col("print").bitwiseAND(0xFFFFFFFF).alias("hint"), "first")
+    rest = _prefix_links(texts, found, nodes, near, similarity, size)
+    component = components_of(near.unionByName(rest))
     groups = cut(sets.select("set", "node").join(component, "node", "left").select("set", F.coalesce("component", "node").alias("group")))
     members = found.select("id", "set").join(groups, "set")
     least = members.groupBy("group").agg(F.min("id").alias("component"))

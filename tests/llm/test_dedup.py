@@ -347,3 +347,24 @@ def test_fingerprint_is_the_majority_of_hash_bits():
         values = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
         want = sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(values))
         assert int.from_bytes(simhash.fingerprint(text), "little") == want
+
+
+def test_a_large_group_of_near_copies_lists_few_pairs(spark, monkeypatch):
+    """As many pairs as texts a round, not all pairs of the group."""
+    draw, seen, verified = random.Random(51), [], simhash._verified_links
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base, rows = [draw.choice(words) for _ in range(150)], []
+    for n in range(90):
+        text = list(base)
+        text[draw.randrange(150)] = draw.choice(words)  # any two are at 0.87 or more
+        rows.append((n, " ".join(text)))
+
+    def counted(texts, found, links, *more):
+        seen.append(links.count())
+        return verified(texts, found, links, *more)
+
+    monkeypatch.setattr(simhash, "_verified_links", counted)
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component for r in got} == brute_near(rows)
+    # after the first, the links of fingerprints
+    assert sum(seen[1:]) <= 2 * len(rows), seen
