@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -51,36 +52,53 @@ _CACHE = 200_000
 _SLICE = 1 << 17
 
 
+_CLASSES = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_REPEATS = re.compile(rb"(.)\1+", re.S)
+
+
 def shape(word: bytes) -> bytes:
-    word = re.sub(rb"[a-z\x80-\xff]+", b"a", word)
-    word = re.sub(rb"[A-Z]+", b"A", word)
-    word = re.sub(rb"[0-9]+", b"0", word)
-    return re.sub(rb"(.)\1+", rb"\1", word, flags=re.S)
+    return _REPEATS.sub(rb"\1", word.translate(_CLASSES))
+
+
+class _Known(dict):
+    """The place of each word in `words` and `forms`, the hashes of words and of their shapes."""
+
+    def __init__(self) -> None:
+        self.words, self.forms, self.shapes = array("I"), array("I"), {}
+
+    def __missing__(self, word: bytes) -> int:
+        classes = word.translate(_CLASSES)
+        form = self.shapes.get(classes)
+        if form is None:
+            self.shapes[classes] = form = zlib.crc32(shape(word))
+        self[word] = at = len(self.words)
+        self.words.append(zlib.crc32(word))
+        self.forms.append(form)
+        return at
 
 
 class Buckets:
     """The hashed n-grams of texts; hashes of words are cached, and the cache is emptied when full."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def _code(self, word: bytes) -> int:
-        if len(self.known) >= _CACHE:
-            self.known.clear()
-        self.known[word] = code = zlib.crc32(word) << 32 | zlib.crc32(shape(word))
-        return code
+        self.known = _Known()
 
     def of(self, text: str | None) -> Iterator[np.ndarray]:
         """Arrays of bucket numbers, three kinds of n-grams over slices of the words."""
         words = (text or "").encode("utf-8", "replace").split()
-        known, code = self.known, self._code
         for start in range(0, len(words), _SLICE):
-            codes = np.array([known[w] if w in known else code(w) for w in words[max(0, start - 1) : start + _SLICE]], np.uint64)
-            word, form = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)
-            pairs = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]
-            forms = form[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + form[1:] + (word[:-1] == word[1:]) * np.uint64(0x165667B19E3779F9) + np.uint64(1)
-            spread = [x * np.uint64(0xD6E8FEB86659FD93) for x in (word[1 if start else 0 :] + np.uint64(77), pairs, forms)]
-            yield np.concatenate([(x >> np.uint64(48)).astype(np.int64) for x in spread])
+            if len(self.known) >= _CACHE:
+                self.known = _Known()
+            part = words[max(0, start - 1) : start + _SLICE]
+            at = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
+            word, form = (np.frombuffer(x, np.uint32)[at].astype(np.uint64) for x in (self.known.words, self.known.forms))
+            first, many = 1 if start else 0, len(part) - 1
+            spread = np.empty(len(part) - first + 2 * many, np.uint64)
+            spread[: len(part) - first] = word[first:] + np.uint64(77)
+            spread[len(part) - first :][:many] = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]
+            spread[len(part) - first + many :] = form[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + form[1:] + (at[:-1] == at[1:]) * np.uint64(0x165667B19E3779F9) + np.uint64(1)
+            spread *= np.uint64(0xD6E8FEB86659FD93)
+            yield (spread >> np.uint64(48)).view(np.int64)
 
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -105,18 +123,27 @@ def _counted(labelled: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, raw, target = Buckets(), np.zeros(BUCKETS + WORD_BUCKETS, np.int64), np.zeros(BUCKETS + WORD_BUCKETS, np.int64)
+        waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+
+        def add(good: bool) -> None:
+            counts = np.bincount(np.concatenate([np.empty(0, np.int64), *waiting[good]]), minlength=BUCKETS)
+            raw[:BUCKETS] += counts
+            if good:
+                target[:BUCKETS] += counts
+            waiting[good].clear()
+
         for batch in batches:
-            for id_, text in zip(batch["id"].to_pylist(), batch["text"]):
+            for id_, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 kind = labelled.get(id_)
-                for found in buckets.of(text.as_py()):
-                    counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
-                    for model in (raw, target) if kind == GOOD else (raw,):
-                        if counts is None:
-                            np.add.at(model, found, 1)
-                        else:
-                            model[:BUCKETS] += counts
+                good = kind == GOOD
+                for found in buckets.of(text):
+                    waiting[good].append(found)
+                    if len(found) >= _SLICE or len(waiting[good]) >= 500:
+                        add(good)
                 if kind is not None:
-                    (target if kind == TOXIC else raw)[BUCKETS + np.unique(held_words(text.as_py()))] += 1
+                    (target if kind == TOXIC else raw)[BUCKETS + np.unique(held_words(text))] += 1
+        add(False)
+        add(True)
         at = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_pydict({"bucket": at, "raw": raw[at], "target": target[at]})
 
@@ -130,12 +157,12 @@ def _scored(model: Model, apart: bool = False) -> Callable[[Iterator[pa.RecordBa
         buckets = Buckets()
         for batch in batches:
             scores, evidence = [], []
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 total, n = 0.0, 0
-                for found in buckets.of(text.as_py()):
+                for found in buckets.of(text):
                     total, n = total + float(model.ratios[found].sum()), n + len(found)
                 scores.append(LENGTH * total / (n + PRIOR))
-                evidence.append(float(model.evidence[held_words(text.as_py())].max(initial=-TOXIC_LOSS)) if apart or model.most < np.inf else -TOXIC_LOSS)
+                evidence.append(float(model.evidence[held_words(text)].max(initial=-TOXIC_LOSS)) if apart or model.most < np.inf else -TOXIC_LOSS)
             if not apart:
                 scores = [s - TOXIC_LOSS * (e > model.most) for s, e in zip(scores, evidence)]
             more = [pa.array(x, pa.float64()) for x in ((scores, evidence) if apart else (scores,))]

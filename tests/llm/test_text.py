@@ -265,3 +265,21 @@ def test_bucket_forest_joins_what_links(spark, monkeypatch):
     rows = spark.createDataFrame([(0, key, n, bytearray(x)) for key in (1, 2) for n, x in prints.items()], "shard int, key long, id long, print binary")
     got = {r.node: r.component for r in connected_components(E._bucket_forest(rows, 0.8)).collect()}
     assert got == {n: n % 3 for n in prints}
+
+
+def test_words_of_one_form_are_shaped_once(monkeypatch):
+    """Shapes equal the direct definition, and a word that is new costs no expressions if its form is known."""
+    draw, shape, calls = random.Random(4), quality.shape, []
+
+    def direct(word):
+        for these, mark in ((rb"[a-z\x80-\xff]+", b"a"), (rb"[A-Z]+", b"A"), (rb"[0-9]+", b"0")):
+            word = re.sub(these, mark, word)
+        return re.sub(rb"(.)\1+", rb"\1", word, flags=re.S)
+
+    for _ in range(500):
+        word = "".join(draw.choice("abzAZ09é-_.!日\n") for _ in range(draw.randint(1, 9))).encode()
+        assert shape(word) == direct(word)
+    monkeypatch.setattr(quality, "shape", lambda word: calls.append(word) or shape(word))
+    words = {"".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(300)}
+    list(quality.Buckets().of(" ".join(words)))
+    assert len(calls) == 1
