@@ -46,7 +46,7 @@ CHUNK = 256
 SHINGLES = 1 << 20
 DEVIATIONS = 6
 _SKETCHED = ("id", "n", "component", "sketch")
-_SPANNED = ("id", "n", "component", "sketch", "bands")
+_SPANNED = ("id", "n", "component", "sketch", "bands", "chunk")
 _NO_ID = 2**63 - 1
 _SLICE = 1024
 
@@ -169,6 +169,7 @@ def _proposed(similarity: int, mode: str) -> Callable[[Iterator[pa.RecordBatch]]
 class _Piece:
     """The members of a chunk, as arrays."""
 
+    chunk: int
     ids: np.ndarray
     n: np.ndarray
     component: np.ndarray
@@ -183,7 +184,7 @@ class _Piece:
         words = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(len(flat), -1)
         bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
         grams = [np.frombuffer(g.as_buffer(), "<i8") for g in flat.field("grams")] if flat.type.get_field_index("grams") >= 0 else None
-        return _Piece(ids, n, component, words, bands, grams)
+        return _Piece(flat.field("chunk")[0].as_py(), ids, n, component, words, bands, grams)
 
     def partners(self, at: int, there: _Piece, alone: bool, key: int, similarity: int, limit: int) -> np.ndarray:
         """Places of members of another component that sizes and sketches allow and that share no band before this one."""
@@ -205,19 +206,25 @@ def _held(batch: pa.RecordBatch) -> Iterator[tuple[int, _Piece, _Piece, bool]]:
 
 
 def _waiting(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, id) of members that have a partner to be confirmed in this bucket."""
+    """(key, chunk, ids) of the members of each chunk of a meeting that have a partner to be confirmed in this bucket."""
     limit = most_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, chunks, ids = [], [], []
             for key, here, there, alone in _held(batch):
                 left, right = np.zeros(len(here.ids), bool), np.zeros(len(there.ids), bool)
                 for at in range(len(here.ids)):
                     found = here.partners(at, there, alone, key, similarity, limit)
                     left[at] |= len(found) > 0
                     right[found] = True
-                ids = np.unique(np.r_[here.ids[left], there.ids[right]])
-                yield pa.RecordBatch.from_pydict({"key": np.full(len(ids), key, np.int64), "id": ids})
+                sides = ((here, left | right),) if alone else ((here, left), (there, right))
+                for piece, some in sides:
+                    if some.any():
+                        keys.append(key)
+                        chunks.append(piece.chunk)
+                        ids.append(piece.ids[some])
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "chunk": pa.array(chunks, pa.int32()), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
     return run
 
@@ -318,8 +325,10 @@ def near_links(nodes: DataFrame, texts: Texts, similarity: int = SIMILARITY, siz
     second = second.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
     links = links.unionByName(confirmed(second, texts, similarity, size))
     open_ = open_rows(_labelled(open_.drop("component"), links))
-    waiting = meetings(open_.join(nodes.select("id", "bands"), "id"), True, _SPANNED).mapInArrow(_waiting(similarity), "key long, id long")
-    waiting = written(open_.drop("chunk").join(waiting.distinct(), ["key", "id"]))
+    waiting = meetings(open_.join(nodes.select("id", "bands"), "id"), True, _SPANNED).mapInArrow(_waiting(similarity), "key long, chunk int, ids array<long>")
+    # a member is listed once a bucket, however many chunks its own one met
+    waiting = waiting.groupBy("key", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    waiting = written(open_.drop("chunk").join(waiting.select("key", F.explode("ids").alias("id")), ["key", "id"]))
     pieces = waiting.groupBy("key").agg(F.ceil(F.sum("n") / SHINGLES).alias("pieces"))
     grams = texts.sets(waiting.select(F.col("id").alias("node")).distinct(), size).withColumnRenamed("node", "id")
     last = waiting.join(pieces, "key").withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("pieces")).cast("int"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import oddsketch
@@ -113,3 +114,21 @@ def test_empty_table(spark):
     assert oddsketch.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = oddsketch.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     assert sorted(map(tuple, only.collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_waiting_members_come_once_a_meeting():
+    """A row for each side of a meeting, with the members that have a partner, not a row for each member."""
+    draw = random.Random(9)
+    vocabulary = [f"w{n}" for n in range(3000)]
+    base, members = draw.choices(vocabulary, k=150), []
+    for n in range(40):
+        grams = gram_set(" ".join(edited(draw, base, 0.03, vocabulary)), oddsketch.SHINGLE)
+        values = oddsketch.samples(grams)
+        members.append({"id": n, "n": len(grams), "component": n, "sketch": oddsketch.sketch(values), "bands": [7, *oddsketch.band_keys(values)[1:].tolist()], "chunk": n % 2})
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64())), ("chunk", pa.int32())]))
+    even, odd = members[::2], members[1::2]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([7, 7, 7], pa.int64()), "left": pa.array([even, odd, even], kind), "right": pa.array([None, None, odd], kind)})
+    rows = pa.Table.from_batches(oddsketch._waiting(oddsketch.SIMILARITY)(iter([batch]))).to_pylist()
+    assert [(r["key"], r["chunk"]) for r in rows] == [(7, 0), (7, 1), (7, 0), (7, 1)]
+    assert {i for r in rows for i in r["ids"]} == set(range(40))
+    assert all(i % 2 == r["chunk"] for r in rows for i in r["ids"])
