@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.graph.components import connected_components
-from quillgraph.llm.simhash import CHUNK, _run_links, _small, shard_links
+from quillgraph.llm.simhash import _PAIR, CHUNK, _pairs, _runs, _small, components_of, shard_links
 from quillgraph.llm.tables import table
 from quillgraph.session import cut, written
 
@@ -316,7 +315,15 @@ def _alike(at_least: float, spanning: bool) -> Callable[[Iterator[pa.RecordBatch
 
 def _distinct(prints: DataFrame) -> DataFrame:
     least = F.min(F.coalesce(F.col("id"), F.lit(_NO_ID))).alias("least")
-    return cut(prints.groupBy("fingerprint").agg(least).withColumn("node", F.xxhash64("fingerprint")))
+    # numbers of rows are shorter than hashes, and a bucket row is little else
+    return cut(prints.groupBy("fingerprint").agg(least).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _run_links(keyed: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs of keyed(h, id) in one bucket, or (null, h) of a bucket over RUN; only h and id are shuffled."""
+    rows = keyed.select("h", "id").repartition("h").sortWithinPartitions("h", "id")
+    rows = rows.select("h", F.col("id").alias("component"), "id", F.lit(1 << 32 | 1).alias("place"))
+    return cut(rows.mapInArrow(_runs(0.5, RUN, _pairs, _PAIR), "src long, dst long").distinct())
 
 
 def _liked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +347,7 @@ def _bucket_forest(rows: DataFrame, at_least: float) -> DataFrame:
     nothing = F.lit(None).cast("array<struct<id:bigint,print:binary,component:bigint>>").alias("right")
     alone = dealt.withColumn("component", F.col("id")).groupBy("shard", "key", "chunk").agg(packed.alias("left")).where(F.size("left") > 1)
     inside = cut(alone.select("left", nothing).mapInArrow(links, "src long, dst long").distinct())
-    joined = connected_components(inside).select(F.col("node").alias("id"), "component")
+    joined = components_of(inside).select(F.col("node").alias("id"), "component")
     labelled = written(dealt.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = labelled.groupBy("shard", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("chunk").alias("last"))
     open_ = open_.where("a <> b and last > 0").select("shard", "key")
@@ -353,8 +360,7 @@ def _bucket_forest(rows: DataFrame, at_least: float) -> DataFrame:
 def _node_links(distinct: DataFrame, at_least: float, spanning: bool) -> DataFrame:
     """(src, dst, x, y, likeness) of linked nodes and their least ids."""
     keyed = distinct.select(F.col("node").alias("id"), "fingerprint").mapInArrow(_keyed(at_least), "h long, id long, role int")
-    keyed = keyed.select("h", F.col("id").alias("component"), "id", F.lit(1 << 32 | 1).alias("place"), "role")
-    found = _run_links(keyed, 0.5, RUN)
+    found = _run_links(keyed)
     pairs, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
     if many := hot.count():
         rows = keyed.join(_small(hot, many), "h", "left_semi").select("h", "id", "role").join(distinct.select(F.col("node").alias("id"), "fingerprint"), "id")
@@ -383,7 +389,7 @@ def near_links(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
 def near_groups(prints: DataFrame, at_least: float = NEAR) -> DataFrame:
     """(fingerprint, near_group) of each fingerprint: the least id that links lead to; null if all ids are null."""
     distinct = _distinct(prints)
-    found = connected_components(_node_links(distinct, at_least, True).select("src", "dst"))
+    found = components_of(cut(_node_links(distinct, at_least, True).select("src", "dst")))
     known = distinct.join(found, "node", "left").select("fingerprint", "least", F.coalesce("component", "node").alias("component"))
     least = known.groupBy("component").agg(F.min("least").alias("first"))
     return known.join(least, "component").select("fingerprint", F.when(F.col("first") != _NO_ID, F.col("first")).alias("near_group"))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quillgraph.llm import editprints
+from quillgraph.llm import editprints, simhash
 
 
 def test_walk_equals_one_step_a_time():
@@ -20,3 +20,19 @@ def test_walk_equals_one_step_a_time():
             time += 1
             left.append(time)
         assert walker.walk(codes, start).tolist() == left, n
+
+
+def test_bucket_rows_are_short_and_component_rounds_keep_few_partitions(spark, monkeypatch):
+    walker, draw, asked, components = editprints.Walker(), random.Random(3), [], simhash.connected_components
+
+    def recorded(links, *more, partitions=None, **rest):
+        asked.append(partitions)
+        return components(links, *more, partitions=partitions, **rest)
+
+    monkeypatch.setattr(simhash, "connected_components", recorded)
+    base = "".join(draw.choice("abcdefgh ") for _ in range(400))
+    rows = [(n, walker.fingerprint(base + "x" * n)) for n in range(30)]
+    prints = spark.createDataFrame(rows, "id long, fingerprint string")
+    assert all(0 <= r.node < 2**40 for r in editprints._distinct(prints).collect())
+    assert {r.near_group for r in editprints.near_groups(prints, editprints.LINKED).collect()} == {0}
+    assert asked and None not in asked
