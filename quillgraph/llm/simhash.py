@@ -15,10 +15,12 @@ are grouped by fingerprint before anything is dealt out.
 over it is joined. Texts of equal shingle sets are one node. Fingerprints of distinct shingles go through the same shard
 trees, and the links found are verified by exact shingle sets: that joins large groups by few edges. All pairs that
 this leaves apart come from an exact prefix filter: sets at the similarity share one of their first shingles in any
-common order, with sizes and places that allow the similarity. Of these, each text first proposes one partner of
+common order, with sizes and places that allow the similarity, and with sketches that allow it: the bits that differ in
+two sets' odd counts are at most the shingles that one of them lacks. Of these, each text first proposes one partner of
 another group, in two rounds that are verified and joined; the pairs that are still of different groups are then listed
-and verified, so a group whose texts are all nearly, but not quite, at the similarity is listed pair by pair. The order is by hash; shingles that over RUN first places hold are put last for the documents that have them, and
-what they still share goes through chunks like a hot shard.
+and verified, so a group whose texts are all nearly, but not quite, at the similarity is listed as far as sketches do not
+part it. The order is by hash; shingles that over RUN first places hold are put last for the documents that have them,
+and what they still share goes through chunks like a hot shard.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other (near copies: they have
 equal, empty sets, so one stays); fewer words than a shingle: all words are the shingle; null ids are one id that comes
@@ -46,6 +48,8 @@ RADIUS = 3
 CHUNK = 256
 RUN = 256
 PARTS = 256
+#: Bits of a set's sketch; it parts sets of up to about twice as many shingles.
+BITS = 512
 MAX_BROADCAST_IDS = 400_000
 #: Links in a partition of the component rounds.
 LINKS = 100_000
@@ -326,23 +330,33 @@ def _first(similarity: float, many: int) -> int:
     return many - math.ceil(similarity * many - 1e-9) + 1 if many else 0
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """A bit for each of BITS parts of a set: whether the number of its shingles there is odd."""
+    return np.packbits(np.bincount(grams & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, BITS // 64)
+
+
 def _described(size: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the fingerprint of the distinct shingles, a digest of their set, their number and the first ones."""
+    """Adds the fingerprint of the distinct shingles, a digest of their set, their number, a sketch and the first ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                prints, sets, sizes, first = [], [], [], []
+                prints, sets, sizes, sketches, first = [], [], [], [], []
                 for text in part["text"]:
                     grams = gram_set(text.as_py(), size)
                     prints.append(majority(grams.view("<u8")))
                     sets.append(xxhash.xxh128_digest(grams.tobytes()))
                     sizes.append(len(grams))
+                    sketches.append(sketch(grams))
                     first.append(grams[: _first(similarity, len(grams))])
                 offsets = np.r_[0, np.cumsum([len(x) for x in first])].astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *first]), pa.int64()))
-                found = {"print": pa.array(np.frombuffer(b"".join(prints), "<i8"), pa.int64()), "set": pa.array(sets, pa.binary()), "n": pa.array(sizes, pa.int32()), "first": listed}
+                found = {"print": pa.array(np.frombuffer(b"".join(prints), "<i8"), pa.int64()), "set": pa.array(sets, pa.binary()), "n": pa.array(sizes, pa.int32()), "sketch": pa.array(sketches, pa.binary()), "first": listed}
                 yield pa.RecordBatch.from_pydict({"id": part["id"]} | found)
 
     return run
@@ -356,7 +370,11 @@ def _may(similarity: float, n: np.ndarray, at: np.ndarray, other_n: np.ndarray,
 def _allowed(similarity: float, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
     """Whether rows of different components, one of them new, may be at the similarity; x and y broadcast."""
     fits = (x["component"] != y["component"]) & (x["new"] | y["new"] > 0)
-    return fits & _may(similarity, x["n"], x["at"], y["n"], y["at"])
+    fits = fits & _may(similarity, x["n"], x["at"], y["n"], y["at"])
+    if "sketch" in x and fits.any():
+        apart = np.bitwise_count(x["sketch"] ^ y["sketch"]).sum(-1, dtype=np.int64)
+        fits &= apart <= (1 - similarity) / (1 + similarity) * (x["n"] + y["n"]) + 1e-6
+    return fits
 
 
 def _pairs(similarity: float, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -394,12 +412,11 @@ _PARTNER_SCHEMA = ", ".join(f"{c} long" for c in _PARTNER)
 def _runs(similarity: float, most: int, pick: Callable[[float, dict[str, np.ndarray]], dict[str, np.ndarray]], columns: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From rows sorted by (h, component): what `pick` finds among those of one h, or src null and dst h if over `most` share it.
 
-    Only runs that hold several components, and a row that is `new`, count.
+    Only runs that hold several components, and a row that is `new`, count. Rows may have a sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("h", "component", "id", "n", "at", "new", "hint")
-        held = {c: np.empty(0, np.int64) for c in names}
+        held = None
         over = None  # (h, first component, several components, new) of a run that is over `most`, whose rows are let go
 
         def found(parts: list[dict[str, np.ndarray]], hot: list[int]) -> pa.RecordBatch:
@@ -410,7 +427,7 @@ def _runs(similarity: float, most: int, pick: Callable[[float, dict[str, np.ndar
             parts, hot = [], []
             mixed_runs = (ends - starts > 1) & (rows["component"][starts] != rows["component"][ends - 1])
             for a, b in zip(starts[mixed_runs].tolist(), ends[mixed_runs].tolist()):
-                part = {c: rows[c][a:b] for c in names}
+                part = {c: x[a:b] for c, x in rows.items()}
                 if not part["new"].any():
                     continue
                 if b - a > most:
@@ -423,7 +440,9 @@ def _runs(similarity: float, most: int, pick: Callable[[float, dict[str, np.ndar
             place = batch["place"].to_numpy()
             fresh = {c: batch[c].to_numpy() for c in ("h", "component", "id")} | {"n": place >> 32, "at": (place & 0xFFFFFFFF) >> 1, "new": place & 1}
             fresh["hint"] = batch["hint"].to_numpy() if "hint" in batch.schema.names else np.zeros(len(place), np.int64)
-            rows = {c: np.concatenate([held[c], fresh[c]]) for c in names}
+            if "sketch" in batch.schema.names:
+                fresh["sketch"] = _sketches(batch["sketch"])
+            rows = fresh if held is None else {c: np.concatenate([held[c], x]) for c, x in fresh.items()}
             if over is not None:
                 same = rows["h"] == over[0]
                 over = (over[0], over[1], over[2] or bool((rows["component"][same] != over[1]).any()), over[3] or bool(rows["new"][same].any()))
@@ -444,7 +463,7 @@ def _runs(similarity: float, most: int, pick: Callable[[float, dict[str, np.ndar
                 held = {c: x[:0] for c, x in held.items()}
         if over is not None and over[2] and over[3]:
             yield found([], [over[0]])
-        if len(held["h"]):
+        if held is not None and len(held["h"]):
             yield closed(held, np.array([0]), np.array([len(held["h"])]))
 
     return run
@@ -456,7 +475,7 @@ def _met(similarity: float, pick: Callable[[float, dict[str, np.ndarray]], dict[
     def read(key: int, column: pa.ListArray) -> dict[str, np.ndarray]:
         flat = column.flatten()
         rows = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "place", "hint")}
-        return rows | {"h": np.full(len(flat), key), "n": rows["place"] >> 32, "at": (rows["place"] & 0xFFFFFFFF) >> 1, "new": rows["place"] & 1}
+        return rows | {"h": np.full(len(flat), key), "n": rows["place"] >> 32, "at": (rows["place"] & 0xFFFFFFFF) >> 1, "new": rows["place"] & 1, "sketch": _sketches(flat.field("sketch"))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -526,14 +545,14 @@ def _verified_links(texts: DataFrame, rows: DataFrame, links: DataFrame, similar
 
 
 def _run_links(keyed: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(src, dst) of keyed(h, component, id, place), place being n << 32 | at << 1 | new; see _runs."""
-    rows = keyed.select("h", "component", "id", "place").repartition("h").sortWithinPartitions("h", "component", "id")
+    """(src, dst) of keyed(h, component, id, place, sketch), place being n << 32 | at << 1 | new; see _runs."""
+    rows = keyed.select("h", "component", "id", "place", "sketch").repartition("h").sortWithinPartitions("h", "component", "id")
     return cut(rows.mapInArrow(_runs(similarity, most, _pairs, _PAIR), "src long, dst long").distinct())
 
 
 def _run_partners(keyed: DataFrame, similarity: float, least: bool) -> DataFrame:
-    """_PARTNER columns of keyed(h, component, id, place, hint); see _runs."""
-    rows = keyed.select("h", "component", "id", "place", "hint").repartition("h").sortWithinPartitions("h", "component", "id")
+    """_PARTNER columns of keyed(h, component, id, place, hint), with or without a sketch; see _runs."""
+    rows = keyed.select("h", "component", "id", "place", "hint", *(c for c in keyed.columns if c == "sketch")).repartition("h").sortWithinPartitions("h", "component", "id")
     return written(rows.mapInArrow(_runs(similarity, RUN, _partners(least), _PARTNER), _PARTNER_SCHEMA))
 
 
@@ -575,13 +594,13 @@ def _listed(similarity: float, size: int) -> Callable[[Iterator[pa.RecordBatch]]
 def _prefix_rows(texts: DataFrame, nodes: DataFrame, similarity: float, size: int) -> tuple[DataFrame, DataFrame | None]:
     """First shingles by which nodes(row, id, component, n, hint, first) may be at the similarity to one of another component.
 
-    Rows (key, src, place, hint, dst, far) of shingles that at most RUN hold, with a partner each; rows (key, id, place,
-    hint) of those that more hold whatever comes first, or None. Any pair at the similarity shares a key in one of them.
+    Rows (key, id, place, hint) of shingles that at most RUN hold; rows of those that more hold whatever comes first, or
+    None. Any pair at the similarity shares a key in one of them.
     """
     keyed = _placed(nodes, True)
     found = _run_partners(keyed, similarity, True)
     few, hot = found.where("src is not null"), cut(found.where("src is null").select(F.col("dst").alias("h")))
-    few = few.select(F.xxhash64(F.lit(0), "h").alias("key"), "src", "place", "hint", "dst", "far")
+    few = few.select(F.xxhash64(F.lit(0), "h").alias("key"), F.col("src").alias("id"), "place", "hint")
     many = hot.count()
     if not many:
         return few, None
@@ -599,7 +618,7 @@ def _prefix_rows(texts: DataFrame, nodes: DataFrame, similarity: float, size: in
     # pairs of rows that are not new were found before
     both = _placed(nodes.join(_small(held, n_held), "row", "left_anti"), False).unionByName(_placed(written(anew), True))
     found = _run_partners(both, similarity, True)
-    few = few.unionByName(found.where("src is not null").select(F.xxhash64(F.lit(1), "h").alias("key"), "src", "place", "hint", "dst", "far"))
+    few = few.unionByName(found.where("src is not null").select(F.xxhash64(F.lit(1), "h").alias("key"), F.col("src").alias("id"), "place", "hint"))
     still = cut(found.where("src is null").select(F.col("dst").alias("h")))
     if not (many := still.count()):
         return few, None
@@ -621,31 +640,29 @@ def _prefix_links(texts: DataFrame, found: DataFrame, nodes: DataFrame, near: Da
     """(src, dst) of verified links that join what the links `near` leave apart of nodes(row, id, component, n, hint, first).
 
     Twice each node proposes one partner of another component, first a low one that all near ones share, then its nearest;
-    pairs are listed only of what is still apart.
+    pairs are listed only of what is still apart. A row without a partner that sketches allow has none later.
     """
-    schema, columns = _PARTNER_SCHEMA, ("id", "component", "place", "hint")
+    schema, columns = _PARTNER_SCHEMA, ("id", "component", "place", "hint", "sketch")
+    sketches = found.select(F.col("row").alias("id"), "sketch")
     sparse, crowd = _prefix_rows(texts, nodes, similarity, size)
-    proposed, sparse = sparse, sparse.select("key", F.col("src").alias("id"), "place", "hint")
     links = None
     for least in (True, False):
         known = near if links is None else near.unionByName(links)
-        if not least:
-            sparse = _relabelled(sparse, known)
-            proposed = _run_partners(sparse.withColumnRenamed("key", "h"), similarity, least)
-        proposed = proposed.select("src", "dst", "far")
+        picked = _run_partners(_relabelled(sparse, known).join(sketches, "id").withColumnRenamed("key", "h"), similarity, least)
+        sparse = picked.select(F.col("h").alias("key"), F.col("src").alias("id"), "place", "hint")
+        proposed = picked.select("src", "dst", "far")
         if crowd is not None:
             crowd = _relabelled(crowd.drop("component"), known)
-            alone = meetings(_chunked(crowd), False, columns).mapInArrow(_met(similarity, _partners(least), _PARTNER), schema)
+            alone = meetings(_chunked(crowd.join(sketches, "id")), False, columns).mapInArrow(_met(similarity, _partners(least), _PARTNER), schema)
             proposed = proposed.unionByName(alone.select("src", "dst", "far"))
         best = proposed.groupBy("src").agg(F.min(F.struct("far", "dst")).alias("best")).select("src", F.col("best.dst").alias("dst"))
         fresh = _verified_links(texts, found, best, similarity, size)
         links = fresh if links is None else links.unionByName(fresh)
     known = near.unionByName(links)
-    sparse = _relabelled(sparse.drop("component"), known)
-    pairs = _run_links(sparse.withColumnRenamed("key", "h"), similarity, RUN)
+    pairs = _run_links(_relabelled(sparse, known).join(sketches, "id").withColumnRenamed("key", "h"), similarity, RUN)
     if crowd is not None:
         crowd = _relabelled(crowd.drop("component"), known)
-        pairs = pairs.unionByName(meetings(_chunked(crowd), True, columns).mapInArrow(_met(similarity, None, _PAIR), "src long, dst long"))
+        pairs = pairs.unionByName(meetings(_chunked(crowd.join(sketches, "id")), True, columns).mapInArrow(_met(similarity, None, _PAIR), "src long, dst long"))
     return links.unionByName(_verified_links(texts, found, pairs, similarity, size))
 
 
@@ -656,7 +673,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHI
     """
     text_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, first array<long>")
+    found = texts.mapInArrow(_described(size, similarity), "id long, print long, set binary, n int, sketch binary, first array<long>")
     # numbers of rows are shorter than ids, which may be hashes
     found = written(found.withColumn("row", F.monotonically_increasing_id()))
     sets = cut(found.groupBy("set").agg(F.min("row").alias("node"), F.min("print").alias("print")))

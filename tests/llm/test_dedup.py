@@ -368,3 +368,41 @@ def test_a_large_group_of_near_copies_lists_few_pairs(spark, monkeypatch):
     assert {r.id: r.component for r in got} == brute_near(rows)
     # after the first, the links of fingerprints
     assert sum(seen[1:]) <= 2 * len(rows), seen
+
+
+def test_texts_below_the_similarity_list_few_pairs(spark, monkeypatch):
+    """Most share first shingles that sizes and places allow, and are no near copies; sketches part them, in runs and in chunks."""
+    draw, seen, verified = random.Random(52), [], simhash._verified_links
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base, rows = [draw.choice(words) for _ in range(150)], []
+    for _ in range(60):
+        text = list(base)
+        for at in draw.sample(range(150), 10):
+            text[at] = draw.choice(words)
+        rows.append(" ".join(text))
+    rows += [" ".join(x.split()[:-1]) for x in rows[:5]]
+    rows = list(enumerate(rows))
+
+    def counted(texts, found, links, *more):
+        seen.append(links.count())
+        return verified(texts, found, links, *more)
+
+    monkeypatch.setattr(simhash, "_verified_links", counted)
+    want = brute_near(rows)
+    assert len(set(want.values())) == 60
+    for run in (256, 8):
+        monkeypatch.setattr(simhash, "RUN", run)
+        seen.clear()
+        got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.id: r.component for r in got} == want
+        assert sum(seen[1:]) <= len(rows), seen
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    draw = np.random.default_rng(53)
+    for many in (0, 1, 5, 100, 3000):
+        a = np.unique(draw.integers(-(2**63), 2**63 - 1, many))
+        for other in (0, 1, 7, 400):
+            b = np.unique(np.concatenate([a[: len(a) - other // 2], draw.integers(-(2**63), 2**63 - 1, other)]))
+            x, y = (np.frombuffer(simhash.sketch(v), np.uint8) for v in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
