@@ -1,12 +1,12 @@
 """Op 7: exact top-k by inner product over a pivot-distance index.
 
-Components become floor(256 * x), so scores are integers. Vectors are dealt into blocks of about BLOCK rows by a hash
-of their id, which copies of one vector cannot make uneven. Each block is an index of its own: every vector is keyed
+Components become floor(256 * x), so scores are integers. Vectors are dealt into blocks of about BLOCK rows, and up to
+WIDEST times that for many, by a hash of their id, which copies of one vector cannot make uneven. Each block is an index of its own: every vector is keyed
 by its nearest pivot and its distance to it, sorted, and cut into annuli of up to ANNULUS rows. For a query q, a
 pivot p and an annulus with distances [low, high], the triangle inequality gives |q-v| >= gap, the distance of |q-p|
 from [low, high], so q.v <= (|q|^2 + max|v|^2 - gap^2) / 2. Annuli are opened by falling bound until the next bound
-is under the k-th best score. Queries travel in blocks too and meet every block of vectors once; the k best of each
-meeting are merged. Pivots are PIVOTS rows with the least hash of their id (a bounded sample); every row is indexed
+is under the k-th best score. Queries travel in blocks too and meet every block of vectors once, by a shuffle: their copies for
+all blocks are many times their own size, which a broadcast would put on the driver. The k best of each meeting are merged. Pivots are PIVOTS rows with the least hash of their id (a bounded sample); every row is indexed
 and every search is exact, so recall is 1.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part. Only vectors of one length
@@ -28,6 +28,7 @@ from quillgraph.llm.tables import table
 
 PIVOTS = 64
 BLOCK = 4096
+WIDEST, MANY = 8, 128
 QUERIES = 1024
 ANNULUS = 64
 _NO_ID = 2**63 - 1
@@ -95,6 +96,11 @@ def search(q: np.ndarray, own: int, k: int, index: tuple[np.ndarray, ...], pivot
     return best_ids, best
 
 
+def block_rows(n: int) -> int:
+    """Rows of a block: more than BLOCK where there would be over MANY blocks, as queries travel once for each."""
+    return min(max(BLOCK, -(-n // MANY)), WIDEST * BLOCK)
+
+
 def _pack(pivots: dict[int, np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     def pack(rows: pa.Table) -> pa.Table:
         width = rows["width"][0].as_py()
@@ -146,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     n, n_asked = data.count(), asked.count()
     sample = data.select("width", "v").orderBy(F.xxhash64("id"), "v").limit(PIVOTS).collect()
     pivots = {w: np.floor(256 * np.array([r.v for r in sample if r.width == w], np.float64)) for w in {r.width for r in sample}}
-    blocks, asked_blocks = -(-n // BLOCK) or 1, -(-n_asked // QUERIES) or 1
+    blocks, asked_blocks = -(-n // block_rows(n)) or 1, -(-n_asked // QUERIES) or 1
     schema = "width int, block int, " + ", ".join(f"p{i} binary" for i in range(7))
 
     def packed(rows: DataFrame, many: int, indexed: bool) -> DataFrame:
@@ -155,7 +161,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     index = packed(data, blocks, True)
     q = packed(asked, asked_blocks, False).select("width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("p0").alias("q0"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
-    found = index.join(q, ["width", "block"]).mapInArrow(_meet(k, pivots), "query_id long, mark long, vec_id long, score long")
+    found = index.hint("merge").join(q, ["width", "block"]).mapInArrow(_meet(k, pivots), "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.when(F.col("vec_id") != _NO_ID, F.col("vec_id")).alias("vec_id"), "score")

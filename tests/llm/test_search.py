@@ -51,6 +51,19 @@ def test_top_k_of_large_components_and_empty_tables(spark):
     assert topk.top_k(data.limit(0), data.limit(0)).count() == 0
 
 
+def test_top_k_does_not_broadcast_queries_for_all_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    vectors = draw.normal(0, 0.3, (400, 8))
+    data = spark.createDataFrame([(int(n), [float(x) for x in v]) for n, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = data.where("vec_id % 50 = 0")
+    want = sorted(map(str, topk.top_k(data, asked).collect()))
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    found = topk.top_k(data, asked)
+    assert sorted(map(str, found.collect())) == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert topk.block_rows(400) == 16 and topk.block_rows(128 * 20) == 20 and topk.block_rows(10**9) == 8 * 16
+
+
 def test_mix_meets_targets(spark):
     draw = random.Random(3)
     rows = [(n, " ".join(["w"] * draw.randint(1, 30)), draw.choice(["a", "b", "c", None])) for n in range(900)]
