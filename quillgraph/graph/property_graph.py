@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,10 +13,15 @@ from quillgraph.session import cut
 
 @dataclass(frozen=True)
 class PropertyGraph:
-    """nodes(id, label, name, owner, raw_text) and edges(src, rel, dst)."""
+    """nodes(id, label, name, owner, raw_text) and edges(src, rel, dst).
+
+    `made(src, dst)` is for edges that are joins of nodes: all edges with a source in src(id), or a target in dst(id), and
+    maybe others, without making all.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    made: Callable[[DataFrame | None, DataFrame | None], DataFrame] | None = None
 
     def visible(self) -> PropertyGraph:
         """Without edges that miss an end."""
@@ -66,8 +72,13 @@ def from_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     edges = edges.unionByName(edge(part, ident("p", "p_partkey"), "LEADS_TO", following))
     near = t("supplier").select("s_suppkey", "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("level"))
     other = near.select(F.col("s_suppkey").alias("o"), "s_nationkey", "level")
-    pairs = near.join(other, ["s_nationkey", "level"]).where("s_suppkey < o")
-    return PropertyGraph(every, edges.unionByName(edge(pairs, ident("s", "s_suppkey"), "SIMILAR", ident("s", "o"))))
+
+    def made(src: DataFrame | None, dst: DataFrame | None) -> DataFrame:
+        known = lambda rows, key, ids: rows if ids is None else rows.join(ids, ident("s", key) == ids["id"], "left_semi")
+        pairs = known(near, "s_suppkey", src).join(known(other, "o", dst), ["s_nationkey", "level"]).where("s_suppkey < o")
+        return edges.unionByName(edge(pairs, ident("s", "s_suppkey"), "SIMILAR", ident("s", "o")))
+
+    return PropertyGraph(every, made(None, None), made)
 
 
 def direct_neighbours(graph: PropertyGraph, focus: DataFrame) -> DataFrame:
@@ -83,17 +94,32 @@ def capped(edges: DataFrame, by: str, order: list[Column], limit: int) -> DataFr
 def ego(graph: PropertyGraph, centres: DataFrame, hops: int) -> DataFrame:
     """(centre, id, depth): nodes within `hops` undirected steps, by the least depth.
 
-    Each round joins the frontier to the edges and drops what is known; rows are (centre, node) pairs.
+    Each round joins the frontier to the edges at it and drops what is known; rows are (centre, node) pairs.
     """
     known = cut(centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("depth")))
-    front, steps = known, graph.both_ways().select("id", "other").distinct()
+    front = known
     for n in range(1, hops + 1):
+        steps = edges_at(graph, front.select("id")).select("id", "other")
         found = front.join(steps, "id").select("centre", F.col("other").alias("id")).distinct()
         front = cut(found.join(known.select("centre", "id"), ["centre", "id"], "left_anti").withColumn("depth", F.lit(n)))
         known = known.unionByName(front)
     return known
 
 
+#: So many ids are broadcast to filter edges; more are joined, with the same result.
+FEW_IDS = 100_000
+
+
+def edges_at(graph: PropertyGraph, ids: DataFrame) -> DataFrame:
+    """(id, other, rel), distinct: the edges with an end in ids(id), from that end."""
+    ids = cut(ids.distinct())
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    out, back = (graph.edges, graph.edges) if graph.made is None else (graph.made(ids, None), graph.made(None, ids))
+    at = lambda edges, end, other: edges.join(ids.withColumnRenamed("id", end), end, "left_semi").select(F.col(end).alias("id"), F.col(other).alias("other"), "rel")
+    return at(out, "src", "dst").unionByName(at(back, "dst", "src")).distinct()
+
+
 def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, end, hops, path) of directed simple paths of 1 to `depth` edges from starts(id); path joins ids by '>'."""
     step = edges.select(F.col("src").alias("end"), F.col("dst").alias("then")).distinct()

@@ -88,3 +88,27 @@ def test_anchors_texts_and_touching(spark):
     assert texts["f"] == "名称:漏。类型:故障模式。描述:x。邻域:HAS<-单机:泵" and texts["z"] == "名称:空。类型:系统"
     assert G.touching(edges, nodes.where("id = 'm'")).count() == 2
     assert G.touching(edges, nodes.limit(0)).count() == 0
+
+
+def test_edges_at_ids_are_filtered_before_the_join_that_makes_them(spark):
+    ids = spark.createDataFrame([("n_1",), ("n_1",), ("s_3",)], "id string")
+    g = G.from_tables(spark, "/root/testdata/sf0.001")
+    found = G.edges_at(g, ids)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    pairs = [n for n, line in enumerate(plan) if "Join Inner" in line and "level" in line]
+    assert len(pairs) == 2
+    for n in pairs:
+        end = next((m for m in range(n + 1, len(plan)) if depth(plan[m]) <= depth(plan[n])), len(plan))
+        assert any("Join LeftSemi" in line for line in plan[n:end])
+    known = {"n_1", "s_3"}
+    want = {(x, y, e.rel) for e in g.edges.collect() for x, y in ((e.src, e.dst), (e.dst, e.src)) if x in known}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_many_ids_are_joined_with_the_same_result(spark, monkeypatch):
+    g = G.from_tables(spark, "/root/testdata/sf0.001")
+    centres = g.nodes.where("label = '总体'").select("id")
+    want = sorted(map(tuple, G.ego(g, centres, 2).collect()))
+    monkeypatch.setattr(G, "FEW_IDS", 0)
+    assert sorted(map(tuple, G.ego(g, centres, 2).collect())) == want
